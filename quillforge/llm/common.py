@@ -8,7 +8,7 @@ blocks of at most ``BLOCK_BYTES`` of text (one text at least), which bounds a wo
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -53,18 +53,41 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def with_text_group(docs: DataFrame, text: str = "text", group_bytes: int = GROUP_BYTES, key: str = "doc_id") -> DataFrame:
-    """(doc_id, text, g): null texts become empty, g deals rows evenly into groups of about group_bytes of text."""
+#: Stands for a null id: it sorts after all others.
+NULL_ID = (1 << 63) - 1
+
+
+def next_prime(n: int) -> int:
+    n = max(2, n)
+    while any(n % d == 0 for d in range(2, math.isqrt(n) + 1)):
+        n += 1
+    return n
+
+
+def group_count(docs: DataFrame, text: str = "text", group_bytes: int = GROUP_BYTES) -> int:
+    """A prime number of groups of about group_bytes of text."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    groups = max(1, math.ceil(total / group_bytes))
-    # the id alone decides the group, so every copy of the plan deals alike
+    return 1 if total <= group_bytes else next_prime(math.ceil(total / group_bytes))
+
+
+def with_text_group(docs: DataFrame, groups: int, text: str = "text", key: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
+    """(k, t, g, kept columns): the id (null: NULL_ID), the text (null: empty) and the text's group, id mod groups."""
+    k = F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID))
     return docs.select(
-        F.col(key).cast("long").alias("doc_id"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
-        F.pmod(F.xxhash64(F.lit("group"), F.col(key)), F.lit(groups)).cast("int").alias("g"),
+        k.alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.pmod(k, F.lit(groups).cast("long")).cast("int").alias("g"), *[F.col(c).alias(f"keep_{c}") for c in keep]
     )
 
 
+def group_of(ids: np.ndarray, groups: int) -> np.ndarray:
+    return np.mod(ids, groups).astype(np.int32)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 2,000 rows and 16 MB: what a Python worker holds does not depend on text lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 # ---------------------------------------------------------------- Arrow access
 
 
