@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step handles at a time.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 #: Text bytes per group when texts are dealt out by key.
 GROUP_BYTES = 8 << 20
 

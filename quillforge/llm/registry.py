@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, suffix_dedup, url_filters
+from . import fingerprints, substring_dedup, suffix_dedup, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_url_filters": url_filters.op3_url_filters,
     "op8_fingerprints": fingerprints.op8_fingerprints,
 }
