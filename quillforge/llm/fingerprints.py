@@ -90,9 +90,11 @@ def merge_all(df: DataFrame, keys: list[str], sketch: str, k: int = K) -> DataFr
     return last.groupBy(*keys).agg(F.sort_array(F.collect_list("h")).alias(sketch))
 
 
-def with_next_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def with_next_text(docs: DataFrame, key: str = "doc_id", text: str = "text", sketch: int = 0) -> DataFrame:
     """(key, text, next_text): the next text by descending key (nulls last), the first's after the last.
 
+    With sketch = k also each text's sketch and the next text's: sketch, next_sketch.
+
     Rows are dealt into key ranges of about BUCKET_ROWS rows, ordered within them, and each range also gets a
     copy of the first row of the range that follows; so texts are exchanged once and no task sees all rows.
     Rows that share a key follow each other in the order of their texts' hashes.
@@ -100,7 +102,8 @@ def with_next_text(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     base = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("o", F.xxhash64("t"))
     lo, hi, n = base.agg(F.min("k"), F.max("k"), F.count("*")).first()
     if not n:
-        return base.select(F.col("k").alias(key), F.col("t").alias(text), F.col("t").alias("next_text"))
+        empty = base.select(F.col("k").alias(key), F.col("t").alias(text), F.col("t").alias("next_text"))
+        return empty.withColumns({c: F.array().cast("array<bigint>") for c in ("sketch", "next_sketch")}) if sketch else empty
     buckets = min(MAX_BUCKETS, max(1, math.ceil(n / BUCKET_ROWS)))
     span = 1 if lo is None else max(1, math.ceil((hi - lo + 1) / buckets))
     low = 0 if lo is None else lo
@@ -122,19 +125,23 @@ def with_next_text(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     dealt = marked.select("k", "t", "o", F.explode("to").alias("to")).select("k", "t", "o", "to.b", "to.copy")
     w = Window.partitionBy("b").orderBy("copy", F.col("k").desc_nulls_last(), "o")
-    return dealt.withColumn("n", F.lead("t").over(w)).filter("copy = 0").select(F.col("k").alias(key), F.col("t").alias(text), F.col("n").alias("next_text"))
+    if sketch:
+        dealt = with_sketch(dealt, "t", "s", sketch)
+    leads = {"next_text": F.lead("t").over(w)} | ({"next_sketch": F.lead("s").over(w)} if sketch else {})
+    out = dealt.withColumns(leads).filter("copy = 0")
+    return out.select(F.col("k").alias(key), F.col("t").alias(text), "next_text", *([F.col("s").alias("sketch"), "next_sketch"] if sketch else []))
 
 
 def op8_fingerprints(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    pairs = with_next_text(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    pairs = with_next_text(table(spark, sf_dir, "documents").select("doc_id", "text"), sketch=K)
     pairs = pairs.withColumn("n_chars", F.length("text").cast("long")).withColumn("tail", (F.col("n_chars") / 3).cast("int"))
     pairs = pairs.withColumn("edited", F.concat(F.expr("left(text, n_chars - tail)"), F.expr("left(next_text, tail)")))
     pairs = pairs.withColumn("edited_sha256", F.sha2("edited", 256))
-    pairs = with_sketch(with_sketch(with_sketch(pairs, "text", "a"), "edited", "e"), "next_text", "n")
+    pairs = with_sketch(pairs, "edited", "e")
+    a, e, n = F.col("sketch"), F.col("e"), F.col("next_sketch")
     return pairs.select(
-        "doc_id", "n_chars", "edited_sha256", as_text(F.col("a")).alias("fingerprint"), as_text(F.col("e")).alias("edited_fingerprint"),
-        resemblance(F.col("a"), F.col("e")).alias("near_edited"), resemblance(F.col("a"), F.col("n")).alias("near_next"),
-        distinct_count(F.col("a")).alias("n_shingles"),
+        "doc_id", "n_chars", "edited_sha256", as_text(a).alias("fingerprint"), as_text(e).alias("edited_fingerprint"),
+        resemblance(a, e).alias("near_edited"), resemblance(a, n).alias("near_next"), distinct_count(a).alias("n_shingles"),
     )
