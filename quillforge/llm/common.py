@@ -8,6 +8,7 @@ blocks of at most ``BLOCK_BYTES`` of text (one text at least), which bounds a wo
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -53,6 +54,43 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables written to the shared checkpoint folder.
+
+    For loops: a table that is read again has its true size, so small ones are joined by broadcast, while the size
+    estimates of checkpointed plans multiply with each join and slow planning down after a few rounds.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.root = f"{checkpoint_root(spark)}/tables-{uuid.uuid4().hex}"
+        self.made = 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        path = f"{self.root}/{self.made}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, df: DataFrame) -> None:
+        """Deletes a table that no later step reads."""
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def cut_lineage_by(df: DataFrame, parts: int, key: str) -> DataFrame:
+    """cut_lineage() of df dealt into parts by key, which the copy remembers: later steps grouped by key read it in place."""
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    # an adaptive plan does not tell its partitioning to the checkpoint
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(df.repartition(parts, key))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 #: Stands for a null id: it sorts after all others.
 NULL_ID = (1 << 63) - 1
 

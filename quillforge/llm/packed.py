@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .blobs import by_key
-from .common import cut_lineage, string_parts, with_text_group
+from .common import cut_lineage_by, string_parts, with_text_group
 
 _CODEC = pa.Codec("zstd", compression_level=1)
 #: Text bytes that a task gathers before it sends blocks to the groups.
@@ -70,7 +70,7 @@ def _pack(keep: Sequence[str]):
 def packed_by_group(docs: DataFrame, groups: int, text: str = "text", key: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
     """(g, block, rest), partitioned by g and checkpointed."""
     packed = with_text_group(docs, groups, text, key, keep).mapInArrow(_pack(keep), "g int, block binary, rest binary")
-    return cut_lineage(packed.repartition(groups, "g"))
+    return cut_lineage_by(packed, groups, "g")
 
 
 class Texts:
