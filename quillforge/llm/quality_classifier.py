@@ -69,8 +69,10 @@ class Model:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         raw = self.raw(x)
-        # a small share of the raw score keeps the order within a level
         level = np.interp(raw, self.knots, self.levels)
+        if len(self.knots) == 1:
+            return level
+        # a small share of the raw score keeps the order within a level
         return np.clip(0.99 * level + 0.01 / (1 + np.exp(-6 * (raw - 0.5))), 0.0, 1.0)
 
 
