@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .blobs import MAX_BUCKETS, bucket_of, by_key, cells, pack, starts_of, unpack_all
-from .common import BLOCK_BYTES, NULL_ID, Rolling, blocks, bounded_batches, byte_codes, cut_lineage, group_count, merge_runs, ragged, table, word_spans
+from .common import BLOCK_BYTES, NULL_ID, Rolling, blocks, bounded_batches, byte_codes, cut_lineage, group_count, merge_runs, mix, ragged, table, word_spans
 from .packed import Texts, packed_by_group
-from .suffix_dedup import _AT, _RUN, _SUFFIX, _rows, _send, _sliding_min, _to_groups
+from .suffix_dedup import _AT, _OPEN, _RUN, _SUFFIX, _rows, _send, _sliding_min, _to_groups
 
 WINDOW = 13
 ANCHOR = 5
@@ -206,13 +206,13 @@ def _find_runs(window: int, anchor_words: int, shards: int, buckets: int):
             start, count = at[head], np.diff(np.append(head, len(at)))
             extent = Rolling(words.codes[1][lo:hi], 1).of(start, start + count + window - 1)
             row = text[head] + i
-            gathered.append([grams[anchor[start]], extent, texts.ids[row], (start + lo - words.offsets[row]).astype(np.int32), count.astype(np.uint16)])
+            gathered.append([mix(grams[anchor[start]] + np.uint64(1)), extent, texts.ids[row], (start + lo - words.offsets[row]).astype(np.int32), count.astype(np.uint32)])
         if not gathered:
             return pa.Table.from_batches([_rows(["bucket", "runs", "gone"], [])])
         anchor, extent, doc, start, count = (np.concatenate(c) for c in zip(*gathered, strict=True))
         first, late = _first_docs(*_order((anchor, extent), doc, start), doc)
         runs = dict(_send(bucket_of(anchor[first], buckets), [c[first] for c in (anchor, extent, doc, start, count)], True))
-        gone = dict(_send(bucket_of(anchor[late], buckets), [c[late] for c in (doc, start, count)], False))
+        gone = dict(_send(bucket_of(anchor[late], buckets), [c[late] for c in (doc, start, count.astype(np.uint16))], False))
         return pa.Table.from_batches([_rows(["bucket", "runs", "gone"], [(b, runs.get(b), gone.get(b)) for b in sorted(runs.keys() | gone.keys())])])
 
     return run
@@ -228,14 +228,14 @@ def _judge_runs(groups: int):
         lead = order[head]
         a, n = np.unique(anchor[lead], return_counts=True)
         mixed = first[_member(a[n > 1], anchor[first])]
-        return _to_groups(groups, [np.concatenate([x, y[late]]) for x, y in zip(gone, (doc, start, count), strict=True)], [c[mixed] for c in (doc, start, count)])
+        return _to_groups(groups, [np.concatenate([x, y[late]]) for x, y in zip(gone, (doc, start, count.astype(np.uint16)), strict=True)], [c[mixed] for c in (doc, start, count)])
 
     return run
 
 
 def _find_windows(window: int, buckets: int):
     def run(part: pa.Table, todo: pa.Table) -> pa.Table:
-        doc, start, count = unpack_all(cells(todo, "open"), _AT)
+        doc, start, count = unpack_all(cells(todo, "open"), _OPEN)
         rows: list[tuple] = []
         if len(doc):
             texts = Texts(part)

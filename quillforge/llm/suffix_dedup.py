@@ -8,12 +8,14 @@ groups are exactly the repeated windows.  The digits of a suffix are chosen so t
    about 35 neighbouring suffixes have the same one; they travel as one run.  Runs whose anchor is alone leave.
 2. the run's whole extent.  Runs with equal extents are equal suffix by suffix: all but the first are repeats.
    Where an anchor has one extent only, its first run is decided too.
-3. within a differing extent, the core of each eighth of a run (the bytes all of its suffixes start with)...
-4. and at last the suffix itself, through all DEPTH bytes.
+3. where extents differ, for the first run of each extent: the core of each part of a run (STEP neighbouring
+   suffixes, placed by their distance from the anchor), which is the bytes that all of them start with, and again the
+   part's extent.  Parts whose core is alone leave, and equal extents are decided.
+4. where they differ still, the suffix itself, through all DEPTH bytes.
 
 Each pass is an exchange by hash range of column blocks (see blobs), pre-combined per task: of equal extents a
 task sends the first only, so neither thousands of copies nor a very frequent passage make a bucket hot.  Texts
-are exchanged once, by groups of ids; the later uses of that exchange reuse it.  Digests are 128 bits together.
+are exchanged once (see packed).  Digests are 128 bits together.
 
 Positions count UTF-8 bytes; matches never cross documents; overlapping repeats (also in one document) count.  A
 null text is empty and stays empty.  A null id sorts after all ids.  doc_id is a key: rows that repeat an id
@@ -31,13 +33,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .blobs import MAX_BUCKETS, bucket_of, by_key, cells, pack, starts_of, unpack_all
-from .common import BLOCK_BYTES, NULL_ID, Rolling, blocks, bounded_batches, byte_codes, cut_lineage, group_count, group_of, merge_runs, ragged, signed, string_parts, table, unsigned, with_text_group
+from .common import BLOCK_BYTES, NULL_ID, Rolling, blocks, bounded_batches, byte_codes, cut_lineage, group_count, group_of, merge_runs, mix, ragged, table
+from .packed import Texts, packed_by_group
 
 DEPTH = 100
 DIGIT = 32
+STEP = 8
 #: Runs that a task gathers before it sends them.
-FLUSH_RUNS = 400_000
-_RUN = ("<u8", "<u8", "<i8", "<i4", "<u2")  # anchor, extent, id, start, suffixes
+FLUSH_RUNS = 250_000
+_RUN = ("<u8", "<u8", "<i8", "<i4", "<u4")  # digit, extent, id, start, suffixes and (from bit 16) how far the anchor is
+_OPEN = ("<i8", "<i4", "<u4")
 _AT = ("<i8", "<i4", "<u2")  # id, start, suffixes
 _SUFFIX = ("<u8", "<u8", "<i8", "<i4")  # two digests, id, start
 
@@ -73,7 +78,8 @@ def _block_runs(data: np.ndarray, offsets: np.ndarray, depth: int, digit: int) -
     head = np.flatnonzero(starts_of(anchor[at], text, at - np.arange(len(at))))
     start, count = at[head], np.diff(np.append(head, len(at)))
     extent = Rolling(byte_codes(data, 1), 1).of(start, start + count + depth - 1)
-    return text[head], start, count, grams[anchor[start]], extent
+    # an anchor is a least hash: mixed anew, digits spread over all buckets
+    return text[head], start, count + ((anchor[start] - start) << 16), mix(grams[anchor[start]] + np.uint64(1)), extent
 
 
 def anchored_runs(data: np.ndarray, offsets: np.ndarray, depth: int, digit: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -121,21 +127,20 @@ def _find_runs(depth: int, digit: int, buckets: int):
         order, head = _combine((anchor, extent), doc, start)
         first, rest = order[head], order[~head]
         runs = dict(_send(bucket_of(anchor[first], buckets), [c[first] for c in (anchor, extent, doc, start, count)], True))
-        gone = dict(_send(bucket_of(anchor[rest], buckets), [c[rest] for c in (doc, start, count)], False))
+        short = (count & 0xFFFF).astype(np.uint16)
+        gone = dict(_send(bucket_of(anchor[rest], buckets), [c[rest] for c in (doc, start, short)], False))
         return _rows(["bucket", "runs", "gone"], [(b, runs.get(b), gone.get(b)) for b in sorted(runs.keys() | gone.keys())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered, held = [], 0
-        for batch in batches:
-            ids = batch.column("k").to_numpy(zero_copy_only=False)
-            for text, start, count, anchor, extent in anchored_runs(*string_parts(batch.column("t")), depth, digit):
-                gathered.append([anchor, extent, ids[text], start.astype(np.int32), count.astype(np.uint16)])
-                held += len(text)
-                if held >= FLUSH_RUNS:
-                    yield flush(gathered)
-                    gathered, held = [], 0
-        if held:
-            yield flush(gathered)
+    def run(part: pa.Table) -> pa.Table:
+        texts = Texts(part)
+        out, gathered, held = [], [], 0
+        for text, start, count, anchor, extent in anchored_runs(texts.data, texts.offsets, depth, digit):
+            gathered.append([anchor, extent, texts.ids[text], start.astype(np.int32), count.astype(np.uint32)])
+            held += len(text)
+            if held >= FLUSH_RUNS:
+                out.append(flush(gathered))
+                gathered, held = [], 0
+        return pa.Table.from_batches([*out, flush(gathered)] if held else out or [_rows(["bucket", "runs", "gone"], [])])
 
     return run
 
@@ -164,17 +169,15 @@ def _judge_runs(groups: int):
         mixed[1:] |= same
         mixed[:-1] |= same
         still = first[mixed]
-        return _to_groups(groups, [np.concatenate([x, y[again]]) for x, y in zip(gone, (doc, start, count), strict=True)], [c[still] for c in (doc, start, count)])
+        return _to_groups(groups, [np.concatenate([x, y[again]]) for x, y in zip(gone, (doc, start, (count & 0xFFFF).astype(np.uint16)), strict=True)], [c[still] for c in (doc, start, count)])
 
     return run
 
 
-def _extents(texts: pa.Table, doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _extents(part: pa.Table, doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Bytes of the given slices in bounded blocks: which of them, the block, and each one's place in it."""
-    data, offsets = string_parts(texts.column("t"))
-    ids = texts.column("k").to_numpy()
-    order = np.argsort(ids, kind="stable")
-    row = order[np.searchsorted(ids[order], doc)]
+    texts = Texts(part)
+    data, offsets, row = texts.data, texts.offsets, texts.rows_of(doc)
     base = offsets[row] + start
     length = np.minimum(length, offsets[row + 1] - base)
     ends = np.append(0, np.cumsum(length))
@@ -182,12 +185,40 @@ def _extents(texts: pa.Table, doc: np.ndarray, start: np.ndarray, length: np.nda
         yield np.arange(i, j), data[ragged(base[i:j], length[i:j])], ends[i:j] - ends[i]
 
 
+def _find_parts(depth: int, step: int, buckets: int):
+    def run(part: pa.Table, todo: pa.Table) -> pa.Table:
+        doc, start, packed = unpack_all(cells(todo, "open"), _OPEN)
+        count, far = (packed & 0xFFFF).astype(np.int64), (packed >> 16).astype(np.int64)
+        rows: list[tuple] = []
+        for which, block, at in _extents(part, doc, start, count + depth - 1) if len(doc) else ():
+            n, top = count[which], far[which]
+            # suffix i of a run is far - i before the anchor; a part has the distances of one multiple of step
+            high, low = top // step, (top - n + 1) // step
+            k = high - low + 1
+            run_ = np.repeat(np.arange(len(which)), k)
+            j = np.repeat(high, k) - ragged(np.zeros(len(k), np.int64), k)
+            last, first = np.maximum(j * step, (top - n + 1)[run_]), np.minimum(j * step + step - 1, top[run_])
+            size = first - last + 1
+            base, anchor = at[run_], (at + top)[run_]
+            begin, core = anchor - first, anchor - j * step
+            one = mix(Rolling(byte_codes(block, 0), 0).of(core, core - step + 1 + depth) + j.astype(np.uint64))
+            two = Rolling(byte_codes(block, 1), 1).of(begin, begin + size + depth - 1)
+            d, s = doc[which][run_], (start[which][run_] + (begin - base)).astype(np.int32)
+            order, head = _combine((one, two), d, s)
+            lead, rest = order[head], order[~head]
+            rows += [(b, blob, None) for b, blob in _send(bucket_of(one[lead], buckets), [x[lead] for x in (one, two, d, s, size.astype(np.uint32))], True)]
+            rows += [(b, None, blob) for b, blob in _send(bucket_of(one[rest], buckets), [x[rest] for x in (d, s, size.astype(np.uint16))], False)]
+        return pa.Table.from_batches([_rows(["bucket", "runs", "gone"], rows)])
+
+    return run
+
+
 def _find_suffixes(depth: int, buckets: int):
-    def run(texts: pa.Table, part: pa.Table) -> pa.Table:
-        doc, start, count = unpack_all(cells(part, "open"), _AT)
+    def run(part: pa.Table, todo: pa.Table) -> pa.Table:
+        doc, start, count = unpack_all(cells(todo, "open"), _OPEN)
         runs: dict[int, list[bytes]] = {}
         gone: dict[int, list[bytes]] = {}
-        for which, block, at in _extents(texts, doc, start, count.astype(np.int64) + depth - 1) if len(doc) else ():
+        for which, block, at in _extents(part, doc, start, count.astype(np.int64) + depth - 1) if len(doc) else ():
             c = count[which].astype(np.int64)
             here = ragged(at, c)
             one, two = (Rolling(byte_codes(block, k), k).of(here, here + depth) for k in (0, 1))
@@ -217,54 +248,64 @@ def _judge_suffixes(groups: int):
     return run
 
 
-def _cut(depth: int, keep: Sequence[str]):
-    def run(texts: pa.Table, part: pa.Table) -> pa.Table:
-        doc, start, count = unpack_all(cells(part, "gone"), _AT)
+def _cut(depth: int, keep: Sequence[str], as_text: bool):
+    def run(part: pa.Table, marks: pa.Table) -> pa.Table:
+        texts = Texts(part)
+        ids, data, offsets = texts.ids, texts.data, texts.offsets
+        doc, start, count = unpack_all(cells(marks, "gone"), _AT)
         order = np.argsort(doc, kind="stable")
-        doc, start, stop = doc[order], start[order].astype(np.int64), (start[order].astype(np.int64) + count[order] + depth - 1)
-        data, offsets = string_parts(texts.column("t"))
-        ids = texts.column("k").to_numpy()
+        doc, start = doc[order], start[order].astype(np.int64)
+        stop = start + count[order] + depth - 1
         lo, hi = np.searchsorted(doc, ids), np.searchsorted(doc, ids, side="right")
-        kept, removed, spans = [], np.zeros(len(ids), np.int64), []
+        kept, removed, froms, tos, sizes = [], np.zeros(len(ids), np.int64), [], [], [0]
         for r in range(len(ids)):
             text = data[offsets[r] : offsets[r + 1]]
             a, b = merge_runs(start[lo[r] : hi[r]], np.minimum(stop[lo[r] : hi[r]], len(text)))
             a, b = a[b > a], b[b > a]
             removed[r] = int((b - a).sum())
-            spans.append([{"start": int(x), "stop": int(y)} for x, y in zip(a, b, strict=True)])
-            if len(a):
-                mark = np.zeros(len(text) + 1, dtype=np.int8)
-                mark[a] += 1
-                mark[b] -= 1
-                text = text[np.cumsum(mark[:-1], dtype=np.int8) == 0]
-            kept.append(text.tobytes())
-        span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+            froms.append(a)
+            tos.append(b)
+            sizes.append(len(a))
+            edges = np.column_stack([np.append(0, b), np.append(a, len(text))]).tolist()
+            kept.append(b"".join([text[x:y].tobytes() for x, y in edges if y > x]))
+        span = pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (froms, tos)], ["start", "stop"])
+        if as_text:
+            kept = [x.decode("utf-8", "ignore") for x in kept]
         columns = {
-            "doc_id": texts.column("k"), "kept": pa.array(kept, pa.binary()), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(removed), "spans": pa.array(spans, span),
+            "doc_id": pa.array(ids), "kept": pa.array(kept, pa.string() if as_text else pa.binary()), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(removed),
+            "spans": pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), span),
         }
-        return pa.table(columns | {c: texts.column(f"keep_{c}") for c in keep})
+        rest = texts.rest()
+        return pa.table(columns | {c: rest.column(f"keep_{c}") for c in keep})
 
     return run
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: int = DEPTH, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per input row: doc_id, kept binary, n_bytes, n_removed, spans array<struct<start, stop>>, and the keep columns."""
+def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: int = DEPTH, keep: Sequence[str] = (), as_text: bool = False) -> DataFrame:
+    """One row per input row: doc_id, kept binary, n_bytes, n_removed, spans array<struct<start, stop>>, and the keep columns.
+
+    as_text: kept is a string, without the bytes of characters that were cut in part.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     groups = group_count(docs, text)
     buckets = min(MAX_BUCKETS, max(8, groups // 2))
-    texts = with_text_group(docs, groups, text, key, keep)
+    packed = packed_by_group(docs, groups, text, key, keep)
     digit = min(DIGIT, max(1, depth // 2))
-    runs = texts.select("k", "t").mapInArrow(_find_runs(depth, digit, buckets), _RUNS_SCHEMA)
+    runs = packed.groupBy("g").applyInArrow(_find_runs(depth, digit, buckets), _RUNS_SCHEMA)
     judged = cut_lineage(runs.groupBy("bucket").applyInArrow(_judge_runs(groups), _PART_SCHEMA))
     still = judged.filter("open is not null").select("g", "open")
-    suffixes = texts.groupBy("g").cogroup(still.groupBy("g")).applyInArrow(_find_suffixes(depth, buckets), _SUFFIX_SCHEMA)
+    parts = packed.groupBy("g").cogroup(still.groupBy("g")).applyInArrow(_find_parts(depth, max(1, min(STEP, depth // 4)), buckets), _RUNS_SCHEMA)
+    finer = cut_lineage(parts.groupBy("bucket").applyInArrow(_judge_runs(groups), _PART_SCHEMA))
+    still = finer.filter("open is not null").select("g", "open")
+    suffixes = packed.groupBy("g").cogroup(still.groupBy("g")).applyInArrow(_find_suffixes(depth, buckets), _SUFFIX_SCHEMA)
     late = suffixes.groupBy("bucket").applyInArrow(_judge_suffixes(groups), _PART_SCHEMA)
-    gone = judged.filter("gone is not null").select("g", "gone").unionByName(late.filter("gone is not null").select("g", "gone"))
-    schema = StructType.fromDDL("doc_id long, kept binary, n_bytes long, n_removed long, spans array<struct<start: long, stop: long>>")
+    early = judged.filter("gone is not null").select("g", "gone").unionByName(finer.filter("gone is not null").select("g", "gone"))
+    gone = early.unionByName(late.filter("gone is not null").select("g", "gone"))
+    schema = StructType.fromDDL(f"doc_id long, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, spans array<struct<start: long, stop: long>>")
     for c in keep:
         schema.add(c, docs.schema[c].dataType)
-    out = texts.groupBy("g").cogroup(gone.groupBy("g")).applyInArrow(_cut(depth, keep), schema)
+    out = packed.groupBy("g").cogroup(gone.groupBy("g")).applyInArrow(_cut(depth, keep, as_text), schema)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
 
 
