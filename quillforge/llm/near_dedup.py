@@ -8,13 +8,13 @@ hashed; texts that share a band's hash meet in its bucket and are verified on th
 
 A pair is a near duplicate if the probability Jaccard of its weighted shingles, or the Jaccard index of its distinct
 ones, is at least THRESHOLD.  Classes are the components of these links.  A pair at 0.8 misses every bucket with a
-probability below 1e-4.
+probability of 2.2e-4, one at 0.85 of 5e-6.
 
 * Copies (equal word sequences) are one vertex: they are grouped by a 128-bit digest with map-side combination.
-* Within a bucket not all pairs are made.  In each round a bucket names centres, twice as many as in the round
-  before; every member of another component is verified against them, and centres that are done leave.  A member
-  already in a centre's component needs no link to it.  When a bucket has one component left it is done.  So no link
-  between components is lost, and a bucket of near copies takes about as many pairs as it has members.
+* Within a bucket not all pairs are made.  In each round a bucket names centres, four times as many as in the
+  round before; every member not known to be connected is verified against them, and centres that are done leave.
+  When the remaining members of a bucket are known to be connected it is done.  So no link between components is
+  lost, and a bucket of near copies takes about as many pairs as it has members.
 * A centre that many members meet is dealt out in as many copies as its pairs need (PAIRS_PER_COPY), so a very
   large group is verified by many tasks.  Components are found by label propagation with pointer jumping.
 * Verification compares shingles by 32 bits of their digests: the similarity may err by about n / 2^32.
@@ -26,8 +26,8 @@ then null.  Of each class the row with the least id (of repeated rows: the first
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,8 @@ from .common import BLOCK_BYTES, NULL_ID, Rolling, Scratch, blocks, bounded_batc
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
-BANDS = 24
-BAND_ROWS = 5
+BANDS = 16
+BAND_ROWS = 4
 REGISTERS = BANDS * BAND_ROWS
 PAIRS_PER_COPY = 2000
 #: Shingles that one vectorised step handles.
@@ -187,7 +187,7 @@ def _verify(threshold: float):
                 near(u(a), u(wa), u(b), u(wb), threshold)
                 for a, wa, b, wb in zip(*(batch.column(c).to_pylist() for c in ("x_ids", "x_weights", "ids", "weights")), strict=True)
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("cx", "cy")], names=["cx", "cy"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("x", "cx", "y", "cy")], names=["x", "cx", "y", "cy"])
 
     return run
 
@@ -221,41 +221,52 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     # a vertex is a distinct word sequence, named by its first row
     distinct = scratch.put(signed_rows.groupBy("d1", "d2").agg(F.min(F.struct("k", "row", "th")).alias("first"), F.any_value("bands").alias("bands")))
     exploded = distinct.select(F.col("first.row").alias("v"), F.explode("bands").alias("b"))
-    shared = exploded.groupBy("b").agg(F.count("*").alias("n")).filter("n > 1").select("b")
-    alive = scratch.put(exploded.join(shared, "b").select("b", "v", F.col("v").alias("c")))
-    involved = alive.select("v").distinct()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = distinct.select(F.col("first.row").alias("v"), F.col("first.k").alias("k"), F.col("first.th").alias("th")).join(involved, "v")
+    shared = exploded.groupBy("b").agg(F.count("*").alias("n"), F.min("v").alias("x")).filter("n > 1")
+    # the first centre of a bucket is its least member; place orders the others at random, as they become centres
+    place = F.pmod(F.xxhash64("v", "b"), F.lit(1_000_000)) * F.col("n") / 1_000_000
+    members = scratch.put(exploded.join(shared, "b").select("b", "v", "x", place.alias("place")))
+    wanted = distinct.select(F.col("first.row").alias("v"), F.col("first.k").alias("k"), F.col("first.th").alias("th")).join(members.select("v").distinct(), "v")
     sets = rows.join(wanted, ["k", "th"]).select("v", "t").mapInArrow(_shingle_sets, "v long, ids binary, weights binary")
-    sets = cut_lineage_by(sets, parts, "v")
-    labels = scratch.put(involved.withColumn("c", F.col("v")))
-    centres = 1
-    while not alive.isEmpty():
-        salted = alive.withColumn("s", F.pmod(F.xxhash64("v", F.lit(centres)), F.lit(centres)))
-        chosen = scratch.put(salted.groupBy("b", "s").agg(F.min(F.struct("v", "c")).alias("x")).select("b", "x.v", "x.c"))
-        picks = chosen.select("b", F.col("v").alias("x"), F.col("c").alias("cx"))
-        pairs = alive.select("b", F.col("v").alias("y"), F.col("c").alias("cy")).join(picks, "b").filter("cx <> cy").select("x", "cx", "y", "cy").distinct()
-        pairs = scratch.put(pairs)
+    sets = cut_lineage_by(sets, int(spark.conf.get("spark.sql.shuffle.partitions")), "v")
+
+    def verified(pairs: DataFrame) -> DataFrame:
         copies = pairs.groupBy("x").agg(F.ceil(F.count("*") / PAIRS_PER_COPY).cast("int").alias("copies"))
         dealt = pairs.join(copies, "x").withColumn("copy", F.pmod(F.xxhash64("y"), F.col("copies")).cast("int"))
         left = copies.join(sets.withColumnRenamed("v", "x"), "x").select("x", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("ids").alias("x_ids"), F.col("weights").alias("x_weights"))
         met = dealt.join(left, ["x", "copy"]).join(sets.withColumnRenamed("v", "y"), "y")
-        edges = scratch.put(met.select("cx", "cy", "x_ids", "x_weights", "ids", "weights").mapInArrow(_verify(threshold), "cx long, cy long").distinct())
-        rest = alive.join(chosen.select("b", "v"), ["b", "v"], "left_anti")
-        if not edges.isEmpty():
-            moved = components(edges, scratch)
-            relabel = moved.select(F.col("id").alias("c"), F.col("c").alias("new"))
-            rest = rest.join(relabel, "c", "left").select("b", "v", F.coalesce("new", "c").alias("c"))
-            before, labels = labels, scratch.put(labels.join(relabel, "c", "left").select("v", F.coalesce("new", "c").alias("c")))
-            scratch.drop(before)
+        return met.select("x", "cx", "y", "cy", "x_ids", "x_weights", "ids", "weights").mapInArrow(_verify(threshold), "x long, cx long, y long, cy long")
+
+    alive = members.filter("v <> x").select("b", "v", F.col("v").alias("c"), "place")
+    pairs = members.filter("v <> x").select("x", F.col("x").alias("cx"), F.col("v").alias("y"), F.col("v").alias("cy")).distinct()
+    low, step, links = 0, 4, []
+    while True:
+        pairs = scratch.put(pairs)
+        rest = alive.filter(F.col("place") >= low)
+        if not pairs.isEmpty():  # a range of places may hold no centre
+            found = scratch.put(verified(pairs))
+            links.append(found.select(F.col("x").alias("cx"), F.col("y").alias("cy")))
+            # members of one component need no further pairs; a hook to the least neighbour tells most of them
+            both = found.select("cx", "cy").union(found.select("cy", "cx"))
+            hooks = both.groupBy(F.col("cx").alias("c")).agg(F.min("cy").alias("m")).filter("m < c")
+            rest = rest.join(hooks, "c", "left").select("b", "v", F.coalesce("m", "c").alias("c"), "place")
         rest = scratch.put(rest)
+        # a bucket is done when its remaining members are known to be connected
         open_ = rest.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("b")
-        # a bucket is done when its remaining members are of one component
-        before, alive = alive, scratch.put(rest.join(open_, "b").select("b", "v", "c"))
-        for old in (before, rest, chosen, pairs, edges):
-            scratch.drop(old)
-        centres *= 2
-    named = distinct.select("d1", "d2", "first", F.col("first.row").alias("v")).join(labels, "v", "left").select("d1", "d2", "first", F.coalesce("c", "v").alias("c"))
+        alive = scratch.put(rest.join(open_, "b").select("b", "v", "c", "place"))
+        scratch.drop(rest)
+        scratch.drop(pairs)
+        if alive.isEmpty():
+            break
+        low, step = low + step, 4 * step
+        centre = F.col("place") < low
+        picks = alive.filter(centre).select("b", F.col("v").alias("x"), F.col("c").alias("cx"))
+        met = alive.select("b", F.col("v").alias("y"), F.col("c").alias("cy"), centre.alias("too")).join(picks, "b").filter("cx <> cy and (not too or x < y)")
+        pairs = met.select("x", "cx", "y", "cy").distinct()
+    labels = None
+    if links:
+        labels = components(reduce(DataFrame.unionByName, links), scratch).select(F.col("id").alias("v"), "c")
+    named = distinct.select("d1", "d2", "first", F.col("first.row").alias("v"))
+    named = named.withColumn("c", F.col("v")) if labels is None else named.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
     # rows that share an id share a class
     least = named.groupBy("c").agg(F.min("first").alias("least"))
     classes = named.join(least, "c").select("d1", "d2", "least")
