@@ -99,7 +99,7 @@ def agreement(hypotheses: DataFrame) -> DataFrame:
         for row in pd.concat(list(batches)).sort_values("seq").itertuples():
             new, tail = commit(list(row.words), list(row.times), done, tail)
             done += new
-        state.update(([w for w, _ in done], [t for _, t in done], tail))
+        state.update(([str(w) for w, _ in done], [float(t) for _, t in done], [str(w) for w in tail]))
         yield pd.DataFrame({"stream_id": [key[0]], "committed": [[w for w, _ in done]], "tail": [tail]})
 
     return hypotheses.groupBy("stream_id").applyInPandasWithState(step, "stream_id long, committed array<string>, tail array<string>", "words array<string>, times array<double>, tail array<string>", "update", "NoTimeout")
@@ -141,7 +141,7 @@ def count_windows(chunks: DataFrame, width: int = 512) -> DataFrame:
         seen, rest = state.get if state.exists else (0, [])
         rest, out = list(rest), []
         for row in pd.concat(list(batches)).sort_values("seq").itertuples():
-            rest += list(row.samples)
+            rest += [int(x) for x in row.samples]
             while len(rest) >= width:
                 out.append((key[0], seen, rest[:width]))
                 seen, rest = seen + 1, rest[width:]
