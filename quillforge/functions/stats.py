@@ -112,3 +112,22 @@ def calibrated_threshold(values: DataFrame, value: str, keep: float) -> DataFram
         raise ValueError("no values to calibrate on")
     at = int((n - 1) * keep)
     return values.select(value).orderBy(value).offset(at).limit(1).withColumnRenamed(value, "tau")
+
+
+def bootstrap_percentile(rows: DataFrame, key: str, value: str, p: float, replicates: int, seed: int) -> DataFrame:
+    """One row: the interval of a percentile (rule: lower within a resample, linear over resamples)."""
+    n = rows.count()
+    if n == 0:
+        raise ValueError("no rows to resample")
+    if n > 2_000_000:
+        raise ValueError("a resample is as long as its source; calibrate on a sample")
+    ranked = rows.select((F.row_number().over(Window.orderBy(key)) - 1).cast("long").alias("i"), value)
+    draws = rows.sparkSession.range(replicates).select((F.col("id") + 1).alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
+    drawn = draws.select("replicate", draw(seed, F.col("replicate"), F.col("slot"), F.lit(n)).alias("i")).join(F.broadcast(ranked), "i")
+    each = drawn.groupBy("replicate").agg(lower(F.array_sort(F.collect_list(value)), p).alias("v"))
+    return each.agg(F.percentile("v", F.lit(0.025)).alias("ci_low"), F.percentile("v", F.lit(0.975)).alias("ci_high"))
+
+
+def verdict(low: Column, high: Column) -> Column:
+    """What an interval of a difference shows."""
+    return F.when(low > 0, "better").when(high < 0, "worse").otherwise("undecided")

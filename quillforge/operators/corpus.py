@@ -201,3 +201,26 @@ def infer(rows: DataFrame, load: Callable[[], Callable], column: str, out: str,
 
 def length_sorted(rows: DataFrame, length: str) -> DataFrame:
     return rows.sortWithinPartitions(length)
+
+
+def mux(sources: Sequence[tuple[DataFrame, float]], key: str, seed: str = "mux") -> DataFrame:
+    """Rows of all sources in one frame with a position that interleaves them by weight; sort by it to read them mixed."""
+    out = None
+    for rows, weight in sources:
+        if weight <= 0:
+            raise ValueError("weights must be positive")
+        one = rows.withColumn("position", -F.log(1 - uniform(seed, F.col(key))) / F.lit(float(weight)))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no sources")
+    return out
+
+
+def duration_buckets(rows: DataFrame, duration: str, buckets: int, longest: float) -> DataFrame:
+    """Adds bucket (0 to buckets - 1) of equal width up to the longest duration."""
+    return rows.withColumn("bucket", F.least(F.floor(F.col(duration) * buckets / longest), F.lit(buckets - 1)).cast("int"))
+
+
+def file_digests(files: DataFrame) -> DataFrame:
+    """path, sha256 of each file's content."""
+    return files.select("path", F.sha2("content", 256).alias("sha256"))

@@ -149,3 +149,25 @@ def count_windows(chunks: DataFrame, width: int = 512) -> DataFrame:
         yield pd.DataFrame(out, columns=["stream_id", "window", "samples"])
 
     return chunks.groupBy("stream_id").applyInPandasWithState(step, "stream_id long, window long, samples array<int>", "seen long, rest array<int>", "append", "NoTimeout")
+
+# Seconds that a decode window keeps, left context before the last committed word, and least audio to decode.
+KEEP_S, CONTEXT_S, LEAST_S = 12.0, 2.0, 0.3
+
+
+def trimmed(start: float, samples: list[int], rate: int, committed: float | None) -> tuple[float, list[int]]:
+    """Drops what lies before the left context of the last committed word, and more if the window is still too long."""
+    cut = max(start, committed - CONTEXT_S) if committed is not None else start
+    end = start + len(samples) / rate
+    cut = max(cut, end - KEEP_S)
+    n = int(round((cut - start) * rate))
+    return start + n / rate, samples[n:]
+
+
+def hops(events: DataFrame, hop: str = "500 milliseconds") -> DataFrame:
+    """Rows per stream and hop of event time: what triggers a decode."""
+    return events.groupBy("user_id", F.window("ts", hop).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.end").alias("due"), "n")
+
+
+def breaks_line(words: int, tentative: int, quiet_s: float) -> bool:
+    """A caption line ends after sixteen words, or when nothing is tentative and it has been quiet for over 1.2 s."""
+    return words >= 16 or (tentative == 0 and words > 0 and quiet_s > 1.2)
