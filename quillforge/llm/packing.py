@@ -8,10 +8,10 @@ integer, "largest length up to x" is a bit scan, and "two lengths with this sum"
 image.  Documents are dealt by a hash of their id into shards of about SHARD_PIECES pieces, which are packed
 independently (a shard wastes at most about one sequence); no task sees more than a shard.
 
-Tokens: the ids of the given tokenizer file without special tokens, then END_ID.  The tokenizer's own pattern never
-crosses white space and drops it, so white-space-separated words are encoded by themselves and cached per worker
-(at most CACHE_WORDS); texts with special-token strings or separators outside the common set go through the
-tokenizer whole.  Only documents longer than a sequence are cut, into full pieces and a rest.
+Tokens: the ids of the given tokenizer file without special tokens, then END_ID.  Pieces that the tokenizer's own
+pattern finds are encoded by themselves, a batch's new ones in one call, and cached per worker (about CACHE_PIECES);
+texts with characters that its normaliser treats specially (_SPECIAL tells) go through the tokenizer whole.  Only
+documents longer than a sequence are cut, into full pieces and a rest.
 
 Null texts count as empty: one END_ID.  Repeated rows and null ids are packed like any other row.  An empty table
 gives an empty result.  Extra columns are ignored.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -29,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import BLOCK_BYTES, blocks, bounded_batches, string_parts, table
 
 CAPACITY = 2048
 END_ID = 0
 SHARD_PIECES = 60_000
-CACHE_WORDS = 300_000
+CACHE_PIECES = 400_000
 MAX_TOKENIZER_BYTES = 64 << 20
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
 
@@ -146,34 +147,65 @@ def read_tokenizer(path: str) -> bytes:
     return data
 
 
-class WordIds(dict):
-    """Word -> its ids as little-endian 32-bit bytes."""
+# Fixed value: the end mark of the tokenizer's words.
+END_OF_WORD = "</w>"
+#: From here on letters may change with lower case or composition in ways that libraries do not share.
+PLAIN_END = 0x250
+#: Characters before it that white space or lower case treats differently.
+_SPECIAL = re.compile("[\x1c-\x1f\x85\xa0\u0130\u0250-\U0010ffff]")
 
-    def __init__(self, tokenizer) -> None:
-        super().__init__()
-        self.tokenizer = tokenizer
 
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+def _of_kind(kind: str) -> str:
+    return "".join(re.escape(chr(i)) for i in range(PLAIN_END) if unicodedata.category(chr(i))[0] == kind)
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes many new words at once."""
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self[w] = np.asarray(e.ids, dtype="<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        out = self.whole(word)
-        if len(self) < CACHE_WORDS:
-            self[word] = out
-        return out
+def piece_pattern() -> re.Pattern:
+    """The tokenizer file's pattern on plain characters: contractions, letters, single digits, other characters."""
+    letters, digits = _of_kind("L"), _of_kind("N")
+    return re.compile(f"[{letters}]+|'(?:[stmd]|re|ve|ll)|[{digits}]|[^\\s{letters}{digits}]+")
 
 
-#: str.split() also splits at these; the tokenizer's white space does not include them all.
-_ODD = re.compile("[\x1c-\x1f]|<\\|")
-_WORKER: dict[int, WordIds] = {}
+class PieceIds(dict):
+    """Piece -> its ids as little-endian 32-bit bytes."""
 
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        self.tokenizer = tokenizer
+        self.find = piece_pattern().findall
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(END_OF_WORD)]] = True
+
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-def _words(data: bytes) -> WordIds:
+    def learn(self, pieces: list[str]) -> None:
+        """Encodes new pieces in one call; each ends with the one token that ends a word."""
+        ids = np.asarray(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, dtype="<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(pieces) or (len(cuts) and cuts[-1] != len(ids)):
+            self.update((p, self.whole(p)) for p in pieces)
+            return
+        raw, at = ids.tobytes(), 0
+        for p, cut in zip(pieces, (4 * cuts).tolist(), strict=True):
+            self[p] = raw[at:cut]
+            at = cut
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        parts = [None if "<|" in t or not t.isascii() and _SPECIAL.search(t) or any(c in t for c in "\x1c\x1d\x1e\x1f") else self.find(t.lower()) for t in texts]
+        if len(self) > CACHE_PIECES:
+            self.clear()
+        new = list({p for part in parts if part for p in part if p not in self})
+        for i in range(0, len(new), 10_000):
+            self.learn(new[i : i + 10_000])
+        get = self.__getitem__
+        return [self.whole(t) if part is None else b"".join(map(get, part)) for t, part in zip(texts, parts, strict=True)]
+
+
+_WORKER: dict[int, PieceIds] = {}
+
+
+def _pieces(data: bytes) -> PieceIds:
     key = hash(data)
     if key not in _WORKER:
         import os
@@ -181,16 +213,10 @@ def _words(data: bytes) -> WordIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _WORKER[key] = WordIds(Tokenizer.from_str(data.decode()))
+        _WORKER[key] = PieceIds(Tokenizer.from_str(data.decode()))
     return _WORKER[key]
 
 
-def text_ids(text: str, words: WordIds) -> bytes:
-    if _ODD.search(text):
-        return words.whole(text)
-    return b"".join(map(words.__getitem__, text.split()))
-
-
 def token_pieces(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """One row per piece of a document: doc_id, piece, start, length, ids_crc32, row (tells repeated rows apart), and ids if asked for."""
     spark = docs.sparkSession
@@ -198,15 +224,17 @@ def token_pieces(docs: DataFrame, path: str, text: str = "text", key: str = "doc
     data = spark.sparkContext.broadcast(read_tokenizer(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(data.value)
+        words = _pieces(data.value)
         end = np.array([END_ID], dtype="<u4").tobytes()
         width = 4 * capacity
         for batch in batches:
             columns: list[list] = [[], [], [], [], [], []]
             ids = []
             keys, rows, texts = (batch.column(i) for i in range(3))
-            for k, row, t in zip(keys.to_pylist(), rows.to_pylist(), texts, strict=True):
-                blob = text_ids(t.as_py() or "", words) + end
+            _, offsets = string_parts(texts)
+            encoded = (x for i, j in blocks(offsets, 4 * BLOCK_BYTES) for x in words.encode([t or "" for t in texts[i:j].to_pylist()]))
+            for k, row, x in zip(keys.to_pylist(), rows.to_pylist(), encoded, strict=True):
+                blob = x + end
                 for p, at in enumerate(range(0, len(blob), width)):
                     part = blob[at : at + width]
                     for c, v in zip(columns, (k, p, at >> 2, len(part) >> 2, zlib.crc32(part), row), strict=True):
