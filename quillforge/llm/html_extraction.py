@@ -132,6 +132,8 @@ class _Builder(HTMLParser):
         while node is not self.root and node.tag != tag:
             node = node.parent
         if node is self.root:
+            if tag == "p":  # a stray end tag is an empty paragraph
+                self.at.items.append(Node("p", "p", False, self.at))
             return
         while self.at is not node.parent:
             self._close()

@@ -35,7 +35,7 @@ def pages_of_host(n):
     words = [f"w{i}" for i in range(400)]
     for i in range(n):
         body = "".join(f"<p>{' '.join(rng.choices(words, k=12))}</p>" for _ in range(4))
-        yield f"http://h.example/{i}", f"<body><div class='x1'><span>About us</span> <span>Help</span></div><div class='x2'>{body}</div><div class='x3'>All rights reserved</div></body>"
+        yield f"http://h.example/{i}", f"<body><div class='xa'><span>About us</span> <span>Help</span></div><div class='xb'>{body}</div><div class='xc'>All rights reserved</div></body>"
 
 
 def test_style_tree_finds_unnamed_boilerplate(spark, monkeypatch):
