@@ -16,7 +16,8 @@ probability of 2.2e-4, one at 0.85 of 5e-6.
   When the remaining members of a bucket are known to be connected it is done.  So no link between components is
   lost, and a bucket of near copies takes about as many pairs as it has members.
 * A centre that many members meet is dealt out in as many copies as its pairs need (PAIRS_PER_COPY), so a very
-  large group is verified by many tasks.  Components are found by label propagation with pointer jumping.
+  large group is verified by many tasks.  Components are found by one task while
+  the links are at most LOCAL_EDGES, else by label propagation with pointer jumping.
 * Verification compares shingles by 32 bits of their digests: the similarity may err by about n / 2^32.
 
 Words are ``[^\\x20\\x09-\\x0D]+``; a text of one to four words has one shingle, all of it; texts without words (null,
@@ -43,6 +44,7 @@ BANDS = 16
 BAND_ROWS = 4
 REGISTERS = BANDS * BAND_ROWS
 PAIRS_PER_COPY = 2000
+LOCAL_EDGES = 1_000_000
 #: Shingles that one vectorised step handles.
 STEP_SHINGLES = 400_000
 
@@ -192,8 +194,34 @@ def _verify(threshold: float):
     return run
 
 
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        root = v
+        while (up := parent.setdefault(root, root)) != root:
+            root = up
+        while parent[v] != root:
+            parent[v], v = root, parent[v]
+        return root
+
+    for batch in batches:
+        for a, b in zip(batch.column("cx").to_pylist(), batch.column("cy").to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    ids = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([find(v) for v in ids], pa.int64())], names=["id", "c"])
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, c): each vertex of edges (cx, cy) with the least vertex of its component."""
+    """(id, c): each vertex of edges (cx, cy) with the least vertex of its component.
+
+    At most LOCAL_EDGES edges are joined by one task (16 bytes each); more by label propagation with pointer jumping.
+    """
+    edges = scratch.put(edges.distinct())
+    if edges.count() <= LOCAL_EDGES:
+        return scratch.put(edges.repartition(1).mapInArrow(_union_find, "id long, c long"))
     both = scratch.put(edges.unionByName(edges.select(F.col("cx").alias("cy"), F.col("cy").alias("cx"))).distinct())
     labels = scratch.put(both.groupBy(F.col("cx").alias("id")).agg(F.min("cy").alias("m")).select("id", F.least("id", "m").alias("c")))
     while True:
@@ -245,10 +273,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
         if not pairs.isEmpty():  # a range of places may hold no centre
             found = scratch.put(verified(pairs))
             links.append(found.select(F.col("x").alias("cx"), F.col("y").alias("cy")))
-            # members of one component need no further pairs; a hook to the least neighbour tells most of them
-            both = found.select("cx", "cy").union(found.select("cy", "cx"))
-            hooks = both.groupBy(F.col("cx").alias("c")).agg(F.min("cy").alias("m")).filter("m < c")
-            rest = rest.join(hooks, "c", "left").select("b", "v", F.coalesce("m", "c").alias("c"), "place")
+            # members of one component need no further pairs
+            moved = components(found.select("cx", "cy"), scratch).select(F.col("id").alias("c"), F.col("c").alias("new")).filter("new <> c")
+            rest = rest.join(moved, "c", "left").select("b", "v", F.coalesce("new", "c").alias("c"), "place")
         rest = scratch.put(rest)
         # a bucket is done when its remaining members are known to be connected
         open_ = rest.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("b")

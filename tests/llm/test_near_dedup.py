@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from quillforge.llm import near_dedup as nd
 from quillforge.llm.common import Scratch
@@ -99,6 +100,8 @@ def test_registers_estimate_probability_jaccard():
     assert abs(nd.probability_jaccard(a[order[0]], wa[order[0]], b[order[1]], wb[order[1]]) - exact) < 1e-9
 
 
-def test_components_of_a_path(spark):
+@pytest.mark.parametrize("local", [1_000_000, 0])
+def test_components_of_a_path(spark, monkeypatch, local):
+    monkeypatch.setattr(nd, "LOCAL_EDGES", local)
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (95, 100)], "cx long, cy long")
     assert {(r["id"], r["c"]) for r in nd.components(edges, Scratch(spark)).collect()} == {(i, 0) for i in range(41)} | {(i, 90) for i in (90, 95, 100)}
