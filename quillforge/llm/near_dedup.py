@@ -4,11 +4,13 @@ ProbMinHash: the shingles of a text (five consecutive words, weighted by how oft
 processes whose rates are their weights; every arrival falls into one of REGISTERS registers, and each register
 keeps the shingle that arrives first.  A shingle stops once its next arrival lies beyond all registers' times.  Two
 texts agree in a register with the probability Jaccard of their weighted shingles.  BANDS bands of registers are
-hashed; texts that share a band's hash meet in its bucket and are verified on their shingles.
+hashed; texts that share a band's hash meet in its bucket and are verified on their shingles.  A text that repeats
+shingles has a second signature with all weights one, which agrees with the probability of the Jaccard index of the
+distinct shingles; its bands go to the same buckets.  For other texts the two signatures are equal.
 
 A pair is a near duplicate if the probability Jaccard of its weighted shingles, or the Jaccard index of its distinct
-ones, is at least THRESHOLD.  Classes are the components of these links.  A pair at 0.8 misses every bucket with a
-probability of 2.2e-4, one at 0.85 of 5e-6.
+ones, is at least THRESHOLD.  Classes are the components of these links.  A pair at 0.8 by either measure misses every
+bucket with a probability of 2.2e-4, one at 0.85 of 5e-6.
 
 * Copies (equal word sequences) are one vertex: they are grouped by a 128-bit digest with map-side combination.
 * Within a bucket not all pairs are made.  In each round a bucket names centres, four times as many as in the
@@ -113,6 +115,22 @@ def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return out
 
 
+def text_bands(text: np.ndarray, digest: np.ndarray, weight: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """texts x 2 BANDS, weighted before unweighted, and which of them count: the second half where it differs."""
+    bands = np.zeros((texts, 2 * BANDS), dtype=np.uint64)
+    made = np.zeros(bands.shape, dtype=bool)
+    if texts:
+        bands[:, :BANDS] = band_hashes(prob_minhash(text, digest, weight, texts))
+        made[:, :BANDS] = True
+    repeats = np.unique(text[weight > 1])
+    if len(repeats):
+        of = np.isin(text, repeats)
+        plain = prob_minhash(np.searchsorted(repeats, text[of]), digest[of], np.ones(int(of.sum()), np.int64), len(repeats))
+        bands[repeats, BANDS:] = band_hashes(plain)
+        made[repeats, BANDS:] = bands[repeats, BANDS:] != bands[repeats, :BANDS]
+    return bands, made
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = string_parts(batch.column("t"))
@@ -121,13 +139,12 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d = [Rolling(codes[k], k).of(places[:-1], places[1:]) for k in (0, 1)]
             filled = np.flatnonzero(np.diff(places) > 0)
             text, digest, weight = shingles(codes[0], places)
-            bands = np.zeros((j - i, BANDS), dtype=np.uint64)
             dense = np.zeros(j - i, np.int64)
             dense[filled] = np.arange(len(filled))
-            if len(filled):
-                bands[filled] = band_hashes(prob_minhash(dense[text], digest, weight, len(filled)))
-            sizes = np.where(np.diff(places) > 0, BANDS, 0)
-            flat = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(signed(np.ascontiguousarray(bands[filled])).ravel()))
+            bands, made = text_bands(dense[text], digest, weight, len(filled))
+            sizes = np.zeros(j - i, np.int64)
+            sizes[filled] = made.sum(axis=1)
+            flat = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(signed(bands[made])))
             part = batch.slice(i, j - i)
             yield pa.RecordBatch.from_arrays([part.column("k"), part.column("th"), pa.array(signed(d[0])), pa.array(signed(d[1])), flat], names=["k", "th", "d1", "d2", "bands"])
 

@@ -105,3 +105,19 @@ def test_components_of_a_path(spark, monkeypatch, local):
     monkeypatch.setattr(nd, "LOCAL_EDGES", local)
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (95, 100)], "cx long, cy long")
     assert {(r["id"], r["c"]) for r in nd.components(edges, Scratch(spark)).collect()} == {(i, 0) for i in range(41)} | {(i, 90) for i in (90, 95, 100)}
+
+
+def test_near_copies_that_differ_by_a_frequent_line(spark):
+    """Near by distinct shingles only: the repeated line leaves little probability Jaccard."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    rows = []
+    for n in range(0, 24, 2):
+        text, line = rng.choices(vocabulary, k=304), rng.choices(vocabulary, k=12)
+        rows += [(n, " ".join(text)), (n + 1, " ".join(text + line * 60))]
+        a, b = weighted(rows[-2][1]), weighted(rows[-1][1])
+        assert len(a.keys() & b.keys()) / len(a.keys() | b.keys()) > 0.9 and probability_jaccard(a, b) < 0.4
+    want = brute(rows)
+    assert all(want[n + 1] == n for n in range(0, 24, 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(df).collect()} == want
