@@ -150,10 +150,9 @@ def wer_by_lang(spark, sf):
 
 @query(f"""WITH {_ERRORS}, s AS (SELECT doc_id, n, err FROM e) SELECT doc_id, round(sum(err) OVER x * 100.0 / greatest(sum(n) OVER x, 1), 6) AS wer FROM s WHERE doc_id < 200 WINDOW x AS (PARTITION BY doc_id // 50 ORDER BY doc_id)""")
 def running_wer(spark, sf):
-    """Cumulative rate within blocks of fifty utterances; the display shows the first two hundred."""
+    """Cumulative rate within blocks of fifty utterances."""
     w = Window.partitionBy(F.floor(F.col("doc_id") / 50)).orderBy("doc_id")
-    e = _errors(spark, sf).filter("doc_id < 200")
-    return e.select("doc_id", F.round(F.sum("err").over(w) * 100.0 / F.greatest(F.sum("n").over(w), F.lit(1)), 6).alias("wer"))
+    return _errors(spark, sf).select("doc_id", F.round(F.sum("err").over(w) * 100.0 / F.greatest(F.sum("n").over(w), F.lit(1)), 6).alias("wer"))
 
 
 @query(r"""WITH w AS (SELECT doc_id, list_slice(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> ''), 1, 20) AS r FROM documents), h AS (SELECT doc_id, r, list_filter(r, lambda x, i: (doc_id + i) % 6 <> 0) AS h FROM w)
