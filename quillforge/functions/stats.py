@@ -6,7 +6,7 @@ forms take a sorted array column, so they suit per-group samples of a size that
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +47,19 @@ def trunc_clamped(ordered: Column, p: float) -> Column:
     return _at(ordered, F.least((F.lit(p) * F.size(ordered)).cast("int"), F.size(ordered) - 1))
 
 
+def at_ranks(rows: DataFrame, group: str, value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """One row per group: for each name the value at the 0-based index that its function gives of the number of values.
+
+    Values are counted first and found by cumulative count, so no row holds a group; nulls do not count, and an index
+    beyond the last gives null.
+    """
+    w = Window.partitionBy(group)
+    counts = rows.groupBy(group, value).agg(F.count(value).alias("__n"))
+    placed = counts.withColumns({"__end": F.sum("__n").over(w.orderBy(value)), "__total": F.sum("__n").over(w)})
+    hit = lambda at: F.col(value).isNotNull() & (F.col("__end") > at)
+    return placed.groupBy(group).agg(*[F.min(F.when(hit(at(F.col("__total"))), F.col(value))).alias(name) for name, at in ranks.items()], F.first("__total").alias("n"))
+
+
 def micro_rate(errors: Column, total: Column) -> Column:
     """Aggregate: sum of errors over sum of reference units, in percent; one unit at least."""
     return F.sum(errors) * 100.0 / F.greatest(F.sum(total), F.lit(1))

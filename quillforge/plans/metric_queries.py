@@ -216,11 +216,17 @@ def distribution_report(spark, sf):
 @query("""WITH o AS (SELECT event_type, list_sort(list(value)) AS v, len(list(value)) AS n, quantile_cont(value::DOUBLE, 0.9) AS linear FROM events WHERE user_id % 50 = 3 GROUP BY event_type)
 SELECT event_type, v[greatest(ceil(0.9 * n), 1)::INT] AS nearest, v[floor((n - 1) * 0.9)::INT + 1] AS low, round(linear, 6) AS linear, v[floor(0.9 * (n - 1))::INT + 1] AS below, v[floor(0.9 * n)::INT + 1] AS trunc, v[least(floor(0.9 * n)::INT, n - 1) + 1] AS clamped FROM o""")
 def percentile_conventions(spark, sf):
-    """Six conventions on the same small samples."""
-    e = table(spark, sf, "events").filter("user_id % 50 = 3")
-    o = e.groupBy("event_type").agg(F.array_sort(F.collect_list("value")).alias("v"), S.nearest_rank(F.col("value"), 0.9).alias("nearest"), F.round(S.linear(F.col("value"), 0.9), 6).alias("linear"))
-    v = F.col("v")
-    return o.select("event_type", "nearest", S.lower(v, 0.9).alias("low"), "linear", S.trunc_below(v, 0.9).alias("below"), S.trunc(v, 0.9).alias("trunc"), S.trunc_clamped(v, 0.9).alias("clamped"))
+    """Six conventions on the same values, by rank."""
+    p = F.lit(0.9)
+    whole = lambda x: x.cast("long")
+    ranks = {
+        "nearest": lambda n: F.greatest(F.ceil(p * n), F.lit(1)) - 1, "low": lambda n: F.floor((n - 1) * p), "below": lambda n: whole(p * (n - 1)), "trunc": lambda n: whole(p * n),
+        "clamped": lambda n: F.least(whole(p * n), n - 1), "floor_": lambda n: F.floor((n - 1) * p), "ceil_": lambda n: F.ceil((n - 1) * p),
+    }
+    o = S.at_ranks(table(spark, sf, "events"), "event_type", "value", ranks)
+    share = (F.col("n") - 1) * p - F.floor((F.col("n") - 1) * p)
+    linear = F.when(F.col("floor_") == F.col("ceil_"), F.col("floor_")).otherwise((1 - share) * F.col("floor_") + share * F.col("ceil_"))
+    return o.select("event_type", "nearest", "low", F.round(linear, 6).alias("linear"), "below", "trunc", "clamped")
 
 
 # ---------------------------------------------------------------- harness

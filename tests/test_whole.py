@@ -26,3 +26,18 @@ def test_running_wer_has_every_document(spark, tmp_path):
     docs = spark.createDataFrame([(i, "en", "a b c d e f g h i j k") for i in (3, 199, 200, 201, 950)], "doc_id long, lang string, text string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r["doc_id"] for r in catalog.QUERIES["running_wer"](spark, str(tmp_path)).collect()) == [3, 199, 200, 201, 950]
+
+
+def test_percentile_conventions_count_every_event(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(u, "xy"[u % 2], float(rng.randrange(40))) for u in range(201)] + [(900, "one", 5.0), (901, "x", None)]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["event_type"]: r.asDict() for r in catalog.QUERIES["percentile_conventions"](spark, str(tmp_path)).collect()}
+    assert set(got) == {"x", "y", "one"}
+    for kind, r in got.items():
+        v = sorted(x for _, k, x in rows if k == kind and x is not None)
+        n, at = len(v), 0.9 * (len(v) - 1)
+        lo, part = int(at), at - int(at)
+        assert (r["low"], r["below"], r["clamped"], r["trunc"]) == (v[lo], v[lo], v[min(int(0.9 * n), n - 1)], v[int(0.9 * n)] if int(0.9 * n) < n else None)
+        assert r["nearest"] == v[max(-(-9 * n // 10), 1) - 1]
+        assert abs(r["linear"] - (v[lo] + part * (v[min(lo + 1, n - 1)] - v[lo]))) < 1e-6
