@@ -99,8 +99,8 @@ c AS (SELECT conv_id, turn, CASE WHEN a = '' AND b = '' THEN 0.0 WHEN a = '' OR
 
 
 def _agreement(spark, sf):
-    """The pair's fields are 60 characters long by definition."""
-    clean = F.substring(F.regexp_replace(F.lower("text"), "[^a-z ]", ""), 1, 60)
+    """Pairs of whole normalised turns."""
+    clean = F.regexp_replace(F.lower("text"), "[^a-z ]", "")
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", clean.alias("t"))
     users = turns.filter("role = 'user'").select("conv_id", "turn", F.col("t").alias("a"))
     answers = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("b"))

@@ -41,3 +41,12 @@ def test_percentile_conventions_count_every_event(spark, tmp_path):
         assert (r["low"], r["below"], r["clamped"], r["trunc"]) == (v[lo], v[lo], v[min(int(0.9 * n), n - 1)], v[int(0.9 * n)] if int(0.9 * n) < n else None)
         assert r["nearest"] == v[max(-(-9 * n // 10), 1) - 1]
         assert abs(r["linear"] - (v[lo] + part * (v[min(lo + 1, n - 1)] - v[lo]))) < 1e-6
+
+
+def test_agreement_compares_whole_turns(spark, tmp_path):
+    same = "a" * 70
+    rows = [(1, 0, "user", same + "bbb"), (1, 1, "assistant", same + "c"), (2, 0, "user", same), (2, 1, "assistant", same)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r["cer"] for r in catalog.QUERIES["agreement_cer"](spark, str(tmp_path)).collect()}
+    assert got == {1: round(3 / 73, 6), 2: 0.0}
+    assert [r["conv_id"] for r in catalog.QUERIES["agreement_filter"](spark, str(tmp_path)).collect()] == [2]
