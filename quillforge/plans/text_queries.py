@@ -72,8 +72,7 @@ def noise_audit_by_source(spark, sf):
 
 @query(f"SELECT doc_id, {TRAIN_SQL} AS norm FROM (SELECT doc_id, substr(text, 1, 200) AS text FROM documents)")
 def normalize_train_target(spark, sf):
-    """A field of 200 characters is what is normalised here."""
-    return table(spark, sf, "documents").select("doc_id", T.normalize_train_target(F.substring("text", 1, 200)).alias("norm"))
+    return table(spark, sf, "documents").select("doc_id", T.normalize_train_target(F.col("text")).alias("norm"))
 
 
 @query(rf"""WITH c AS (SELECT conv_id, turn, trim(regexp_replace(lower(coalesce(text, '')), '^\s+|\s+$', '', 'g')) AS t FROM conversations),

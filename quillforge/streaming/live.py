@@ -120,9 +120,10 @@ def agreement_batch(hypotheses: DataFrame) -> DataFrame:
 
 
 def committed_words(conversations: DataFrame) -> DataFrame:
-    """Each turn's text so far is a hypothesis: growing prefixes of the turn's first words, three words a step."""
-    words = F.slice(F.filter(F.split("text", r"\s+"), lambda x: x != ""), 1, 12)
-    turns = conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("stream_id"), words.alias("w")).withColumn("seq", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    """Each turn's text so far is a hypothesis: growing prefixes to its end, three words a step and four steps at least."""
+    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    turns = conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("stream_id"), words.alias("w"))
+    turns = turns.withColumn("seq", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(4), F.ceil(F.size("w") / 3).cast("int")))))
     hyps = turns.select("stream_id", "seq", F.slice("w", F.lit(1), F.col("seq") * 3).alias("words"))
     hyps = hyps.withColumn("times", F.transform("words", lambda w, i: (i * 0.6).cast("double")))
     return agreement_batch(hyps).select("stream_id", F.size("committed").alias("committed"), F.size("tail").alias("tail"))

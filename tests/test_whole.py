@@ -50,3 +50,16 @@ def test_agreement_compares_whole_turns(spark, tmp_path):
     got = {r["conv_id"]: r["cer"] for r in catalog.QUERIES["agreement_cer"](spark, str(tmp_path)).collect()}
     assert got == {1: round(3 / 73, 6), 2: 0.0}
     assert [r["conv_id"] for r in catalog.QUERIES["agreement_filter"](spark, str(tmp_path)).collect()] == [2]
+
+
+def test_training_target_keeps_the_whole_text(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(100))
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalog.QUERIES["normalize_train_target"](spark, str(tmp_path)).first()["norm"].split()[-1] == "word99"
+
+
+def test_local_agreement_runs_to_the_end_of_a_turn(spark, tmp_path):
+    rows = [(1, t, " ".join(f"w{i}" for i in range(n))) for t, n in enumerate((2, 12, 14, 40))]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = catalog.QUERIES["local_agreement"](spark, str(tmp_path)).orderBy("stream_id").collect()
+    assert [(r["committed"], r["tail"]) for r in got] == [(2, 0), (9, 3), (12, 2), (39, 1)]
