@@ -56,8 +56,8 @@ def clamp(supervisions: Column, duration: Column) -> Column:
     return F.transform(supervisions, lambda s: s.withField("duration", end(s)))
 
 
-def numbered(rows: DataFrame, prefix: str, order: Sequence[str], width: int = 8) -> DataFrame:
-    """Adds id, prefix and the row's number in a stable order.
+def row_numbers(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Adds number, the row's place from 0 in a stable order.
 
     Numbers continue over ranges of the order: a range's rows are counted first, so no task sees all rows.
     """
@@ -73,7 +73,12 @@ def numbered(rows: DataFrame, prefix: str, order: Sequence[str], width: int = 8)
         before[p], total = total, total + counts[p]
     offsets = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
     number = F.element_at(offsets, F.col("__part")).cast("long") + F.col("__at")
-    return fixed.withColumn("id", T.padded_id(prefix, number, width)).drop("__row", "__part", "__at")
+    return fixed.withColumn("number", number).drop("__row", "__part", "__at")
+
+
+def numbered(rows: DataFrame, prefix: str, order: Sequence[str], width: int = 8) -> DataFrame:
+    """Adds id, prefix and the row's number in a stable order."""
+    return row_numbers(rows, order).withColumn("id", T.padded_id(prefix, F.col("number"), width)).drop("number")
 
 
 def guard_split(split: str, min_votes: int | None) -> None:
@@ -155,9 +160,9 @@ def weighted_choice(u: Column, weights: Sequence[tuple[str, float]]) -> Column:
 
 
 def first_seen_vocabulary(symbols: DataFrame, order: Sequence[str], symbol: str, reserved: int = 2) -> DataFrame:
-    """symbol, id by first appearance after the reserved ids.  A symbol set is small, the rows are not: they are aggregated first."""
+    """symbol, id by first appearance after the reserved ids."""
     firsts = symbols.groupBy(symbol).agg(F.min(F.struct(*order)).alias("at"))
-    return firsts.select(symbol, (F.row_number().over(Window.orderBy("at", symbol)) + reserved - 1).cast("int").alias("id"))
+    return row_numbers(firsts, ["at", symbol]).select(symbol, (F.col("number") + reserved).cast("int").alias("id"))
 
 
 def vocabulary_fingerprint(vocabulary: DataFrame) -> DataFrame:

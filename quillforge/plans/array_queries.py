@@ -160,7 +160,7 @@ v AS (SELECT w AS token, row_number() OVER (ORDER BY min({'d': doc_id, 'p': pos}
 
 
 def _vocabulary(spark, sf):
-    words = table(spark, sf, "documents").filter("lang = 'es'").select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "token"))
+    words = table(spark, sf, "documents").select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "token"))
     return C.first_seen_vocabulary(words, ["doc_id", "pos"], "token")
 
 

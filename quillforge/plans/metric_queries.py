@@ -55,7 +55,7 @@ d AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(text, '[/\-_.\s]+
 SELECT item_id, count(*) AS tokens FROM b JOIN d USING (tok) GROUP BY item_id""")
 def benchmark_leak_tokens(spark, sf):
     one = table(spark, sf, "benchmark").select("item_id", F.explode(T.path_tokens(F.col("text"))).alias("tok")).distinct()
-    two = table(spark, sf, "documents").filter("lang = 'en'").select(F.explode(T.path_tokens(F.col("text"))).alias("tok")).distinct()
+    two = table(spark, sf, "documents").select(F.explode(T.path_tokens(F.col("text"))).alias("tok")).distinct()
     return one.join(two, "tok").groupBy("item_id").agg(F.count("*").alias("tokens"))
 
 

@@ -18,9 +18,9 @@ from .metric_queries import _PAIRS, _agreement
 @query(r"""WITH w AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS w FROM documents WHERE lang = 'de')
 SELECT w AS word, row_number() OVER (ORDER BY w) + 1 AS id FROM w""")
 def word_list_ids(spark, sf):
-    """Distinct words in byte order with ids after two reserved ones.  A word list is written by one task."""
-    words = table(spark, sf, "documents").filter("lang = 'de'").select(F.explode(T.tokens(F.col("text"))).alias("word")).distinct()
-    return words.select("word", (F.row_number().over(Window.orderBy("word")) + 1).alias("id"))
+    """Distinct words in byte order with ids after two reserved ones."""
+    words = table(spark, sf, "documents").select(F.explode(T.tokens(F.col("text"))).alias("word")).distinct()
+    return C.row_numbers(words, ["word"]).select("word", (F.col("number") + 2).cast("int").alias("id"))
 
 
 @query("""WITH b AS (SELECT unnest([0.0, 0.5, 1.0, 2.0, 4.0]) AS beta), e AS (SELECT vec_id, beta, (embedding[1] - beta < list_max(embedding[2:]))::INT AS hit FROM embeddings, b)

@@ -153,7 +153,7 @@ def clock_lines(spark, sf):
 
 @query("SELECT 'utt_' || lpad((row_number() OVER (ORDER BY source, doc_id) - 1)::VARCHAR, 8, '0') AS id, doc_id FROM documents WHERE lang = 'en'")
 def sequential_ids(spark, sf):
-    return C.numbered(table(spark, sf, "documents").filter("lang = 'en'").select("source", "doc_id"), "utt_", ["source", "doc_id"]).select("id", "doc_id")
+    return C.numbered(table(spark, sf, "documents").select("source", "doc_id"), "utt_", ["source", "doc_id"]).select("id", "doc_id")
 
 
 @query("SELECT min(doc_id) AS doc_id FROM documents WHERE contains(lower(text), lower((SELECT substr(trim(text), 1, 30) FROM documents WHERE doc_id = 15)))")

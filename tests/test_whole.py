@@ -63,3 +63,16 @@ def test_local_agreement_runs_to_the_end_of_a_turn(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = catalog.QUERIES["local_agreement"](spark, str(tmp_path)).orderBy("stream_id").collect()
     assert [(r["committed"], r["tail"]) for r in got] == [(2, 0), (9, 3), (12, 2), (39, 1)]
+
+
+def test_word_lists_and_audits_read_every_language(spark, tmp_path):
+    docs = [(i, lang, f"src-{i}", f"leak{lang}word common only{lang}") for i, lang in enumerate(("en", "de", "fr", "es"))]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "leakenword leakdeword leakfrword leakesword")], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    assert [(r["item_id"], r["tokens"]) for r in run("benchmark_leak_tokens")] == [(7, 4)]
+    flat = [w for d in docs for w in d[3].split()]
+    assert {r["word"]: r["id"] for r in run("word_list_ids")} == {w: i + 2 for i, w in enumerate(sorted(set(flat)))}
+    assert {r["token"]: r["id"] for r in run("vocab_first_seen")} == {w: i + 2 for i, w in enumerate(dict.fromkeys(flat))}
+    assert run("vocab_fingerprint")[0]["size"] == len(set(flat))
+    assert sorted((r["doc_id"], r["id"]) for r in run("sequential_ids")) == [(i, f"utt_{i:08d}") for i in range(4)]
