@@ -1,37 +1,74 @@
 """Edit distances and alignments.
 
-Word distances use the built-in levenshtein: each distinct word of a pair becomes one character.  That stays in the
-JVM and is exact up to 20,000 distinct words per pair.
+Distances of whole texts are bit-parallel (Myers, in Hyyro's form): a column of the table is one integer, so a text of
+n words takes n steps of n bits.  Alignments keep every BLOCK-th column and make the others again on the way back.
 """
 
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-_BASE = 0x4E00
+#: Columns between two that an alignment keeps.
+BLOCK = 256
 _COUNTS = StructType([StructField(c, IntegerType()) for c in ("hits", "substitutions", "deletions", "insertions")])
 _BLOCKS = ArrayType(StructType([StructField(c, StringType()) for c in ("op", "ref", "hyp")]))
 
 
-def _as_chars(words: Column, vocabulary: Column) -> Column:
-    return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + F.lit(_BASE)), 4, "0")), "UTF-16BE")), "")
+def _masks(ref: Sequence) -> dict:
+    out: dict = {}
+    for i, x in enumerate(ref):
+        out.setdefault(x, []).append(i)
+    mask = bytearray((len(ref) + 7) // 8)
+    for x, at in out.items():
+        for i in at:
+            mask[i >> 3] |= 1 << (i & 7)
+        out[x] = int.from_bytes(mask, "little")
+        for i in at:
+            mask[i >> 3] = 0
+    return out
+
+
+def _column(eq: int, pv: int, mv: int, full: int) -> tuple[int, int, int, int, int]:
+    """Next pv and mv (vertical steps of +1 and -1), equal diagonals, and horizontal steps of +1 and -1."""
+    d0 = ((((eq & pv) + pv) ^ pv) | eq | mv) & full
+    ph, mh = mv | (full & ~(d0 | pv)), pv & d0
+    up, down = ((ph << 1) | 1) & full, (mh << 1) & full
+    return down | (full & ~(d0 | up)), up & d0, d0, ph, mh
+
+
+def distance(ref: Sequence, hyp: Sequence) -> int:
+    """Levenshtein distance with unit costs, of any length."""
+    if not len(ref):
+        return len(hyp)
+    masks, full, last = _masks(ref), (1 << len(ref)) - 1, len(ref) - 1
+    pv, mv, out = full, 0, len(ref)
+    for x in hyp:
+        pv, mv, _, ph, mh = _column(masks.get(x, 0), pv, mv, full)
+        out += (ph >> last) - (mh >> last)
+    return out
+
+
+@F.arrow_udf(IntegerType())
+def word_distance(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    """Levenshtein distance of two word arrays with unit costs."""
+    return pa.array([None if not (r.is_valid and h.is_valid) else distance(r.as_py(), h.as_py()) for r, h in zip(ref, hyp, strict=True)], pa.int32())
 
 
-def word_distance(ref: Column, hyp: Column) -> Column:
-    """Levenshtein distance of two word arrays with unit costs."""
-    vocabulary = F.array_distinct(F.concat(ref, hyp))
-    return F.levenshtein(_as_chars(ref, vocabulary), _as_chars(hyp, vocabulary))
+@F.arrow_udf(IntegerType())
+def _text_distance(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+    return pa.array([None if not (r.is_valid and h.is_valid) else distance(r.as_py(), h.as_py()) for r, h in zip(ref, hyp, strict=True)], pa.int32())
 
 
 def char_distance(ref: Column, hyp: Column) -> Column:
     """Distance of the words' characters, without spaces."""
-    return F.levenshtein(F.array_join(ref, ""), F.array_join(hyp, ""))
+    return _text_distance(F.array_join(ref, ""), F.array_join(hyp, ""))
 
 
 def pairwise_cer(a: Column, b: Column) -> Column:
@@ -47,34 +84,41 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.slice(a, 1, F.when(first > 0, (first - 1).cast("int")).otherwise(n))
 
 
-def _operations(ref: list, hyp: list) -> tuple[int, int, int, int]:
+def _operations(ref: Sequence, hyp: Sequence) -> tuple[int, int, int, int]:
     """Hits, substitutions, deletions and insertions of one best alignment."""
-    n, m = len(ref), len(hyp)
-    row = [list(range(m + 1))]
-    for i in range(1, n + 1):
-        last, new = row[-1], [i] + [0] * m
-        for j in range(1, m + 1):
-            new[j] = min(last[j - 1] + (ref[i - 1] != hyp[j - 1]), last[j] + 1, new[j - 1] + 1)
-        row.append(new)
-    out, i, j = [0, 0, 0, 0], n, m
-    while i or j:
-        if i and j and row[i][j] == row[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]):
-            out[ref[i - 1] != hyp[j - 1]] += 1
-            i, j = i - 1, j - 1
-        elif i and row[i][j] == row[i - 1][j] + 1:
-            out[2] += 1
-            i -= 1
-        else:
-            out[3] += 1
-            j -= 1
-    return tuple(out)
-
-
-@F.pandas_udf(_COUNTS)
-def operations(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
+    masks, full = _masks(ref), (1 << len(ref)) - 1
+    kept, state = [], (full, 0)
+    for j, x in enumerate(hyp):
+        if j % BLOCK == 0:
+            kept.append(state)
+        state = _column(masks.get(x, 0), *state, full)[:2]
+    out, i, j = [0, 0, 0, 0], len(ref), len(hyp)
+    while i and j:
+        start = (j - 1) // BLOCK * BLOCK
+        state, columns = kept[start // BLOCK], []
+        for x in hyp[start:j]:
+            pv, mv, d0, _, _ = _column(masks.get(x, 0), *state, full)
+            state = pv, mv
+            columns.append((pv, d0))
+        while i and j > start:
+            pv, d0 = columns[j - 1 - start]
+            if ref[i - 1] == hyp[j - 1] or not d0 >> (i - 1) & 1:
+                out[ref[i - 1] != hyp[j - 1]] += 1
+                i, j = i - 1, j - 1
+            elif pv >> (i - 1) & 1:
+                out[2] += 1
+                i -= 1
+            else:
+                out[3] += 1
+                j -= 1
+    return out[0], out[1], out[2] + i, out[3] + j
+
+
+@F.arrow_udf(_COUNTS)
+def operations(refs: pa.Array, hyps: pa.Array) -> pa.Array:
     """Decomposition of the word distance; the split among equal alignments prefers substitutions."""
-    rows = [_operations(list(r), list(h)) for r, h in zip(refs, hyps, strict=True)]
-    return pd.DataFrame(rows, columns=["hits", "substitutions", "deletions", "insertions"]).astype("int32")
+    rows = [_operations(r.as_py() or [], h.as_py() or []) for r, h in zip(refs, hyps, strict=True)]
+    return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int32()) for k in range(4)], names=list(_COUNTS.fieldNames()))
 
 
 @F.pandas_udf(_BLOCKS)

@@ -76,3 +76,34 @@ def test_word_lists_and_audits_read_every_language(spark, tmp_path):
     assert {r["token"]: r["id"] for r in run("vocab_first_seen")} == {w: i + 2 for i, w in enumerate(dict.fromkeys(flat))}
     assert run("vocab_fingerprint")[0]["size"] == len(set(flat))
     assert sorted((r["doc_id"], r["id"]) for r in run("sequential_ids")) == [(i, f"utt_{i:08d}") for i in range(4)]
+
+
+def test_distances_of_any_length_are_exact():
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = (rng.choices("abcde", k=rng.randrange(40)) for _ in range(2))
+        assert A.distance(a, b) == levenshtein(a, b)
+        hits, subs, dels, ins = A._operations(a, b)
+        assert (subs + dels + ins, hits + subs + dels, hits + subs + ins) == (levenshtein(a, b), len(a), len(b))
+    a, b = (rng.choices("abcde", k=n) for n in (700, 600))  # several blocks
+    assert A.distance(a, b) == levenshtein(a, b) == sum(A._operations(a, b)[1:])
+
+
+def test_error_rates_read_whole_texts(spark, tmp_path):
+    rng = random.Random(5)
+    texts = {i: [f"w{rng.randrange(90)}" for _ in range(n)] for i, n in enumerate((0, 5, 41, 150, 330))}
+    docs = spark.createDataFrame([(i, "en", " ".join(t)) for i, t in texts.items()], "doc_id long, lang string, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("a", "w1 w2")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    errors = 0
+    for d, r in texts.items():
+        h = ["?" if (d + i) % 7 == 0 else x for i, x in enumerate(r, 1) if (d + i) % 11]
+        errors += levenshtein(r, h)
+    for name in ("wer_by_lang", "error_decomposition"):
+        one = catalog.QUERIES[name](spark, str(tmp_path)).first()
+        assert (one["errors"], one["words"]) == (errors, sum(map(len, texts.values())))
+    assert sum(r["n"] for r in catalog.QUERIES["error_classes"](spark, str(tmp_path)).collect()) >= errors
+    chars = ["".join("w" for _ in t) for t in texts.values()]
+    one = catalog.QUERIES["cer_micro"](spark, str(tmp_path)).first()
+    dropped = sum(sum((d + i) % 6 == 0 for i in range(1, len(c) + 1)) for d, c in enumerate(chars))
+    assert (one["errors"], one["chars"]) == (dropped, sum(map(len, chars)))
