@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows to resample that are broadcast at most.
+BROADCAST_ROWS = 2_000_000
+
+
 def nearest_rank(value: Column, p: float) -> Column:
     """Aggregate: the ceil(p n)-th value; null for no rows."""
     ordered = F.array_sort(F.collect_list(value))
@@ -75,22 +79,28 @@ def draw(seed: int, replicate: Column, slot: Column, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), replicate.cast("string"), slot.cast("string"))), 1, 8), 16, 10).cast("long"), n)
 
 
-def bootstrap_sums(rows: DataFrame, key: str, cols: Sequence[str], replicates: int, seed: int) -> DataFrame:
-    """(replicate, sums of cols) of resamples with replacement; rows are numbered by key.
+def _resamples(rows: DataFrame, key: str, cols: Sequence[str], replicates: int, seed: int) -> DataFrame:
+    """(replicate, i, cols): draws with replacement of as many rows as there are, numbered by key.
 
-    Evaluation sets hold thousands of utterances, so the numbered rows are broadcast after their size is checked;
-    replicate x slot rows are generated where they are summed and never stored.
+    The numbered rows are broadcast if they are few, else both sides are exchanged by i.
     """
+    from quillforge.operators.corpus import row_numbers
+
     n = rows.count()
     if n == 0:
         raise ValueError("no rows to resample")
-    if n > 2_000_000:
-        raise ValueError("reduce the rows first (error_histogram); a resample is as long as its source")
-    ranked = rows.select((F.row_number().over(Window.orderBy(key)) - 1).cast("long").alias("i"), *cols)
-    spark = rows.sparkSession
-    draws = spark.range(replicates).select((F.col("id") + 1).alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
+    ranked = row_numbers(rows.select(key, *[c for c in cols if c != key]), [key]).select(F.col("number").alias("i"), *cols)
+    draws = rows.sparkSession.range(replicates * n).select(F.expr(f"id div {n} + 1").alias("replicate"), (F.col("id") % n).alias("slot"))
     draws = draws.select("replicate", draw(seed, F.col("replicate"), F.col("slot"), F.lit(n)).alias("i"))
-    return draws.join(F.broadcast(ranked), "i").groupBy("replicate").agg(*[F.sum(c).alias(c) for c in cols])
+    return draws.join(F.broadcast(ranked) if n <= BROADCAST_ROWS else ranked.hint("merge"), "i")
+
+
+def bootstrap_sums(rows: DataFrame, key: str, cols: Sequence[str], replicates: int, seed: int) -> DataFrame:
+    """(replicate, sums of cols) of resamples with replacement; rows are numbered by key.
+
+    Replicate x slot rows are generated where they are used and never stored.
+    """
+    return _resamples(rows, key, cols, replicates, seed).groupBy("replicate").agg(*[F.sum(c).alias(c) for c in cols])
 
 
 def bootstrap_interval(sums: DataFrame, value: Column, low: float = 0.025, high: float = 0.975, rule=trunc_below) -> DataFrame:
@@ -129,15 +139,7 @@ def calibrated_threshold(values: DataFrame, value: str, keep: float) -> DataFram
 
 def bootstrap_percentile(rows: DataFrame, key: str, value: str, p: float, replicates: int, seed: int) -> DataFrame:
     """One row: the interval of a percentile (rule: lower within a resample, linear over resamples)."""
-    n = rows.count()
-    if n == 0:
-        raise ValueError("no rows to resample")
-    if n > 2_000_000:
-        raise ValueError("a resample is as long as its source; calibrate on a sample")
-    ranked = rows.select((F.row_number().over(Window.orderBy(key)) - 1).cast("long").alias("i"), value)
-    draws = rows.sparkSession.range(replicates).select((F.col("id") + 1).alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
-    drawn = draws.select("replicate", draw(seed, F.col("replicate"), F.col("slot"), F.lit(n)).alias("i")).join(F.broadcast(ranked), "i")
-    each = drawn.groupBy("replicate").agg(lower(F.array_sort(F.collect_list(value)), p).alias("v"))
+    each = at_ranks(_resamples(rows, key, [value], replicates, seed), "replicate", value, {"v": lambda n: F.floor((n - 1) * F.lit(p))})
     return each.agg(F.percentile("v", F.lit(0.025)).alias("ci_low"), F.percentile("v", F.lit(0.975)).alias("ci_high"))
 
 

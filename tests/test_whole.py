@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from quillforge.functions import align as A
 from quillforge.functions import stats as S
 from quillforge.plans import catalog
@@ -107,3 +109,17 @@ def test_error_rates_read_whole_texts(spark, tmp_path):
     one = catalog.QUERIES["cer_micro"](spark, str(tmp_path)).first()
     dropped = sum(sum((d + i) % 6 == 0 for i in range(1, len(c) + 1)) for d, c in enumerate(chars))
     assert (one["errors"], one["chars"]) == (dropped, sum(map(len, chars)))
+
+
+def test_bootstrap_has_no_largest_input(spark, monkeypatch):
+    rows = spark.range(50).select("id", (F.col("id") * 7 % 13).alias("err"), F.lit(3).alias("n"))
+    sums = lambda: sorted(map(tuple, S.bootstrap_sums(rows, "id", ["err", "n"], 8, 5).collect()))
+    few, share = sums(), S.bootstrap_percentile(rows, "id", "err", 0.8, 8, 5).first()
+    assert len(few) == 8 and all(n == 150 for _, _, n in few)
+    monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
+    plan = S.bootstrap_sums(rows, "id", ["err", "n"], 8, 5)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and sums() == few
+    assert S.bootstrap_percentile(rows, "id", "err", 0.8, 8, 5).first() == share
+    # above the bound that made it fail
+    big = S.bootstrap_sums(spark.range(2_000_001).select("id", F.lit(1).alias("n")), "id", ["n"], 1, 5).collect()
+    assert [tuple(r) for r in big] == [(1, 2_000_001)]
