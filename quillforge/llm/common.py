@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,14 +80,15 @@ class Scratch:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def cut_lineage_by(df: DataFrame, parts: int, key: str) -> DataFrame:
-    """cut_lineage() of df dealt into parts by key, which the copy remembers: later steps grouped by key read it in place."""
+def cut_lineage_by(df: DataFrame, parts: int = 0, key: str = "") -> DataFrame:
+    """cut_lineage() of df, dealt into parts by key if given, which the copy remembers: later steps grouped by the key that
+    df is dealt by read it in place."""
     conf = df.sparkSession.conf
     adaptive = conf.get("spark.sql.adaptive.enabled")
     # an adaptive plan does not tell its partitioning to the checkpoint
     conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return cut_lineage(df.repartition(parts, key))
+        return cut_lineage(df.repartition(parts, key) if parts else df)
     finally:
         conf.set("spark.sql.adaptive.enabled", adaptive)
 
@@ -214,6 +216,25 @@ class Rolling:
         return mix((self.sums[width:] - self.sums[: n + 1]) * self.down[: n + 1] + _U(width))
 
 
+#: Longest word, in bytes, that the polynomial hash is used for: modulo 2^64 it meets crafted sequences of 1,024 and more.
+SHORT_WORD = 32
+
+
+def word_digests(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, which: int) -> np.ndarray:
+    """A 64-bit digest of each word."""
+    out = Rolling(byte_codes(data, which), which).of(starts, stops)
+    outsized = np.flatnonzero(stops - starts > SHORT_WORD)
+    if len(outsized):
+        out[outsized] = [xxhash.xxh3_64_intdigest(data[a:b].data, 1 + which) for a, b in zip(starts[outsized], stops[outsized], strict=True)]
+    return out
+
+
+def sequence_digests(codes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each whole sequence of codes [places[i], places[i + 1])."""
+    flat = np.ascontiguousarray(codes)
+    return np.array([xxhash.xxh3_64_intdigest(flat[a:b].data) for a, b in zip(places[:-1], places[1:], strict=True)], dtype=np.uint64)
+
+
 def byte_codes(data: np.ndarray, which: int) -> np.ndarray:
     return _BYTE_CODES[which][data]
 

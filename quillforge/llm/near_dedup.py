@@ -17,14 +17,23 @@ bucket with a probability of 2.2e-4, one at 0.85 of 5e-6.
   round before; every member not known to be connected is verified against them, and centres that are done leave.
   When the remaining members of a bucket are known to be connected it is done.  So no link between components is
   lost, and a bucket of near copies takes about as many pairs as it has members.
+* Texts that share only a common passage fill buckets without being near.  What the first round leaves is therefore
+  split by an exact prefix filter: the shingles of each text are ordered by the number of remaining texts that have
+  them, rarest first, and a bucket falls apart into one for each shingle of its texts' prefixes.  A prefix ends once
+  the shingles after it are less than THRESHOLD of the text, by number and by weight.  What two near texts share is
+  at least THRESHOLD of each by one of the two measures (the probability Jaccard is at most the sum of the smaller
+  shares), so the rarest shingle that they share is in both prefixes and no link is lost.
 * A centre that many members meet is dealt out in as many copies as its pairs need (PAIRS_PER_COPY), so a very
   large group is verified by many tasks.  Components are found by one task while
   the links are at most LOCAL_EDGES, else by label propagation with pointer jumping.
-* Verification compares shingles by 32 bits of their digests: the similarity may err by about n / 2^32.
+* Verification compares shingles by 64-bit digests; shingles of a text whose digests clash count as one, with the sum
+  of their weights.
 
 Words are ``[^\\x20\\x09-\\x0D]+``; a text of one to four words has one shingle, all of it; texts without words (null,
-empty) are copies of each other.  Rows that share an id share a class.  A null id sorts after all ids and class_id is
-then null.  Of each class the row with the least id (of repeated rows: the first) is kept.  Extra columns are ignored.
+empty) are copies of each other.  Rows that repeat an id are documents of their own, told apart by their texts; rows
+that repeat id and text are one vertex, as all copies are.  A null id sorts after all ids; class_id is null where all
+of a class have none.  Of each class the row with the least id (of repeated rows: the first) is kept.  Extra columns
+are ignored.  A text is held whole by one task, with about 40 bytes a word; signatures are made in steps.
 """
 
 from __future__ import annotations
@@ -37,8 +46,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import starts_of
-from .common import BLOCK_BYTES, NULL_ID, Rolling, Scratch, blocks, bounded_batches, cut_lineage_by, mix, signed, string_parts, table
+from .blobs import bucket_of, by_key, pack, starts_of, unpack, unpack_all
+from .common import BLOCK_BYTES, NULL_ID, Rolling, Scratch, blocks, bounded_batches, cut_lineage_by, mix, sequence_digests, signed, string_parts, table
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -47,8 +56,10 @@ BAND_ROWS = 4
 REGISTERS = BANDS * BAND_ROWS
 PAIRS_PER_COPY = 2000
 LOCAL_EDGES = 1_000_000
-#: Shingles that one vectorised step handles.
+#: Shingles that one step of a signature handles.
 STEP_SHINGLES = 400_000
+#: Bytes of shingle sets in a group of the prefix filter.
+PREFIX_GROUP_BYTES = 32 << 20
 
 
 class _Flat:
@@ -83,6 +94,14 @@ def prob_minhash(text: np.ndarray, digest: np.ndarray, weight: np.ndarray, texts
     """texts x registers: the digest of the first arrival in each register (0 where a text has no shingle)."""
     time = np.full(texts * registers, np.inf)
     winner = np.zeros(texts * registers, dtype=np.uint64)
+    for lo in range(0, len(text), STEP_SHINGLES):
+        part = slice(lo, lo + STEP_SHINGLES)
+        _arrivals(text[part], digest[part], weight[part], time, winner, texts, registers)
+    return winner.reshape(texts, registers)
+
+
+def _arrivals(text: np.ndarray, digest: np.ndarray, weight: np.ndarray, time: np.ndarray, winner: np.ndarray, texts: int, registers: int) -> None:
+    """Lets shingles arrive until none can still come first anywhere."""
     live = np.arange(len(text))
     at = np.zeros(len(text))
     step = 0
@@ -102,7 +121,6 @@ def prob_minhash(text: np.ndarray, digest: np.ndarray, weight: np.ndarray, texts
         step += many
         latest = time.reshape(texts, registers).max(axis=1)
         live = live[at[live] < latest[text[live]]]
-    return winner.reshape(texts, registers)
 
 
 def band_hashes(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
@@ -136,7 +154,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = string_parts(batch.column("t"))
         for i, j in blocks(offsets, 4 * BLOCK_BYTES):
             codes, places = _digests(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            d = [Rolling(codes[k], k).of(places[:-1], places[1:]) for k in (0, 1)]
+            d = [sequence_digests(codes[k], places) for k in (0, 1)]
             filled = np.flatnonzero(np.diff(places) > 0)
             text, digest, weight = shingles(codes[0], places)
             dense = np.zeros(j - i, np.int64)
@@ -150,21 +168,27 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted 32-bit digests of distinct shingles, and their weights where any is not one."""
+    """Sorted digests of distinct shingles, and their weights where any is not one."""
     for batch in batches:
         data, offsets = string_parts(batch.column("t"))
         for i, j in blocks(offsets, 4 * BLOCK_BYTES):
             codes, places = _digests(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            text, digest, weight = shingles(codes[0], places)
-            short = (digest >> np.uint64(32)).astype(np.uint32)
-            order = np.lexsort((short, text))
-            text, short, weight = text[order], short[order], weight[order].astype(np.uint32)
+            text, digest, weight = merged_weights(*shingles(codes[0], places))
             cut = np.searchsorted(text, np.arange(j - i + 1))
-            ids = [short[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            ids = [digest[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
             weights = [None if (weight[a:b] == 1).all() else weight[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("v").slice(i, j - i), pa.array(ids, pa.binary()), pa.array(weights, pa.binary())], names=["v", "ids", "weights"])
 
 
+def merged_weights(text: np.ndarray, digest: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted by text and digest; equal digests of a text become one, with the sum of their weights."""
+    order = np.lexsort((digest, text))
+    text, digest, weight = text[order], digest[order], weight[order]
+    head = np.flatnonzero(starts_of(text, digest))
+    weight = np.add.reduceat(weight, head) if len(head) else weight
+    return text[head], digest[head], weight.astype(np.uint32)
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two sets of distinct ids."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -188,12 +212,13 @@ def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
 
 
 def near(a: np.ndarray, wa: np.ndarray | None, b: np.ndarray, wb: np.ndarray | None, threshold: float) -> bool:
-    if len(a) != len(np.unique(a)) or len(b) != len(np.unique(b)):  # digests that agree in 32 bits
-        a, b = np.unique(a), np.unique(b)
-        wa = wb = None
+    """By distinct shingles or by weighted ones; ids are sorted and distinct, weights None are all one."""
+    plain = wa is None and wb is None
+    if plain and min(len(a), len(b)) < threshold * max(len(a), len(b)):
+        return False
     if jaccard(a, b) >= threshold:
         return True
-    if wa is None and wb is None:
+    if plain:
         return False
     return probability_jaccard(a, np.ones(len(a)) if wa is None else wa, b, np.ones(len(b)) if wb is None else wb) >= threshold
 
@@ -201,9 +226,10 @@ def near(a: np.ndarray, wa: np.ndarray | None, b: np.ndarray, wb: np.ndarray | N
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u = lambda x: None if x is None else np.frombuffer(x, "<u4")
+            ids = lambda x: np.frombuffer(x, "<u8")
+            weights = lambda x: None if x is None else np.frombuffer(x, "<u4")
             keep = [
-                near(u(a), u(wa), u(b), u(wb), threshold)
+                near(ids(a), weights(wa), ids(b), weights(wb), threshold)
                 for a, wa, b, wb in zip(*(batch.column(c).to_pylist() for c in ("x_ids", "x_weights", "ids", "weights")), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("x", "cx", "y", "cy")], names=["x", "cx", "y", "cy"])
@@ -253,6 +279,84 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
+def _flat_sets(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Each text's ids; all distinct ids, sorted; and how many of the texts have each."""
+    each = [np.frombuffer(x, "<u8") for x in table.column("ids").to_pylist()]
+    distinct, counts = np.unique(np.concatenate(each) if each else np.zeros(0, np.uint64), return_counts=True)
+    return each, distinct, counts
+
+
+def _ask_counts(ranges: int):
+    """From a group of texts to each range of digests: those the texts have, and in how many of them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        _, distinct, counts = _flat_sets(table)
+        r, blob = [], []
+        for k, at in by_key(bucket_of(distinct, ranges)):
+            r.append(k)
+            blob.append(pack([distinct[at], counts[at].astype(np.uint32)], delta=True))
+        return pa.table({"g": pa.array([table.column("g")[0].as_py()] * len(r), pa.int32()), "r": pa.array(r, pa.int32()), "blob": pa.array(blob, pa.binary())})
+
+    return run
+
+
+def _answer_counts(table: pa.Table) -> pa.Table:
+    """From a range of digests to each group: in how many texts of all groups its digests are."""
+    asked = [unpack(b, ["u8", "u4"], delta=True) for b in table.column("blob").to_pylist()]
+    distinct, where = np.unique(np.concatenate([d for d, _ in asked]), return_inverse=True)
+    total = np.zeros(len(distinct), np.uint64)
+    np.add.at(total, where, np.concatenate([c for _, c in asked]).astype(np.uint64))
+    cut = np.cumsum([0, *(len(d) for d, _ in asked)])
+    blob = [pack([total[where[a:b]]]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return table.set_column(table.column_names.index("blob"), "blob", pa.array(blob, pa.binary())).select(["g", "r", "blob"])
+
+
+def prefix(ids: np.ndarray, weights: np.ndarray | None, counts: np.ndarray, threshold: float) -> np.ndarray:
+    """The rarest shingles, until those after them are less than threshold of the text by number and by weight."""
+    order = np.lexsort((ids, counts))
+    w = np.ones(len(ids)) if weights is None else weights[order].astype(np.float64)
+    before = np.cumsum(w) - w
+    slack = 1 - threshold + 1e-9
+    keep = (np.arange(len(ids)) <= slack * len(ids)) | (before <= slack * w.sum())
+    return order[keep]
+
+
+def _prefixes(threshold: float):
+    """The prefix of each text, without the shingles that no other text has."""
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        each, distinct, _ = _flat_sets(texts)
+        parts = sorted(zip(answers.column("r").to_pylist(), answers.column("blob").to_pylist(), strict=True))
+        # ranges follow the order of the digests
+        total = unpack_all([b for _, b in parts], ["u8"])[0]
+        out = []
+        for ids, w in zip(each, texts.column("weights").to_pylist(), strict=True):
+            counts = total[np.searchsorted(distinct, ids)]
+            at = prefix(ids, None if w is None else np.frombuffer(w, "<u4"), counts, threshold)
+            out.append(ids[at[counts[at] > 1]].view(np.int64))
+        rows = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *out])))
+        return pa.table({"v": texts.column("v"), "shared": rows})
+
+    return run
+
+
+def split_by_prefix(alive: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """(b, v, c, place) of alive, each bucket split by the shingles of its texts' prefixes; whole components leave."""
+    parts = int(alive.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = sets.join(scratch.put(alive.select("v").distinct()), "v")
+    size = own.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    groups = max(parts, -(-size // PREFIX_GROUP_BYTES))
+    own = own.withColumn("g", F.pmod(F.xxhash64("v"), F.lit(groups)).cast("int"))
+    asked = own.select("g", "ids").groupBy("g").applyInArrow(_ask_counts(groups), "g int, r int, blob binary")
+    answers = asked.groupBy("r").applyInArrow(_answer_counts, "g int, r int, blob binary")
+    prefixes = own.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_prefixes(threshold), "v long, shared array<long>")
+    split = alive.join(prefixes, "v").select("b", "v", "c", F.explode("shared").alias("s")).select(F.xxhash64("b", "s").alias("b"), "v", "c")
+    split = scratch.put(split)
+    open_ = split.groupBy("b").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
+    place = F.pmod(F.xxhash64("v", "b"), F.lit(1_000_000)) * F.col("n") / 1_000_000
+    return scratch.put(split.join(open_.select("b", "n"), "b").select("b", "v", "c", place.alias("place")))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, class_id (least id of its class), text_hash (xxhash64 of the text), kept."""
     spark = docs.sparkSession
@@ -272,7 +376,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     members = scratch.put(exploded.join(shared, "b").select("b", "v", "x", place.alias("place")))
     wanted = distinct.select(F.col("first.row").alias("v"), F.col("first.k").alias("k"), F.col("first.th").alias("th")).join(members.select("v").distinct(), "v")
     sets = rows.join(wanted, ["k", "th"]).select("v", "t").mapInArrow(_shingle_sets, "v long, ids binary, weights binary")
-    sets = cut_lineage_by(sets, int(spark.conf.get("spark.sql.shuffle.partitions")), "v")
+    # rows that repeat id and text give one set
+    sets = cut_lineage_by(sets.groupBy("v").agg(F.first("ids").alias("ids"), F.first("weights").alias("weights")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         copies = pairs.groupBy("x").agg(F.ceil(F.count("*") / PAIRS_PER_COPY).cast("int").alias("copies"))
@@ -283,7 +388,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
 
     alive = members.filter("v <> x").select("b", "v", F.col("v").alias("c"), "place")
     pairs = members.filter("v <> x").select("x", F.col("x").alias("cx"), F.col("v").alias("y"), F.col("v").alias("cy")).distinct()
-    low, step, links = 0, 4, []
+    low, step, links = 0, 1, []
     while True:
         pairs = scratch.put(pairs)
         rest = alive.filter(F.col("place") >= low)
@@ -301,6 +406,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
         scratch.drop(pairs)
         if alive.isEmpty():
             break
+        if low == 0:
+            alive = split_by_prefix(alive, sets, threshold, scratch)
+            if alive.isEmpty():
+                break
         low, step = low + step, 4 * step
         centre = F.col("place") < low
         picks = alive.filter(centre).select("b", F.col("v").alias("x"), F.col("c").alias("cx"))
@@ -311,7 +420,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
         labels = components(reduce(DataFrame.unionByName, links), scratch).select(F.col("id").alias("v"), "c")
     named = distinct.select("d1", "d2", "first", F.col("first.row").alias("v"))
     named = named.withColumn("c", F.col("v")) if labels is None else named.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
-    # rows that share an id share a class
     least = named.groupBy("c").agg(F.min("first").alias("least"))
     classes = named.join(least, "c").select("d1", "d2", "least")
     out = signed_rows.select("k", "th", "row", "d1", "d2").join(classes, ["d1", "d2"])

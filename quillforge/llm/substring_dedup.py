@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .blobs import MAX_BUCKETS, bucket_of, by_key, cells, pack, starts_of, unpack_all
-from .common import BLOCK_BYTES, NULL_ID, Rolling, blocks, bounded_batches, byte_codes, cut_lineage, group_count, merge_runs, mix, ragged, table, word_spans
+from .common import BLOCK_BYTES, NULL_ID, Rolling, blocks, bounded_batches, cut_lineage, group_count, merge_runs, mix, ragged, table, word_digests, word_spans
 from .packed import Texts, packed_by_group
 from .suffix_dedup import _AT, _OPEN, _RUN, _SUFFIX, _rows, _send, _sliding_min, _to_groups
 
@@ -52,8 +52,8 @@ class Words:
             s, e, first = word_spans(data, base)
             starts.append(s + lo)
             stops.append(e + lo)
-            one.append(Rolling(byte_codes(data, 0), 0).of(s, e))
-            two.append(Rolling(byte_codes(data, 1), 1).of(s, e))
+            one.append(word_digests(data, s, e, 0))
+            two.append(word_digests(data, s, e, 1))
         empty = np.zeros(0, np.int64)
         self.starts, self.stops = np.concatenate([empty, *starts]), np.concatenate([empty, *stops])
         self.codes = (np.concatenate([np.zeros(0, np.uint64), *one]), np.concatenate([np.zeros(0, np.uint64), *two]))

@@ -35,7 +35,9 @@ def brute(rows, threshold=0.8):
     for i in range(len(rows)):
         for j in range(i):
             a, b = bags[i], bags[j]
-            if words(rows[i][1]) == words(rows[j][1]) or (a and b and (len(a.keys() & b.keys()) / len(a.keys() | b.keys()) >= threshold or probability_jaccard(a, b) >= threshold)):
+            # without repeats the two measures are equal
+            weights = set(a.values()) | set(b.values()) != {1}
+            if words(rows[i][1]) == words(rows[j][1]) or (a and b and (len(a.keys() & b.keys()) / len(a.keys() | b.keys()) >= threshold or (weights and probability_jaccard(a, b) >= threshold))):
                 parent[find(i)] = find(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -121,3 +123,82 @@ def test_near_copies_that_differ_by_a_frequent_line(spark):
     assert all(want[n + 1] == n for n in range(0, 24, 2))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(df).collect()} == want
+
+
+def thue_morse(n):
+    return ["ab"[bin(i).count("1") % 2] for i in range(n)]
+
+
+def test_a_passage_that_dissimilar_texts_share(spark):
+    """Texts meet in the buckets of the passage without being near; near ones among them are still found."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    passage = rng.choices(vocabulary, k=70)
+    rows = []
+    for n in range(0, 130, 2):
+        own = rng.choices(vocabulary, k=rng.choice([8, 15, 40, 60, 120]))
+        other = list(own)
+        other[rng.randrange(len(own))] = "x"
+        rows += [(n, " ".join(own + passage)), (n + 1, " ".join(other + passage if n % 8 else passage + own * 2))]
+    want = brute(rows)
+    assert 10 < len(set(want.values())) < 120
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(df).collect()} == want
+
+
+def test_a_rare_shared_shingle_is_in_both_prefixes():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        common = rng.choice(400, rng.integers(10, 60), replace=False)
+        sets = []
+        for _ in range(2):
+            ids = np.unique(np.append(common, rng.choice(400, rng.integers(0, 20)))).astype(np.uint64)
+            sets.append((ids, rng.integers(1, 4, len(ids)) if rng.random() < 0.5 else None))
+        df = rng.integers(1, 9, 400)
+        (a, wa), (b, wb) = sets
+        if nd.near(a, wa, b, wb, 0.8):
+            tops = [set(ids[nd.prefix(ids, w, df[ids.astype(int)], 0.8)].tolist()) for ids, w in sets]
+            assert tops[0] & tops[1]
+
+
+def test_sequences_that_defeat_polynomials_modulo_a_power_of_two(spark):
+    one = thue_morse(1024)
+    other = ["ab"["ba".index(x)] for x in one]
+    rows = [(0, " ".join(one)), (1, " ".join(other)), (2, "".join(one)), (3, "".join(other)), (4, "\t".join(one))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(df).collect()} == brute(rows)
+
+
+def test_clashing_digests_keep_their_weights():
+    text, digest, weight = nd.merged_weights(np.array([0, 0, 0, 1]), np.array([5, 3, 5, 5], np.uint64), np.array([2, 1, 3, 1]))
+    assert text.tolist() == [0, 0, 1] and digest.tolist() == [3, 5, 5] and weight.tolist() == [1, 5, 1]
+
+
+def test_signatures_in_steps(monkeypatch):
+    rng = np.random.default_rng(1)
+    args = np.sort(rng.integers(0, 4, 900)), rng.integers(1, 1 << 63, 900, dtype=np.uint64), rng.integers(1, 5, 900), 4
+    whole = nd.prob_minhash(*args)
+    monkeypatch.setattr(nd, "STEP_SHINGLES", 100)
+    assert (nd.prob_minhash(*args) == whole).all()
+
+
+def test_recall_on_a_larger_table(spark):
+    """Of the pairs of every fifth row with all rows that are near by distinct shingles, nine tenths at least."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(docs).collect()}
+    bags = {r["doc_id"]: set(weighted(r["text"])) for r in docs.collect()}
+    found = []
+    for q in (d for d in bags if d % 5 == 0 and bags[d]):
+        for d, b in bags.items():
+            if d != q and b and len(bags[q] & b) >= 0.8 * len(bags[q] | b):
+                found.append(got[d] == got[q])
+    assert len(found) > 10 and sum(found) >= 0.9 * len(found)
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    rng = random.Random(8)
+    long = " ".join(rng.choices([f"w{i}" for i in range(9000)], k=300_000))
+    rows = [(1, long, 0, 1, b"x"), (2, long + " end", 0, 1, b"y"), (3, long[: len(long) // 2], 0, 1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, v int, class_id int, bands binary")
+    got = nd.near_duplicates(df).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {1: 1, 2: 1, 3: 3}

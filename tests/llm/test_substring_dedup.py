@@ -72,3 +72,11 @@ def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string")
     assert sorted((r["doc_id"], r["n_removed"]) for r in sd.remove_repeated_windows(df).collect()) == [(1, 0), (1, 0), (2, 20)]
     assert sd.remove_repeated_windows(df.limit(0)).collect() == []
+
+
+def test_long_words_that_defeat_polynomials_modulo_a_power_of_two(spark):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, "a b c d e f g h i j k l " + one), (2, "a b c d e f g h i j k l " + other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(sd.remove_repeated_windows(df)) == brute(rows, 13)
