@@ -17,12 +17,16 @@ bucket with a probability of 2.2e-4, one at 0.85 of 5e-6.
   round before; every member not known to be connected is verified against them, and centres that are done leave.
   When the remaining members of a bucket are known to be connected it is done.  So no link between components is
   lost, and a bucket of near copies takes about as many pairs as it has members.
-* Texts that share only a common passage fill buckets without being near.  What the first round leaves is therefore
-  split by an exact prefix filter: the shingles of each text are ordered by the number of remaining texts that have
-  them, rarest first, and a bucket falls apart into one for each shingle of its texts' prefixes.  A prefix ends once
-  the shingles after it are less than THRESHOLD of the text, by number and by weight.  What two near texts share is
-  at least THRESHOLD of each by one of the two measures (the probability Jaccard is at most the sum of the smaller
-  shares), so the rarest shingle that they share is in both prefixes and no link is lost.
+* Texts that share only a common passage fill buckets without being near.  The members of buckets that the first round
+  leaves open are therefore dealt anew by an exact prefix filter: the shingles of each text are ordered by the number
+  of these texts that have them, rarest first, and texts meet in the buckets of the shingles of their prefixes.  A
+  prefix ends once the shingles after it are less than THRESHOLD of the text, by number and by weight.  What two near
+  texts share is at least THRESHOLD of each by one of the two measures (the probability Jaccard is at most the sum of
+  the smaller shares), so the rarest shingle that they share is in both prefixes and no link is lost.
+* Two texts share nothing that comes before their first common shingle, so in its bucket the places of the shingle bound
+  their similarity: pairs that cannot be near are not verified, and texts that cannot be near any other of the bucket's
+  sizes leave it.  The first centre of these buckets is the text whose shingles most others have, as near copies are
+  nearest to what they were copied from; further ones come in random order.
 * A centre that many members meet is dealt out in as many copies as its pairs need (PAIRS_PER_COPY), so a very
   large group is verified by many tasks.  Components are found by one task while
   the links are at most LOCAL_EDGES, else by label propagation with pointer jumping.
@@ -38,12 +42,12 @@ are ignored.  A text is held whole by one task, with about 40 bytes a word; sign
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import bucket_of, by_key, pack, starts_of, unpack, unpack_all
@@ -311,50 +315,81 @@ def _answer_counts(table: pa.Table) -> pa.Table:
     return table.set_column(table.column_names.index("blob"), "blob", pa.array(blob, pa.binary())).select(["g", "r", "blob"])
 
 
-def prefix(ids: np.ndarray, weights: np.ndarray | None, counts: np.ndarray, threshold: float) -> np.ndarray:
-    """The rarest shingles, until those after them are less than threshold of the text by number and by weight."""
+def prefix(ids: np.ndarray, weights: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest shingles, until those after them are less than threshold of the text by number and by weight; and the weight
+    before each."""
     order = np.lexsort((ids, counts))
-    w = np.ones(len(ids)) if weights is None else weights[order].astype(np.float64)
-    before = np.cumsum(w) - w
+    before = np.cumsum(weights[order]) - weights[order]
     slack = 1 - threshold + 1e-9
-    keep = (np.arange(len(ids)) <= slack * len(ids)) | (before <= slack * w.sum())
-    return order[keep]
+    keep = (np.arange(len(ids)) <= slack * len(ids)) | (before <= slack * weights.sum())
+    return order[keep], before[keep]
+
+
+#: Of a text in a shingle's bucket: its shingles, those from this one on, the share of its weight that these are, whether
+#: shingles repeat, and how common they are.
+BOUNDS = ["n", "m", "mass", "repeats", "common"]
+_PREFIXES = "v long, shared array<long>, m array<int>, mass array<double>, n int, repeats boolean, common double"
 
 
 def _prefixes(threshold: float):
-    """The prefix of each text, without the shingles that no other text has."""
+    """The prefix of each text, without the shingles that no other text has, and its bounds there."""
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         each, distinct, _ = _flat_sets(texts)
         parts = sorted(zip(answers.column("r").to_pylist(), answers.column("blob").to_pylist(), strict=True))
         # ranges follow the order of the digests
         total = unpack_all([b for _, b in parts], ["u8"])[0]
-        out = []
+        shared, m, mass, rows = [], [], [], []
         for ids, w in zip(each, texts.column("weights").to_pylist(), strict=True):
             counts = total[np.searchsorted(distinct, ids)]
-            at = prefix(ids, None if w is None else np.frombuffer(w, "<u4"), counts, threshold)
-            out.append(ids[at[counts[at] > 1]].view(np.int64))
-        rows = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *out])))
-        return pa.table({"v": texts.column("v"), "shared": rows})
+            weights = np.ones(len(ids)) if w is None else np.frombuffer(w, "<u4").astype(np.float64)
+            at, before = prefix(ids, weights, counts, threshold)
+            here = np.flatnonzero(counts[at] > 1)
+            shared.append(ids[at[here]].view(np.int64))
+            m.append((len(ids) - here).astype(np.int32))
+            mass.append(1 - before[here] / weights.sum())
+            rows.append((len(ids), w is not None, float(np.log(counts).mean())))
+        cut = pa.array(np.cumsum([0, *map(len, shared)]), pa.int32())
+        lists = [pa.ListArray.from_arrays(cut, pa.array(np.concatenate([np.zeros(0, kind), *x]))) for x, kind in ((shared, np.int64), (m, np.int32), (mass, np.float64))]
+        flat = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.float64()), strict=True)]
+        return pa.table([texts.column("v"), *lists, *flat], names=["v", "shared", "m", "mass", "n", "repeats", "common"])
 
     return run
 
 
-def split_by_prefix(alive: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """(b, v, c, place) of alive, each bucket split by the shingles of its texts' prefixes; whole components leave."""
+def may_be_near(threshold: float, x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+    """Of two texts with BOUNDS: false only if they are not near, or share a shingle that comes before the bucket's.
+
+    They share at most the smaller m; and by weight at most the smaller mass, where shingles repeat.
+    """
+    slack = 1e-9
+    distinct = F.least(x("m"), y("m")) * (1 + threshold) + slack >= threshold * (x("n") + y("n"))
+    weighted = (x("repeats") | y("repeats")) & (F.least(x("mass"), y("mass")) + slack >= threshold)
+    return distinct | weighted
+
+
+def deal_by_prefix(alive: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """The members of alive (b, v, c) in the buckets of their prefixes' shingles, without buckets of one component; the first
+    centre of each has place -1."""
     parts = int(alive.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = sets.join(scratch.put(alive.select("v").distinct()), "v")
+    vertices = scratch.put(alive.select("v", "c").distinct())
+    own = sets.join(vertices, "v")
     size = own.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
     groups = max(parts, -(-size // PREFIX_GROUP_BYTES))
     own = own.withColumn("g", F.pmod(F.xxhash64("v"), F.lit(groups)).cast("int"))
     asked = own.select("g", "ids").groupBy("g").applyInArrow(_ask_counts(groups), "g int, r int, blob binary")
     answers = asked.groupBy("r").applyInArrow(_answer_counts, "g int, r int, blob binary")
-    prefixes = own.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_prefixes(threshold), "v long, shared array<long>")
-    split = alive.join(prefixes, "v").select("b", "v", "c", F.explode("shared").alias("s")).select(F.xxhash64("b", "s").alias("b"), "v", "c")
-    split = scratch.put(split)
-    open_ = split.groupBy("b").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
-    place = F.pmod(F.xxhash64("v", "b"), F.lit(1_000_000)) * F.col("n") / 1_000_000
-    return scratch.put(split.join(open_.select("b", "n"), "b").select("b", "v", "c", place.alias("place")))
+    prefixes = own.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_prefixes(threshold), _PREFIXES)
+    dealt = prefixes.join(vertices, "v").select("v", "c", "n", "repeats", "common", F.explode(F.arrays_zip("shared", "m", "mass")).alias("at"))
+    dealt = scratch.put(dealt.select(F.col("at.shared").alias("b"), "v", "c", "n", "at.m", "at.mass", "repeats", "common"))
+    # a text that is not near one of the bucket's least size, sharing all it can, is not near a larger one
+    least = dealt.groupBy("b").agg(F.min("n").alias("least"), F.max("repeats").alias("some"))
+    hope = may_be_near(threshold, F.col, {"n": F.col("least"), "m": F.col("m"), "mass": F.col("mass"), "repeats": F.col("some")}.get)
+    dealt = scratch.put(dealt.join(least, "b").filter(hope).drop("least", "some"))
+    first = F.min(F.struct((-F.col("common")).alias("rank"), "v"))["v"]
+    open_ = dealt.groupBy("b").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"), first.alias("first")).filter("lo <> hi")
+    place = F.when(F.col("v") == F.col("first"), -1.0).otherwise(F.pmod(F.xxhash64("v", "b"), F.lit(1_000_000)) * F.col("size") / 1_000_000)
+    return scratch.put(dealt.join(open_, "b").select("b", "v", "c", place.alias("place"), *BOUNDS))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -388,33 +423,34 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
 
     alive = members.filter("v <> x").select("b", "v", F.col("v").alias("c"), "place")
     pairs = members.filter("v <> x").select("x", F.col("x").alias("cx"), F.col("v").alias("y"), F.col("v").alias("cy")).distinct()
-    low, step, links = 0, 1, []
+    low, step, links, dealt = 0, 1, [], False
     while True:
         pairs = scratch.put(pairs)
+        # centres that are done leave
         rest = alive.filter(F.col("place") >= low)
         if not pairs.isEmpty():  # a range of places may hold no centre
             found = scratch.put(verified(pairs))
             links.append(found.select(F.col("x").alias("cx"), F.col("y").alias("cy")))
             # members of one component need no further pairs
             moved = components(found.select("cx", "cy"), scratch).select(F.col("id").alias("c"), F.col("c").alias("new")).filter("new <> c")
-            rest = rest.join(moved, "c", "left").select("b", "v", F.coalesce("new", "c").alias("c"), "place")
+            rest = rest.join(moved, "c", "left").withColumn("c", F.coalesce("new", "c")).select(*alive.columns)
         rest = scratch.put(rest)
         # a bucket is done when its remaining members are known to be connected
         open_ = rest.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("b")
-        alive = scratch.put(rest.join(open_, "b").select("b", "v", "c", "place"))
+        alive = scratch.put(rest.join(open_, "b").select(*alive.columns))
         scratch.drop(rest)
         scratch.drop(pairs)
+        if not dealt and not alive.isEmpty():
+            alive, low, dealt = deal_by_prefix(alive, sets, threshold, scratch), -1, True
         if alive.isEmpty():
             break
-        if low == 0:
-            alive = split_by_prefix(alive, sets, threshold, scratch)
-            if alive.isEmpty():
-                break
         low, step = low + step, 4 * step
+        side = lambda name: [F.col(c).alias(f"{name}_{c}") for c in alive.columns[4:]]
         centre = F.col("place") < low
-        picks = alive.filter(centre).select("b", F.col("v").alias("x"), F.col("c").alias("cx"))
-        met = alive.select("b", F.col("v").alias("y"), F.col("c").alias("cy"), centre.alias("too")).join(picks, "b").filter("cx <> cy and (not too or x < y)")
-        pairs = met.select("x", "cx", "y", "cy").distinct()
+        picks = alive.filter(centre).select("b", F.col("v").alias("x"), F.col("c").alias("cx"), *side("x"))
+        met = alive.select("b", F.col("v").alias("y"), F.col("c").alias("cy"), centre.alias("too"), *side("y")).join(picks, "b")
+        hope = may_be_near(threshold, lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"))
+        pairs = met.filter(F.expr("cx <> cy and (not too or x < y)") & hope).select("x", "cx", "y", "cy").distinct()
     labels = None
     if links:
         labels = components(reduce(DataFrame.unionByName, links), scratch).select(F.col("id").alias("v"), "c")

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillforge.llm import near_dedup as nd
 from quillforge.llm.common import Scratch
@@ -146,9 +147,11 @@ def test_a_passage_that_dissimilar_texts_share(spark):
     assert {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(df).collect()} == want
 
 
-def test_a_rare_shared_shingle_is_in_both_prefixes():
+def test_near_texts_meet_by_prefix_and_pass_the_bound(spark):
+    """The rarest shingle that two near texts share is in both prefixes, and its places there do not rule the pair out."""
     rng = np.random.default_rng(3)
-    for _ in range(300):
+    rows = []
+    for _ in range(1500):
         common = rng.choice(400, rng.integers(10, 60), replace=False)
         sets = []
         for _ in range(2):
@@ -156,9 +159,21 @@ def test_a_rare_shared_shingle_is_in_both_prefixes():
             sets.append((ids, rng.integers(1, 4, len(ids)) if rng.random() < 0.5 else None))
         df = rng.integers(1, 9, 400)
         (a, wa), (b, wb) = sets
-        if nd.near(a, wa, b, wb, 0.8):
-            tops = [set(ids[nd.prefix(ids, w, df[ids.astype(int)], 0.8)].tolist()) for ids, w in sets]
-            assert tops[0] & tops[1]
+        if not nd.near(a, wa, b, wb, 0.8):
+            continue
+        both = np.intersect1d(a, b)
+        first = both[np.lexsort((both, df[both.astype(int)]))[0]]
+        sides = []
+        for ids, w in sets:
+            weights = np.ones(len(ids)) if w is None else w.astype(float)
+            at, before = nd.prefix(ids, weights, df[ids.astype(int)], 0.8)
+            here = int(np.flatnonzero(ids[at] == first)[0])
+            sides.append((len(ids), len(ids) - here, float(1 - before[here] / weights.sum()), w is not None))
+        rows.append((*sides[0], *sides[1]))
+    assert len(rows) > 100
+    names = [f"{s} {k}" for s in "xy" for k in ("n int", "m int", "mass double", "repeats boolean")]
+    df = spark.createDataFrame(rows, ", ".join(f"{s[0]}_{s[2:]}" for s in names))
+    assert df.filter(~nd.may_be_near(0.8, lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"))).count() == 0
 
 
 def test_sequences_that_defeat_polynomials_modulo_a_power_of_two(spark):
