@@ -67,9 +67,3 @@ def timed_words(path: Column, pieces: Column, stride: float, t0: Column, blank:
         )
 
     return F.aggregate(path, state, step, close)
-
-
-def fingerprint(ordered: Column) -> Column:
-    """SHA-256 of an array of struct<id, token> in id order, as `id<TAB>token<LF>` lines."""
-    lines = F.transform(ordered, lambda x: F.concat(x["id"].cast("string"), F.lit("\t"), x["token"], F.lit("\n")))
-    return F.sha2(F.array_join(lines, ""), 256)

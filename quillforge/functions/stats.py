@@ -69,9 +69,37 @@ def micro_rate(errors: Column, total: Column) -> Column:
     return F.sum(errors) * 100.0 / F.greatest(F.sum(total), F.lit(1))
 
 
-def error_histogram(rows: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Distinct error rows with their number; a bootstrap draws from it by cumulative count."""
-    return rows.groupBy(*cols).agg(F.count("*").alias("n"))
+class BlankReference(ValueError):
+    """An utterance without reference words has no error rate."""
+
+
+def corpus_wer(pairs: DataFrame, ref: str, hyp: str, *groups: str) -> DataFrame:
+    """groups, errors, words, wer (a share), utterances: word errors over reference words, micro-averaged.
+
+    Raises BlankReference where a reference has no words; a null hypothesis is empty.
+    """
+    from .align import word_distance
+
+    blank = pairs.filter(F.coalesce(F.size(ref), F.lit(0)) <= 0)
+    if not blank.isEmpty():
+        raise BlankReference("every utterance needs reference words")
+    each = pairs.select(*groups, word_distance(F.col(ref), F.coalesce(F.col(hyp), F.array().cast("array<string>"))).cast("long").alias("e"), F.size(ref).cast("long").alias("n"))
+    return each.groupBy(*groups).agg(F.sum("e").alias("errors"), F.sum("n").alias("words"), (F.sum("e") / F.sum("n")).alias("wer"), F.count("*").alias("utterances"))
+
+
+def paired_errors(base: DataFrame, candidate: DataFrame, key: str, ref: str = "ref", hyp: str = "hyp") -> DataFrame:
+    """key, base, candidate, n: word errors of two systems on the same utterances.
+
+    Refuses utterances that only one of them has, and references that differ: those are not the same test set.
+    """
+    from quillforge.operators.corpus import paired
+
+    from .align import word_distance
+
+    both = paired(base.select(key, F.col(ref).alias("ref_a"), F.col(hyp).alias("hyp_a")), candidate.select(key, F.col(ref).alias("ref_b"), F.col(hyp).alias("hyp_b")), key)
+    if not both.filter("not (ref_a <=> ref_b)").isEmpty():
+        raise ValueError(f"references differ between the two systems, by {key}")
+    return both.select(key, word_distance(F.col("ref_a"), F.col("hyp_a")).alias("base"), word_distance(F.col("ref_b"), F.col("hyp_b")).alias("candidate"), F.size("ref_a").alias("n"))
 
 
 def draw(seed: int, replicate: Column, slot: Column, n: Column) -> Column:
@@ -129,12 +157,13 @@ def calibrated_threshold(values: DataFrame, value: str, keep: float) -> DataFram
     """One row, tau: the largest value that keeps about this share (rule: lower)."""
     if not 0 < keep <= 1:
         raise ValueError("keep must be in (0, 1]")
-    # the index is computed over ranks, so no row holds all values
+    from quillforge.operators.corpus import row_numbers
+
     n = values.count()
     if n == 0:
         raise ValueError("no values to calibrate on")
-    at = int((n - 1) * keep)
-    return values.select(value).orderBy(value).offset(at).limit(1).withColumnRenamed(value, "tau")
+    # numbered by ranges of values: no task or heap holds a share of all rows
+    return row_numbers(values.select(F.col(value).alias("tau")), ["tau"]).filter(F.col("number") == int((n - 1) * keep)).select("tau")
 
 
 def bootstrap_percentile(rows: DataFrame, key: str, value: str, p: float, replicates: int, seed: int) -> DataFrame:

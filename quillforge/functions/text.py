@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,10 +19,6 @@ from pyspark.sql.types import StringType
 # accents are gone, so the accented ones never match; they are kept for parity.
 COLLOQUIAL = {"pra": "para", "pro": "para o", "pros": "para os", "pras": "para as", "vc": "voce", "tá": "esta", "ta": "esta", "cê": "voce"}
 CURRENCY = {"r$": "reais", "us$": "dolares"}
-# Latin letters with accents, and their bases.
-ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyyAAAAAAEEEEIIIIOOOOOUUUUCNY"
-
 
 @F.pandas_udf(StringType())
 def _nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -40,21 +37,34 @@ def strip_all(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+@lru_cache
+def _composable() -> str:
+    """Class of the characters without which a text is composed already: marks, later parts of a composition, and
+    characters that composition always replaces."""
+    later = {int(d.split()[1], 16) for d in map(unicodedata.decomposition, map(chr, range(0x110000))) if d and d[0] != "<" and " " in d}
+    points = [c for c in range(0x80, 0x30000) if c in later or 0x1161 <= c <= 0x1175 or 0x11A8 <= c <= 0x11C2 or unicodedata.combining(chr(c)) or (not 0xD800 <= c < 0xE000 and not unicodedata.is_normalized("NFC", chr(c)))]
+    runs: list[list[int]] = []
+    for c in points:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]"
+
+
 def nfc(text: Column) -> Column:
-    """Canonical composition.  Text in ASCII needs none and skips the Arrow hop's work."""
-    return _nfc(text)
+    """Canonical composition.  Only texts that have something to compose go through Arrow; the others pass as nulls."""
+    return F.coalesce(_nfc(F.when(text.rlike(_composable()), text)), text)
 
 
-def strip_accents(text: Column, full: bool = False) -> Column:
-    """Letters without their accents; full: any script, by compatibility decomposition in an Arrow UDF."""
-    return _without_marks(text) if full else F.translate(text, ACCENTED, PLAIN)
+def strip_accents(text: Column) -> Column:
+    """Letters of any script without their accents, by compatibility decomposition; ASCII texts stay in the JVM."""
+    return F.coalesce(_without_marks(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
-def normalize_train_target(text: Column, compose: bool = False) -> Column:
-    """Lower case, accents kept, everything but letters, digits and underscores a space, one space between words."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    if compose:
-        t = nfc(t)
+def normalize_train_target(text: Column) -> Column:
+    """Composed, lower case, accents kept, everything but letters, digits and underscores a space, one space between words."""
+    t = F.lower(nfc(F.coalesce(text, F.lit(""))))
     t = F.regexp_replace(t, r"(?U)[^\w\s]", " ")
     return strip_all(F.regexp_replace(t, r"(?U)\s+", " "))
 
@@ -78,11 +88,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda x: x != F.lit(""))
 
 
-def normalize_for_compare(text: Column, full: bool = False) -> Column:
+def normalize_for_compare(text: Column) -> Column:
     """Lower case, currency named, punctuation a space, no accents, colloquial words expanded."""
     t = rewrite_currency(strip_all(F.lower(F.coalesce(text, F.lit("")))))
     t = F.regexp_replace(t, r"(?U)[^\w\s]", " ")
-    return F.array_join(expand_colloquial(tokens(strip_accents(t, full))), " ")
+    return F.array_join(expand_colloquial(tokens(strip_accents(t))), " ")
 
 
 def normalize_call(text: Column) -> Column:
@@ -160,3 +170,14 @@ def disambiguation(token: Column) -> Column:
 def detokenize(pieces: Column) -> Column:
     """Pieces joined, word marks turned into spaces."""
     return F.trim(F.replace(F.array_join(pieces, ""), F.lit("▁"), F.lit(" ")))
+
+
+def phoneme_symbols(text: Column) -> Column:
+    """The characters of a phoneme string, one symbol each, without white space."""
+    return F.filter(F.split(F.regexp_replace(text, r"(?U)\s+", ""), ""), lambda x: x != F.lit(""))
+
+
+def clock(seconds: Column) -> Column:
+    """MM:SS of whole seconds; minutes run on past 59."""
+    whole = F.floor(seconds).cast("long")
+    return F.format_string("%02d:%02d", F.floor(whole / 60).cast("long"), whole % 60)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillforge.functions import ctc
+from quillforge.functions import quality as Q
 from quillforge.functions import text as T
+from quillforge.storage import fixed
 
 # ---------------------------------------------------------------- manifests
 
@@ -63,17 +66,18 @@ def row_numbers(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fixed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id())
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id())
     # ids rise with the partition in the upper bits and the row in the lower 33
     part, within = F.shiftright("__row", 33), F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))
-    fixed = fixed.withColumn("__part", part).withColumn("__at", within).persist()
-    counts = {r["__part"]: r["n"] for r in fixed.groupBy("__part").agg(F.count("*").alias("n")).collect()}  # one row per partition
+    # the bounds of ranges are sampled, so the rows are fixed before they are counted
+    ranged = fixed(ranged.withColumn("__part", part).withColumn("__at", within))
+    counts = {r["__part"]: r["n"] for r in ranged.groupBy("__part").agg(F.count("*").alias("n")).collect()}  # one row per partition
     before, total = {}, 0
     for p in sorted(counts):
         before[p], total = total, total + counts[p]
     offsets = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
     number = F.element_at(offsets, F.col("__part")).cast("long") + F.col("__at")
-    return fixed.withColumn("number", number).drop("__row", "__part", "__at")
+    return ranged.withColumn("number", number).drop("__row", "__part", "__at")
 
 
 def numbered(rows: DataFrame, prefix: str, order: Sequence[str], width: int = 8) -> DataFrame:
@@ -112,9 +116,41 @@ def token_leaks(paths: DataFrame, path: str, ids: DataFrame, video: str) -> Data
     return tokens.join(ids.select(video).distinct(), video).groupBy(video).agg(F.array_sort(F.collect_set(path)).alias("paths"))
 
 
+def unverifiable(rows: DataFrame, split: str, corpus: str, key: str) -> DataFrame:
+    """corpus, split, n: rows without a key, which no overlap audit can clear."""
+    return rows.filter(F.col(key).isNull()).groupBy(corpus, split).agg(F.count("*").alias("n"))
+
+
+def leak_exit_code(leaks: DataFrame) -> int:
+    """What a leak audit's process ends with: 1 if anything leaks, else 0."""
+    return 0 if leaks.isEmpty() else 1
+
+
 # ---------------------------------------------------------------- coverage and samples
 
 
+def corpus_counts(rows: DataFrame, text: Column, votes: Column | None, least: int | None, present: Column, group: str = "split") -> DataFrame:
+    """group, total, kept, missing, empty, filtered: rows of a corpus by the first reason that removes them.
+
+    A row is empty without normalised text, else filtered with fewer net votes than least, else missing without its
+    recording, else kept.
+    """
+    rules = [("empty", text == "")]
+    if least is not None:
+        rules.append(("filtered", votes < least))
+    reason = Q.first_reason(*rules, ("missing", ~F.coalesce(present, F.lit(False))))
+    counted = rows.select(group, reason.alias("reason")).groupBy(group)
+    return counted.agg(F.count("*").alias("total"), *[F.count_if(F.col("reason") == r).alias(r) for r in ("kept", "missing", "empty", "filtered")])
+
+
+def disjoint_ids(sources: Sequence[DataFrame], key: str) -> DataFrame:
+    """The union of sources whose ids must not meet."""
+    every = reduce(DataFrame.unionByName, sources)
+    if not every.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        raise ValueError(f"an id of {key} is in two sources")
+    return every
+
+
 def coverage(rows: DataFrame, key: Column, name: str = "source") -> DataFrame:
     return rows.groupBy(key.alias(name)).agg(F.count("*").alias("n"))
 
@@ -166,11 +202,17 @@ def first_seen_vocabulary(symbols: DataFrame, order: Sequence[str], symbol: str,
 
 
 def vocabulary_fingerprint(vocabulary: DataFrame) -> DataFrame:
-    """One row: fingerprint, size, real_len (without disambiguation tokens)."""
-    return vocabulary.agg(
-        ctc.fingerprint(F.array_sort(F.collect_list(F.struct("id", "token")))).alias("fingerprint"), F.count("*").alias("size"),
-        F.count_if(~T.disambiguation(F.col("token"))).alias("real_len"),
-    )
+    """One row: fingerprint (SHA-256 of the lines id, tab, token by id), size, real_len (without disambiguation tokens).
+
+    A SHA-256 reads its input in order: the driver streams it, a thousand lines at a time, and holds no more than the
+    lines of one range of ids.
+    """
+    sha = hashlib.sha256()
+    line = F.concat(F.col("id").cast("string"), F.lit("\t"), "token", F.lit("\n"))
+    lines = vocabulary.groupBy(F.floor(F.col("id") / 1000).alias("part")).agg(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))).alias("x"))
+    for row in lines.select("part", F.array_join(F.col("x.line"), "").alias("text")).orderBy("part").select("text").toLocalIterator():
+        sha.update(row["text"].encode())
+    return vocabulary.agg(F.lit(sha.hexdigest()).alias("fingerprint"), F.count("*").alias("size"), F.count_if(~T.disambiguation(F.col("token"))).alias("real_len"))
 
 
 def check_vocabulary(vocabulary: DataFrame, output_dim: int | None = None, fingerprint: str | None = None) -> None:

@@ -127,14 +127,18 @@ def codec_round_trips(spark, sf):
     return t.select(*[worst(s, G.apply_codec(s, c)).alias(c) for c in sorted(G.CODECS)], (F.size(G.telephone(s)) - F.size(s)).alias("length_change"))
 
 
-@query()
+@query("SELECT * FROM (VALUES ('long', 0, 324960), ('long', 324960, 656000), ('short', 0, 336000)) t(kind, a, b)")
 def energy_segmentation(spark, sf):
-    """Segments of ten seconds of tone, one of silence, ten of tone."""
+    """Segments of tone, a second of silence, and tone again.
+
+    Of 21 s there is one.  Of 41 s there are two: the silence is from sample 320,000 on, its first frame of 480 samples
+    is number 667, and the cut is where the eleventh starts, 677 x 480.
+    """
     from quillforge.sources.readers import tone
 
     silence = F.array_repeat(F.lit(0).cast("smallint"), 16_000)
-    joined = tone(spark, 10.0).select(F.concat("samples", silence, "samples").alias("s"))
-    return joined.select(F.explode(G.segments("s")).alias("x")).select("x.a", "x.b")
+    both = [tone(spark, s).select(F.lit(kind).alias("kind"), F.concat("samples", silence, "samples").alias("s")) for kind, s in (("short", 10.0), ("long", 20.0))]
+    return both[0].unionByName(both[1]).select("kind", F.explode(G.segments("s")).alias("x")).select("kind", "x.a", "x.b")
 
 
 @query("""WITH t AS (SELECT conv_id, turn, regexp_split_to_array(text, ' ') AS w FROM conversations), p AS (SELECT a.conv_id, a.turn, a.w AS x, b.w AS y FROM t a JOIN t b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
@@ -155,7 +159,7 @@ def transcript_blocks_lead(spark, sf):
     return c.select("conv_id", "turn", "start", F.lead("start").over(w).alias("next"), "total").select("conv_id", "turn", "start", F.coalesce("next", "total").alias("stop"))
 
 
-_VOCAB = r"""w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS w, generate_subscripts(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''), 1) - 1 AS pos FROM documents WHERE lang = 'es'),
+_VOCAB = r"""w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS w, generate_subscripts(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''), 1) - 1 AS pos FROM documents),
 v AS (SELECT w AS token, row_number() OVER (ORDER BY min({'d': doc_id, 'p': pos}), w) + 1 AS id FROM w GROUP BY w)"""
 
 
@@ -204,17 +208,38 @@ def stream_dedup(spark, sf):
 
 @query("""SELECT a.user_id, count(*) AS pairs FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 1 HOUR WHERE a.event_type = 'click' AND b.event_type = 'purchase' GROUP BY 1""")
 def stream_interval_join(spark, sf):
-    return live.run_to_table(live.interval_join(live.event_stream(spark, sf), "click", "purchase", "1 hour"), "append").groupBy("user_id").agg(F.count("*").alias("pairs"))
+    return live.run_to_table(live.interval_join(live.event_stream(spark, sf), "click", "purchase", 3600), "append").groupBy("user_id").agg(F.count("*").alias("pairs"))
 
 
-@query("""WITH s AS (SELECT user_id, sum(CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END) AS produced, count_if(event_type = 'purchase') AS consumed FROM events GROUP BY 1)
-SELECT user_id, produced::BIGINT AS produced, consumed::BIGINT AS consumed, greatest(produced - consumed, 0)::BIGINT AS backlog FROM s""")
+@query("""WITH s AS (SELECT user_id, ts, event_id, (event_type = 'purchase')::INT AS used FROM events),
+c AS (SELECT user_id, sum(1 - used) OVER w AS produced, sum(used) OVER w AS consumed, greatest(sum(1 - 2 * used) OVER w, 0)::BIGINT AS backlog, row_number() OVER w AS k, count(*) OVER (PARTITION BY user_id) AS n FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+h AS (SELECT *, k - greatest(n - 4096, 0) AS i, least(n, 4096) AS m FROM c WHERE k > n - 4096)
+SELECT user_id, max(produced)::BIGINT AS produced, max(consumed)::BIGINT AS consumed, arg_max(backlog, k) AS backlog, quantile_disc(backlog, 0.5) AS p50, quantile_disc(backlog, 0.95) AS p95, quantile_disc(backlog, 0.99) AS p99,
+max(m) >= 4 AND avg(backlog) FILTER (i > m // 2) > avg(backlog) FILTER (i <= m // 2) AND arg_max(backlog, k) > 0 AS growing FROM h GROUP BY user_id""")
 def stream_backlog(spark, sf):
-    """Final state of the stateful backlog counter."""
+    """Final state of the stateful backlog: counters, percentiles of the latest readings and their trend."""
     return live.run_backlog(spark, sf)
 
 
-@query()
+@query(r"""WITH t AS (SELECT conv_id * 1000 + turn AS stream_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS n FROM conversations), s AS (SELECT stream_id, n, least(3 * (greatest(4, ceil(n / 3)::INT) - 1), n) AS committed FROM t)
+SELECT stream_id, committed::INT AS committed, (n - committed)::INT AS tail FROM s""")
 def local_agreement(spark, sf):
-    """Words committed by LocalAgreement-2 over the hypotheses of a conversation (its turns), batch form."""
+    """Words committed by LocalAgreement-2 over each turn's growing prefixes, batch form: all of the hypothesis before the last."""
     return live.committed_words(table(spark, sf, "conversations"))
+
+
+@query(r"""WITH t AS (SELECT conv_id * 1000 + turn AS stream_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS n FROM conversations), s AS (SELECT stream_id, least(3 * (greatest(4, ceil(n / 3)::INT) - 1), n) AS committed FROM t)
+SELECT stream_id, committed::INT AS committed, (committed // 18)::INT AS lines FROM s""")
+def live_captions(spark, sf):
+    """Committed words and full caption lines of each turn: three words are committed a step, so a line ends at eighteen.
+
+    Lines that end by silence have no words after them in this input; a turn's last line stays open.
+    """
+    out = live.captions_batch(live.prefixes(table(spark, sf, "conversations")))
+    return out.groupBy("stream_id").agg(F.sum(F.size("committed")).cast("int").alias("committed"), F.count_if(F.size(F.split("line", " ")) >= live.LINE_WORDS).cast("int").alias("lines"))
+
+
+@query("SELECT user_id, epoch_us(time_bucket(INTERVAL 500 MILLISECOND, ts, TIMESTAMP '1970-01-01')) + 500000 AS due, count(*) AS n FROM events GROUP BY ALL")
+def stream_hops(spark, sf):
+    """Events by user and half a second."""
+    return live.run_to_table(live.hops(live.event_stream(spark, sf)), "complete").select("user_id", F.unix_micros("due").alias("due"), "n")

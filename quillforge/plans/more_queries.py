@@ -15,7 +15,7 @@ from ._registry import query, table
 from .metric_queries import _PAIRS, _agreement
 
 
-@query(r"""WITH w AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS w FROM documents WHERE lang = 'de')
+@query(r"""WITH w AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS w FROM documents)
 SELECT w AS word, row_number() OVER (ORDER BY w) + 1 AS id FROM w""")
 def word_list_ids(spark, sf):
     """Distinct words in byte order with ids after two reserved ones."""

@@ -12,7 +12,7 @@ from quillforge.operators import corpus as C
 from ._registry import query, table
 
 #: Normalised text in SQL; RE2's \w is ASCII, so the class is spelt out.
-TRAIN_SQL = r"trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+TRAIN_SQL = r"trim(regexp_replace(regexp_replace(lower(nfc_normalize(coalesce(text, ''))), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 COLLOQUIAL_SQL = "CASE w WHEN 'pra' THEN 'para' WHEN 'pro' THEN 'para o' WHEN 'pros' THEN 'para os' WHEN 'pras' THEN 'para as' WHEN 'vc' THEN 'voce' WHEN 'ta' THEN 'esta' ELSE w END"
 
 _FLAGS_SQL = f"""
@@ -70,7 +70,7 @@ def noise_audit_by_source(spark, sf):
     )
 
 
-@query(f"SELECT doc_id, {TRAIN_SQL} AS norm FROM (SELECT doc_id, substr(text, 1, 200) AS text FROM documents)")
+@query(f"SELECT doc_id, {TRAIN_SQL} AS norm FROM documents")
 def normalize_train_target(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.normalize_train_target(F.col("text")).alias("norm"))
 
@@ -151,7 +151,7 @@ def clock_lines(spark, sf):
     return spark.createDataFrame(rows, "id int, l string").select("id", T.clock_seconds(F.col("l")).alias("secs"))
 
 
-@query("SELECT 'utt_' || lpad((row_number() OVER (ORDER BY source, doc_id) - 1)::VARCHAR, 8, '0') AS id, doc_id FROM documents WHERE lang = 'en'")
+@query("SELECT 'utt_' || lpad((row_number() OVER (ORDER BY source, doc_id) - 1)::VARCHAR, 8, '0') AS id, doc_id FROM documents")
 def sequential_ids(spark, sf):
     return C.numbered(table(spark, sf, "documents").select("source", "doc_id"), "utt_", ["source", "doc_id"]).select("id", "doc_id")
 

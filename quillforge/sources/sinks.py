@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import wave
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 
 def manifest(df: DataFrame, path: str) -> None:
@@ -26,8 +32,56 @@ def tsv(df: DataFrame, path: str, *order) -> None:
     df.orderBy(*order).coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", False).csv(path)
 
 
-def per_file(df: DataFrame, path: str, key: str = "recording_id", text: str = "text") -> None:
-    df.select(key, text).write.mode("overwrite").partitionBy(key).text(path)
+def per_file(df: DataFrame, path: str, key: str = "recording_id", text: str = "text", seconds: str | None = None) -> None:
+    """A text file per recording, and beside them one line of JSON: files, characters and seconds of audio."""
+    df.select(key, text).write.mode("overwrite").partitionBy(key).text(f"{path}/texts")
+    counts = [F.count_distinct(key).alias("files"), F.sum(F.length(text)).alias("characters")]
+    card(df.agg(*counts, *([F.sum(seconds).alias("audio_s")] if seconds else [])), f"{path}/summary")
+
+
+@F.pandas_udf(BinaryType())
+def wav_bytes(samples: pd.Series, rate: pd.Series) -> pd.Series:
+    """16-bit mono WAV files; a null is no file."""
+
+    def one(x, r):
+        if x is None:
+            return None
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setparams((1, 2, int(r), 0, "NONE", ""))
+            w.writeframes(np.asarray(x).astype("<i2").tobytes())
+        return out.getvalue()
+
+    return pd.Series([one(x, r) for x, r in zip(samples, rate, strict=True)])
+
+
+def wav_files(df: DataFrame, path: str, key: str = "recording_id", samples: str = "samples", rate: int = 16_000) -> DataFrame:
+    """Writes key, path and content of each recording as a WAV file's bytes, and returns the manifest (key, path, bytes).
+
+    Files go into a table by key, as many small files in a folder would slow down every listing.
+    """
+    files = df.select(key, F.concat(F.col(key).cast("string"), F.lit(".wav")).alias("path"), wav_bytes(F.col(samples), F.lit(rate)).alias("content"))
+    files.filter("content is not null").write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path).select(key, "path", F.octet_length("content").alias("bytes"))
+
+
+def golden(df: DataFrame, path: str, values: str, **meta) -> None:
+    """A golden series for comparisons in other engines: little-endian 32-bit floats by row order, and its description.
+
+    A golden series is one row with an array, small by nature.
+    """
+    if df.limit(2).count() != 1:
+        raise ValueError("a golden series is one row")
+    packed = F.pandas_udf(lambda s: s.map(lambda x: np.asarray(x, "<f4").tobytes()), BinaryType())
+    df.select(packed(F.col(values)).alias("content"), F.size(values).alias("n"), *[F.lit(v).alias(k) for k, v in meta.items()]).write.mode("overwrite").parquet(path)
+
+
+def error_stats(pairs: DataFrame, path: str, key: str = "u", ref: str = "ref", hyp: str = "hyp") -> None:
+    """A line per utterance: key, reference words, hits, substitutions, deletions, insertions."""
+    from quillforge.functions.align import operations
+
+    each = pairs.select(F.col(key).alias("key"), F.size(ref).alias("n"), operations(F.col(ref), F.col(hyp)).alias("o"))
+    each.select("key", "n", "o.hits", "o.substitutions", "o.deletions", "o.insertions").write.mode("overwrite").option("sep", "\t").csv(path)
 
 
 def card(df: DataFrame, path: str) -> None:

@@ -1,6 +1,8 @@
-"""Queries over whole texts and tables, where their registered SQL still reads a part."""
+"""Queries over whole texts and tables, against brute force on small fixtures."""
 
+import difflib
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -97,14 +99,20 @@ def test_error_rates_read_whole_texts(spark, tmp_path):
     docs = spark.createDataFrame([(i, "en", " ".join(t)) for i, t in texts.items()], "doc_id long, lang string, text string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([("a", "w1 w2")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    errors = 0
+    errors, kinds = 0, Counter()
     for d, r in texts.items():
-        h = ["?" if (d + i) % 7 == 0 else x for i, x in enumerate(r, 1) if (d + i) % 11]
+        h = [" " if (d + i) % 7 == 0 else x for i, x in enumerate(r, 1) if (d + i) % 11]
         errors += levenshtein(r, h)
+        known = {"w1", "w2"}
+        for op, a, b, c, e in difflib.SequenceMatcher(None, r, h, autojunk=False).get_opcodes():
+            if op == "equal":
+                kinds["false_flag"] += sum(x not in known for x in r[a:b])
+            elif op == "replace":
+                kinds.update("rare_ref" if x not in known else "real_word_hyp" if y in known else "non_word_hyp" for x, y in zip(r[a:b], h[c:e]))
     for name in ("wer_by_lang", "error_decomposition"):
         one = catalog.QUERIES[name](spark, str(tmp_path)).first()
         assert (one["errors"], one["words"]) == (errors, sum(map(len, texts.values())))
-    assert sum(r["n"] for r in catalog.QUERIES["error_classes"](spark, str(tmp_path)).collect()) >= errors
+    assert {r["kind"]: r["n"] for r in catalog.QUERIES["error_classes"](spark, str(tmp_path)).collect()} == kinds
     chars = ["".join("w" for _ in t) for t in texts.values()]
     one = catalog.QUERIES["cer_micro"](spark, str(tmp_path)).first()
     dropped = sum(sum((d + i) % 6 == 0 for i in range(1, len(c) + 1)) for d, c in enumerate(chars))
