@@ -1,22 +1,32 @@
 """Main-text extraction with a site style tree.
 
-Pages of one host are merged into a style tree: a node for each element path (tags with their class, id and role),
-its presentation styles (the sequences of child elements seen there) and the contents of its text leaves.
+Pages of one host are merged into a style tree: a node for each element path (tags with their class, id and role), its
+presentation styles (the sequences of child elements seen there) and the contents of its text leaves.
 
-* Content importance: one minus the mean normalised entropy of the leaf contents below a node.  A content seen on
-  one page only weighs one, a content seen on all m pages of the node weighs nothing: 1 - log(k) / log(m).
-* Presentation importance: the entropy of the node's styles over its pages, to the base of their number.
-* A node's importance is (1 - GAMMA) * presentation + GAMMA * content.  Nodes on fewer than MIN_PAGES pages, and
-  text elements (paragraphs, headings, ...), are not judged: a single page or a short passage proves nothing.
+* Content importance: one minus the mean normalised entropy of the leaf contents at and below a node.  A content seen
+  on one page only weighs one, a content seen on all m pages of the node weighs nothing: 1 - log(k) / log(m).
+* Presentation importance: the entropy of the node's styles, to the base of their number; 0 on fewer than MIN_PAGES
+  pages, where one style proves nothing.
+* A node's importance is (1 - GAMMA) * presentation + GAMMA * content.
 
-From each page the branches of low importance are removed, and those whose element or names say that they are no
-article (menus, forms, adverts, ...).  If an article or main element is left, the text is taken from there.
+Branches of low importance are removed from each page, and nothing else that has text but what is never shown (scripts,
+styles, form controls, hidden elements).  What is low depends on what supports the judgement:
+
+* LOW for a node without any sign, on MIN_PAGES pages at least; text elements (paragraphs, headings, ...) without a
+  sign are not judged, as a passage that pages share is no boilerplate.
+* SIGNED_LOW for a node whose element or names say that it is no article (menus, forms, adverts, ...), or that stands
+  outside the articles of pages that have one.  It stays only where its importance says otherwise: if nearly every page
+  presents it in a way of its own.
+
+Headings' containers in an article are no page headers.  Elements nested deeper than FOLD are merged with the element of
+the same name above them, and beyond DEEPEST with the one that holds them; they are judged as those are.
 
 Text: character references decoded, white space inside a block one space, trimmed, blocks joined by one ``\\n``.
 Null and empty html give an empty text; broken markup is read as browsers do (implied end tags, stray end tags
-ignored); white space is Unicode white space.  Repeated pages and null ids stay separate rows; extra columns are
-ignored.  Tree statistics are aggregated by hash with map-side combination, so a host with a third of all pages is no
-hot spot; the low branches are broadcast up to BROADCAST_BRANCHES rows and beyond that joined by host.
+ignored); white space is Unicode white space.  Repeated pages and null ids stay separate rows, each a page of its host;
+pages without a host are judged together; extra columns are ignored.  Tree statistics are aggregated by hash with
+map-side combination, so a host with a third of all pages is no hot spot; the low branches are broadcast up to
+BROADCAST_BRANCHES rows and beyond that joined by host.  A page is held whole by one task.
 """
 
 from __future__ import annotations
@@ -24,6 +34,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -37,7 +48,8 @@ from .url_filters import url_host
 GAMMA = 0.9
 MIN_PAGES = 8
 LOW = 0.4
-MAX_DEPTH = 64
+SIGNED_LOW = 0.97
+FOLD, DEEPEST = 64, 1000
 BROADCAST_BRANCHES = 100_000
 
 # Element classes of HTML.
@@ -49,6 +61,7 @@ BLOCK = frozenset(
 HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button datalist".split())
 NO_ARTICLE = frozenset("nav footer aside form menu dialog search".split())
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption article main body html section".split())
+FOREIGN = frozenset("svg math".split())
 CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]),
     "option": frozenset(["option"]), "tbody": frozenset(["tr", "td", "th", "thead", "tbody"]), "tfoot": frozenset(["tr", "td", "th", "thead", "tbody"]),
@@ -61,55 +74,107 @@ MARKS = frozenset(
     "sidebar aside widget footer header masthead topbar toolbar comment comments commentlist reply replies respond disqus share sharing social related recommended teaser promo promotion subscribe newsletter signup login "
     "search searchbox form pagination pager skip contentinfo complementary".split()
 )
+#: Marks that name the container of a heading inside an article.
+HEADERS = frozenset("header masthead".split())
+#: Rows of the tree that a worker sends at a time.
+ROWS = 100_000
 _NAMES = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
 
+class Place:
+    """A node of a page's share of the tree: an element path."""
+
+    __slots__ = ("id", "name", "up", "depth", "kids", "tag", "sign", "styles", "leaves", "main")
+
+    def __init__(self, up: Place | None, name: str, tag: str, sign: bool) -> None:
+        self.up, self.name, self.tag, self.sign = up, name, tag, sign
+        self.id = _path_id(0 if up is None else up.id, name)
+        self.depth = 0 if up is None else up.depth + 1
+        self.kids: dict[str, Place] = {}
+        self.styles: set[int] = set()
+        self.leaves: set[int] = set()
+        self.main = False
+
+    def kid(self, name: str, tag: str, sign: bool) -> Place:
+        if self.depth >= FOLD:
+            if self.depth >= DEEPEST:
+                return self
+            at: Place | None = self
+            while at is not None and at.name != name:
+                at = at.up
+            if at is not None:
+                return at
+        if name not in self.kids:
+            self.kids[name] = Place(self, name, tag, sign)
+        return self.kids[name]
+
+
+@lru_cache(1 << 16)
+def _path_id(up: int, name: str) -> int:
+    return digest(f"{up}\n{name}")
+
+
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
 class Node:
-    __slots__ = ("tag", "name", "noise", "items", "parent")
+    __slots__ = ("tag", "hidden", "items", "parent", "place")
 
-    def __init__(self, tag: str, name: str, noise: bool, parent: Node | None) -> None:
-        self.tag, self.name, self.noise, self.parent = tag, name, noise, parent
+    def __init__(self, tag: str, place: Place, hidden: bool, parent: Node | None) -> None:
+        self.tag, self.place, self.hidden, self.parent = tag, place, hidden, parent
         self.items: list[Node | str] = []
 
 
-def _noise(tag: str, names: str, inside_article: bool) -> bool:
-    if tag in HIDDEN or tag in NO_ARTICLE or (tag == "header" and not inside_article):
+@lru_cache(1 << 14)
+def _sign(tag: str, names: str, inside: bool) -> bool:
+    """Whether an element's tag or names say that it is no article."""
+    if tag in NO_ARTICLE or (tag == "header" and not inside):
         return True
     if not names or tag in ("html", "body", "article", "main") and not (tag == "article" and "comment" in names):
         return False
     words = {w.lower() for part in re.split(r"[^A-Za-z]+", names) for w in _NAMES.findall(part)} | set(re.split(r"[^a-z]+", names.lower()))
-    return bool(words & MARKS)
+    return bool(words & (MARKS - HEADERS if inside else MARKS))
+
+
+@lru_cache(1 << 14)
+def _name(tag: str, names: str) -> str:
+    return tag + ("." + re.sub(r"\d+", "0", names.strip().lower()) if names.strip() else "")
 
 
 class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = Node("#", "#", False, None)
-        self.at, self.depth, self.articles = self.root, 0, 0
+        self.root = Node("#", Place(None, "#", "#", False), False, None)
+        self.at, self.articles = self.root, 0
+
+    def _empty(self, tag: str) -> None:
+        self.at.items.append(Node(tag, self.at.place, False, self.at))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in VOID:
-            self.at.items.append(Node(tag, tag, False, self.at))
+            self._empty(tag)
             return
         if tag in BLOCK and tag != "option":
             self._imply(frozenset(["p"]), FENCE)
         if tag in CLOSED_BY:
             self._imply(CLOSED_BY[tag], FENCE - {"td", "th"} if tag in ("td", "th", "tr", "tbody", "tfoot") else FENCE)
-        names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
-        if any(k in ("hidden",) or (k == "aria-hidden" and v == "true") for k, v in attrs):
-            noise = True
-        else:
-            noise = _noise(tag, names, self.articles > 0)
-        name = tag + ("." + re.sub(r"\d+", "0", names.strip().lower()) if names.strip() else "")
-        node = Node(tag, name, noise, self.at)
+        names, hidden = "", tag in HIDDEN
+        if attrs:
+            names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
+            hidden = hidden or any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs)
+        sign = _sign(tag, names, self.articles > 0)
+        at = self.at.place
+        node = Node(tag, at if hidden else at.kid(_name(tag, names), tag, sign), hidden, self.at)
+        if tag in ("article", "main") and not hidden:
+            self.articles += 1
+            node.place.main = node.place.main or not sign
         self.at.items.append(node)
-        if self.depth < MAX_DEPTH * 8:
-            self.at, self.depth = node, self.depth + 1
-            self.articles += tag in ("article", "main")
+        self.at = node
 
     def _close(self) -> None:
-        self.articles -= self.at.tag in ("article", "main")
-        self.at, self.depth = self.at.parent, self.depth - 1
+        self.articles -= self.at.tag in ("article", "main") and not self.at.hidden
+        self.at = self.at.parent
 
     def _imply(self, tags: frozenset, fence: frozenset) -> None:
         """Ends the innermost of these elements, if no fence stands before it."""
@@ -125,7 +190,10 @@ class _Builder(HTMLParser):
                 self._close()
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
+        if tag in FOREIGN:  # only these end themselves; elsewhere the slash means nothing
+            self._empty("img")
+        else:
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         node = self.at
@@ -133,7 +201,7 @@ class _Builder(HTMLParser):
             node = node.parent
         if node is self.root:
             if tag == "p":  # a stray end tag is an empty paragraph
-                self.at.items.append(Node("p", "p", False, self.at))
+                self._empty("hr")
             return
         while self.at is not node.parent:
             self._close()
@@ -149,50 +217,50 @@ def parse(html: str) -> Node:
     return b.root
 
 
-def path_hash(path: Sequence[str]) -> int:
-    return int.from_bytes(hashlib.blake2b("\n".join(path).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-
+def tree_rows(root: Node) -> Iterator[tuple[int, list[int] | None, int, int, bool, bool]]:
+    """Of a page: (path, ids of the path from the root, kind, digest, sign, textual), each once.
 
-def _walk(root: Node) -> Iterator[tuple[Node, tuple[str, ...], bool]]:
-    """Elements in page order with their path and whether an element above (or they) is noise by name."""
-    stack: list[tuple[Node, tuple[str, ...], bool]] = [(x, (x.name,), x.noise) for x in reversed(root.items) if isinstance(x, Node)]
+    Kind 0 is the content of a text leaf, 1 a style, 2 the path itself; the last three columns but digest say what it is.
+    """
+    stack = [root]
     while stack:
-        node, path, noise = stack.pop()
-        yield node, path, noise
-        if len(path) < MAX_DEPTH:
-            stack += [(x, (*path, x.name), noise or x.noise) for x in reversed(node.items) if isinstance(x, Node)]
-
-
-def tree_rows(root: Node) -> tuple[list[tuple], list[tuple]]:
-    """Of a page: (path, content digest) of its text leaves, and (path, style digest) of its inner nodes.  Each once."""
-    leaves, styles = set(), set()
-    for node, path, _ in _walk(root):
-        if node.tag in HIDDEN:
-            continue
-        text = " ".join(" ".join(x for x in node.items if isinstance(x, str)).split())
-        if text:
-            leaves.add((path, path_hash([text])))
-        kids = [x.name for x in node.items if isinstance(x, Node)]
-        if kids:
-            styles.add((path, path_hash([k for i, k in enumerate(kids) if not i or kids[i - 1] != k])))
-    return list(leaves), list(styles)
+        node = stack.pop()
+        kids = [x for x in node.items if not isinstance(x, str)]
+        if node is not root:
+            names = [x.tag if x.place is node.place else x.place.name for x in kids if not x.hidden]
+            node.place.styles.add(digest("\n".join(k for i, k in enumerate(names) if not i or names[i - 1] != k)))
+            text = " ".join(" ".join(x for x in node.items if isinstance(x, str)).split())
+            if text:
+                node.place.leaves.add(digest(text))
+        stack += [x for x in kids if not x.hidden and x.tag not in VOID]
+    # places from the root, so that one comes after those above it
+    places, holds = [root.place], set()
+    for place in places:
+        places += place.kids.values()
+    for place in reversed(places):
+        if place.main or place.id in holds:
+            holds.add(place.id)
+            if place.up is not None:
+                holds.add(place.up.id)
+    articles, inside = root.place.id in holds, set()
+    above: dict[int, list[int]] = {root.place.id: []}
+    for place in places[1:]:
+        chain = above[place.id] = [*above[place.up.id], place.id]
+        if place.main or place.up.id in inside:
+            inside.add(place.id)
+        outside = articles and place.id not in holds and place.id not in inside
+        yield place.id, chain, 2, 0, place.sign or outside, place.tag in TEXTUAL
+        for kind, digests in ((0, place.leaves), (1, place.styles)):
+            for d in digests:
+                yield place.id, None, kind, d, False, False
 
 
 def extract(root: Node, low: frozenset[int] = frozenset()) -> str:
-    """Text of the page without noise and without branches whose path hash is in low."""
+    """Text of the page without what is hidden and without branches whose path is in low."""
 
-    def gone(node: Node, path: tuple[str, ...]) -> bool:
-        return node.noise or (bool(low) and len(path) < MAX_DEPTH and path_hash(path) in low)
+    def gone(node: Node) -> bool:
+        return node.hidden or (node.place.id in low and node.tag not in VOID)
 
-    # the article or main elements that are left, if any
-    mains: list[tuple[Node, tuple[str, ...]]] = []
-    stack: list[tuple[Node, tuple[str, ...]]] = [(root, ())]
-    while stack:
-        node, path = stack.pop()
-        if node is not root and node.tag in ("article", "main"):
-            mains.append((node, path))
-            continue
-        stack += [(x, (*path, x.name)[:MAX_DEPTH]) for x in reversed(node.items) if isinstance(x, Node) and not gone(x, (*path, x.name))]
     blocks: list[str] = []
     held: list[str] = []
 
@@ -202,68 +270,74 @@ def extract(root: Node, low: frozenset[int] = frozenset()) -> str:
             blocks.append(text)
         held.clear()
 
-    todo: list = [x for main in reversed(mains or [(root, ())]) for x in (None, main)]
+    todo: list = [root]
     while todo:
         item = todo.pop()
         if item is None:
             end()
         elif isinstance(item, str):
             held.append(item)
+        elif item.tag in VOID:
+            held.append(" ")
+            if item.tag == "hr":
+                end()
         else:
-            node, path = item
-            if node.tag in VOID:
-                held.append(" ")
-                if node.tag == "hr":
-                    end()
-                continue
-            inner: list = []
-            for x in node.items:
-                if isinstance(x, str):
-                    inner.append(x)
-                elif not gone(x, (*path, x.name)):
-                    inner.append((x, (*path, x.name)[:MAX_DEPTH]))
-                elif x.tag in BLOCK:
-                    inner.append(None)
-            if node.tag in BLOCK:
+            if item.tag in BLOCK:
                 end()
                 todo.append(None)
-            todo += reversed(inner)
+            for x in reversed(item.items):
+                if isinstance(x, str) or not gone(x):
+                    todo.append(x)
+                elif x.tag in BLOCK:
+                    todo.append(None)
     end()
     return "\n".join(blocks)
 
 
+_TREE = {"host": pa.string(), "path": pa.int64(), "above": pa.list_(pa.int64()), "kind": pa.int32(), "digest": pa.int64(), "sign": pa.bool_(), "textual": pa.bool_()}
+
+
 def _tree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            leaves, styles = tree_rows(parse(html))
-            rows += [(host, list(p), 0, d) for p, d in leaves] + [(host, list(p), 1, d) for p, d in styles]
-        cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-        kinds = (pa.string(), pa.list_(pa.string()), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "path", "kind", "digest"])
+            for row in tree_rows(parse(html)):
+                rows.append((host, *row))
+                if len(rows) >= ROWS:
+                    yield _table(rows)
+        yield _table(rows)
+
+
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[] for _ in _TREE]
+    rows.clear()
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _TREE.values(), strict=True)], names=list(_TREE))
+
+
+def importance(pages: DataFrame) -> DataFrame:
+    """(host, path, m, sign, textual, importance) of the nodes of each host's tree.  pages: host, html."""
+    rows = pages.mapInArrow(_tree, "host string, path long, above array<long>, kind int, digest long, sign boolean, textual boolean")
+    seen = rows.groupBy("host", "path", "kind", "digest").agg(F.count("*").alias("k"), F.max("above").alias("above"), F.max("sign").alias("sign"), F.max("textual").alias("textual"))
+    of = lambda kind, x: F.coalesce(F.sum(F.when(F.col("kind") == kind, x)), F.lit(0.0))
+    k = F.col("k").cast("double")
+    own = [of(2, k).alias("m"), of(1, k).alias("s"), of(1, k * F.log(k)).alias("slogs"), of(0, k).alias("n"), of(0, k * F.log(k)).alias("klogk")]
+    counted = seen.groupBy("host", "path").agg(*own, F.max("above").alias("above"), F.max("sign").alias("sign"), F.max("textual").alias("textual"))
+    # a leaf's contents count for it and for all nodes above it
+    here = F.col("path") == F.col("at")
+    spread = counted.select("*", F.explode("above").alias("at"))
+    nodes = spread.groupBy("host", "at").agg(
+        F.sum("n").alias("n"), F.sum("klogk").alias("klogk"), *[F.max(F.when(here, F.col(c))).alias(c) for c in ("m", "s", "slogs", "sign", "textual")]
+    )
+    # a content on k of m pages has an entropy of log k / log m
+    content = F.when((F.col("m") > 1) & (F.col("n") > 0), 1 - F.least(F.lit(1.0), F.col("klogk") / F.col("n") / F.log("m"))).otherwise(1.0)
+    presentation = F.when(F.col("m") >= MIN_PAGES, F.coalesce((F.log("s") - F.col("slogs") / F.col("s")) / F.nullif(F.log("s"), F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
+    return nodes.select("host", F.col("at").alias("path"), "m", "sign", "textual", ((1 - GAMMA) * presentation + GAMMA * content).alias("importance"))
 
 
 def low_branches(pages: DataFrame) -> DataFrame:
-    """(host, paths): hashes of the low-importance branches of each host.  pages: host, html."""
-    seen = pages.mapInArrow(_tree, "host string, path array<string>, kind int, digest long").groupBy("host", "path", "kind", "digest").agg(F.count("*").alias("k"))
-    counted = seen.groupBy("host", "path", "kind").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log("k")).alias("klogk"), F.max("k").alias("most"))
-    # pages of a node: the pages of its styles, or of its leaves where it has none
-    styles = counted.filter("kind = 1").select("host", "path", F.col("n").alias("m"), F.when(F.col("n") > 1, (F.log("n") - F.col("klogk") / F.col("n")) / F.log("n")).otherwise(1.0).alias("presentation"))
-    leaves = counted.filter("kind = 0").select("host", "path", "n", "klogk")
-    above = leaves.select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.slice("path", 1, i))).alias("path"), "n", "klogk")
-    content = above.groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("klogk").alias("klogk"))
-    joined = content.join(styles, ["host", "path"], "left").withColumn("m", F.coalesce("m", "n"))
-    # a leaf content on k of m pages has an entropy of log k / log m
-    worth = F.when(F.col("m") > 1, 1 - F.least(F.lit(1.0), F.col("klogk") / F.col("n") / F.log("m"))).otherwise(1.0)
-    importance = (1 - GAMMA) * F.coalesce(F.col("presentation"), worth) + GAMMA * worth
-    tag = F.substring_index(F.element_at("path", -1), ".", 1)
-    low = joined.withColumn("importance", importance).filter((F.col("m") >= MIN_PAGES) & (F.col("importance") < LOW) & ~tag.isin(sorted(TEXTUAL)))
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([path_hash(p) for p in batch.column("path").to_pylist()], pa.int64())], names=["host", "path"])
-
-    return low.select("host", "path").mapInArrow(hashed, "host string, path long")
+    """(host, path): the low-importance branches of each host.  pages: host, html."""
+    unsigned = (F.col("m") >= MIN_PAGES) & (F.col("importance") < LOW) & ~F.col("textual")
+    return importance(pages).filter((F.col("sign") & (F.col("importance") < SIGNED_LOW)) | unsigned).select("host", "path")
 
 
 def main_text(pages: DataFrame, html: str = "html", url: str = "url", keep: Sequence[str] = ("page_id", "url")) -> DataFrame:

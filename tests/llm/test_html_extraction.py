@@ -1,10 +1,14 @@
 import random
 
+from pyspark.sql import functions as F
+
 from quillforge.llm import html_extraction as h
 
 
 def text(html):
-    return h.extract(h.parse(html))
+    """Of a page that is alone on its host: what names and elements say decides."""
+    root = h.parse(html)
+    return h.extract(root, frozenset(path for path, _, kind, _, sign, _ in h.tree_rows(root) if kind == 2 and sign))
 
 
 def test_markup():
@@ -30,6 +34,15 @@ def test_what_is_no_article():
     assert text("<div class='headline shadow adapter'>kept</div>") == "kept"
 
 
+def test_broken_and_deep_markup():
+    assert text("<article><p>x</p><svg/><p>y</p></article>") == "x\ny"
+    assert text("<p>a<svg><path d='M0'/><text>no</text></svg>b</p>") == "ab"
+    assert text('<article><header class="entry-header"><h1>Title</h1></header><p>x</p></article>') == "Title\nx"
+    for deep in ("<div>" * 3000, "<b><i>" * 2000, "".join(f"<div class='c{chr(97 + i % 26)}x{chr(97 + i // 26 % 26)}'>" for i in range(2500))):
+        assert text(deep + "<p>text</p><script>var x=1;</script><nav>menu</nav>") == "text"
+    assert text("<article>" + "<div>" * 700 + "in</div>" + "</div>" * 699 + "after</article><p>out</p>") == "in\nafter"
+
+
 def pages_of_host(n):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(400)]
@@ -52,6 +65,54 @@ def test_style_tree_finds_unnamed_boilerplate(spark, monkeypatch):
     assert h.main_text(df.limit(0)).collect() == []
 
 
+def hosted(pages):
+    return [(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)]
+
+
+def run(spark, rows):
+    return {r["page_id"]: r["text"] for r in h.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+
+
+def test_importance_of_hand_made_nodes(spark):
+    """Sixteen pages: a fixed bar, a line of two contents, and a body that every page has in its own way."""
+    kinds = ["p", "ul", "ol", "table", "blockquote", "pre", "h2", "h3", "dl", "figure", "section", "b", "i", "em", "u", "strong"]
+    pages = [f"<div class='bar'>Home</div><div class='line'>{'odd' if i % 2 else 'even'}</div><div class='own'><{k}>text {i}</{k}></div>" for i, k in enumerate(kinds)]
+    df = spark.createDataFrame([("h", p) for p in pages], "host string, html string").repartition(4)
+    got = {r["path"]: r["importance"] for r in h.importance(df).collect()}
+    place = lambda name: h._path_id(h._path_id(0, "#"), name)
+    assert abs(got[place("div.bar")]) < 1e-9
+    assert abs(got[place("div.line")] - 0.9 * (1 - 3 / 4)) < 1e-9  # log 8 / log 16
+    assert abs(got[place("div.own")] - 1.0) < 1e-9
+    low = {r["path"] for r in h.low_branches(df).collect()}
+    assert low == {place("div.bar"), place("div.line")}
+
+
+def test_the_tree_decides(spark, monkeypatch):
+    """Names only raise the threshold: a node named like a sidebar stays where every page presents it in its own way."""
+    kinds = ["p", "ul", "ol", "table", "blockquote", "pre", "h2", "h3", "dl", "figure", "section", "b"]
+    pages = [f"<div class='sidebar'><{k}>story {i}</{k}></div><nav><a>m{i}</a></nav><div class='box'>Fixed</div>" for i, k in enumerate(kinds)]
+    got = run(spark, hosted(pages))
+    assert got == {i: f"story {i}" for i in range(12)}
+    # alone on its host a page's names decide
+    assert run(spark, hosted(pages[:1])) == {0: "Fixed"}
+    monkeypatch.setattr(h, "low_branches", lambda pages: pages.select("host", F.lit(0).cast("long").alias("path")).limit(0))
+    assert run(spark, hosted(pages))[3] == "story 3\nm3\nFixed"
+
+
+def test_the_query_needs_the_tree(spark, monkeypatch):
+    sf = "/root/testdata/sf0.01"
+    with_tree = {r["page_id"]: r["text"] for r in h.op5_html_extraction(spark, sf).collect()}
+    monkeypatch.setattr(h, "low_branches", lambda pages: pages.select("host", F.lit(0).cast("long").alias("path")).limit(0))
+    without = {r["page_id"]: r["text"] for r in h.op5_html_extraction(spark, sf).collect()}
+    assert sum(with_tree[i] != without[i] for i in with_tree) > 0.9 * len(with_tree)
+
+
+def test_very_long_pages(spark):
+    page = "<article>" + "".join(f"<p>word{i} and more</p>" for i in range(60_000)) + "</article>"
+    got = run(spark, [(1, "http://a.example/", page), (2, None, "<p>x"), (None, "http://a.example/", None)])
+    assert len(got[1].split("\n")) == 60_000 and got[2] == "x" and got[None] == ""
+
+
 def test_articles_of_the_small_table(spark, sf_small):
     """Every page of the table is one document under its title."""
     docs = {"\n".join(" ".join(x.split()) for x in r["text"].split("\n") if x.strip()) for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()}
