@@ -119,7 +119,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     # the sample's size is bounded by max_labels, so it may be broadcast
     joined = docs.select(F.col(key).alias("__k"), F.col(text).alias("__t")).join(F.broadcast(marked), "__k")
     fold = joined.withColumn("__c", F.pmod(F.xxhash64(F.lit("fold"), "__k"), F.lit(CALIBRATION)) == 0)
-    rows = cut_lineage(feature_rows(fold, "__t", ["__y", "__c"]).coalesce(MAX_PARTS))
+    # the features of the bounded sample go to few tasks; texts are read by as many as there are
+    rows = cut_lineage(feature_rows(fold, "__t", ["__y", "__c"]).repartition(MAX_PARTS).sortWithinPartitions("__y", "x"))
     stats = rows.select("__y", F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).collect()
     mean, scale = np.zeros(len(FEATURES)), np.ones(len(FEATURES))
     for r in stats:

@@ -1,8 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule rejects texts by itself; a text is kept if no rule rejects it, so the order of the rules changes the cost
-and never the result.  On a sample of at most SAMPLE_ROWS texts every rule's seconds and rejections are measured,
-and the rules are then ordered by rejections per second: a text that an early rule rejects reaches no later one.
+and never the result.  Every task runs all rules on a random SAMPLE_SHARE of the texts it meets, batch by batch, and
+orders them by what that sample (its latest SAMPLE_ROWS texts) shows: first the rule with the most rejections per second,
+then the one with the most among what the rules before it leave, and so on.  A text that an early rule rejects reaches no
+later one.  So the sample covers all rows, follows them where they change, and takes no pass, exchange or driver.
 
 The base statistics (see text_stats) are exact for every text; base_failed is a rule on them that goes first.
 Null and empty texts have no words and fail it.  Rows are judged one by one: repeated rows, ties and null ids do not
@@ -25,6 +27,7 @@ from .common import BLOCK_BYTES, blocks, bounded_batches, ragged, string_parts,
 from .text_stats import BASE, Spans, all_counts, base_counts, lines, mask_count, wordless
 
 SAMPLE_ROWS = 1000
+SAMPLE_SHARE = 1 / 16
 MIN_WORDS = 50
 
 
@@ -101,41 +104,58 @@ def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
     return (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
 
 
-def measured_order(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> list[Rule]:
-    """Rules by rejections per second on the sample, best first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = string_parts(batch.column("t"))
-            good = np.flatnonzero(~base_failed(base_counts(data, offsets)) & (np.diff(offsets) <= BLOCK_BYTES))
-            out = []
-            for i, j in blocks(np.append(0, np.cumsum(np.diff(offsets)[good]))):
-                part, places = _take(data, offsets, good[i:j])
-                for k, rule in enumerate(rules):
-                    began = time.thread_time()
-                    bad = int(rule.rejects(part, places).sum())
-                    out.append((k, time.thread_time() - began, bad))
-            cols = list(zip(*out, strict=True)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64())], names=["rule", "seconds", "rejected"])
-
-    sample = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).limit(SAMPLE_ROWS)
-    seen = sample.mapInArrow(run, "rule int, seconds double, rejected long").groupBy("rule").agg(F.sum("seconds").alias("s"), F.sum("rejected").alias("n")).collect()
-    worth = {r["rule"]: r["n"] / max(r["s"], 1e-9) for r in seen}
-    return [rules[k] for k in sorted(range(len(rules)), key=lambda k: -worth.get(k, 0.0))]
+def by_worth(rejects: np.ndarray, seconds: np.ndarray) -> list[int]:
+    """Places of the rules, greedily by rejections per second among the texts (rows) that the rules before leave."""
+    left, order = np.ones(len(rejects), dtype=bool), []
+    open_ = list(range(rejects.shape[1]))
+    while open_:
+        best = max(open_, key=lambda k: (rejects[left, k].sum() / max(seconds[k], 1e-9), -seconds[k], -k))
+        open_.remove(best)
+        order.append(best)
+        left &= ~rejects[:, best]
+    return order
+
+
+class Sampled:
+    """The order of the rules by a running sample of a task's texts."""
+
+    def __init__(self, rules: Sequence[Rule], seed: int = 0) -> None:
+        self.rules, self.rng = rules, np.random.default_rng(seed)
+        self.rejects = np.zeros((0, len(rules)), dtype=bool)
+        self.seconds, self.size = np.zeros(len(rules)), 0
+
+    def see(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        fit = np.flatnonzero(np.diff(offsets) <= BLOCK_BYTES)
+        n = min(len(fit), max(8, int(len(fit) * SAMPLE_SHARE)))
+        part, places = _take(data, offsets, np.sort(self.rng.choice(fit, n, replace=False)))
+        for i, j in blocks(places):
+            lo, hi = places[i], places[j]
+            rejects = np.zeros((j - i, len(self.rules)), dtype=bool)
+            for k, rule in enumerate(self.rules):
+                began = time.thread_time()
+                rejects[:, k] = rule.rejects(part[lo:hi], places[i : j + 1] - lo)
+                self.seconds[k] += time.thread_time() - began
+            self.size += int(hi - lo)
+            self.rejects = np.concatenate([self.rejects, rejects])[-SAMPLE_ROWS:]
+
+    def order(self) -> list[Rule]:
+        return [self.rules[k] for k in by_worth(self.rejects, self.seconds / max(self.size, 1))]
 
 
 def judge(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), rules: Sequence[Rule] = RULES) -> DataFrame:
     """The kept columns, the counts named in BASE, base_failed and kept, for every row."""
     bounded_batches(docs.sparkSession)
-    ordered = measured_order(docs, text, rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = Sampled(rules)
         for batch in batches:
             data, offsets = string_parts(batch.column("__text"))
             counts = base_counts(data, offsets)
             failed = base_failed(counts)
             rows = np.flatnonzero(~failed)
             kept = np.zeros(len(failed), dtype=bool)
+            sample.see(*_take(data, offsets, rows))
+            ordered = sample.order()
             for i, j in blocks(np.append(0, np.cumsum(np.diff(offsets)[rows])), 4 * BLOCK_BYTES):
                 kept[rows[i:j]] = cascade(*_take(data, offsets, rows[i:j]), ordered)
             columns = [batch.column(c) for c in keep] + [pa.array(counts[c]) for c in BASE] + [pa.array(failed), pa.array(kept)]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import BLOCK_BYTES, SPACE, Rolling, blocks, byte_codes, mix, word_spans
+from .common import BLOCK_BYTES, SPACE, Rolling, blocks, mix, word_digests, word_spans
 
 
 def _lut(chars: bytes) -> np.ndarray:
@@ -76,7 +76,7 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     start, stop = start[full], stop[full]
     text = np.searchsorted(offsets, start, side="right") - 1
     total = np.bincount(text, minlength=len(offsets) - 1)
-    digest = Rolling(byte_codes(data, 1), 1).of(start, stop)
+    digest = word_digests(data, start, stop, 1)
     order = np.lexsort((digest, text))
     t, h = text[order], digest[order]
     again = np.zeros(len(t), dtype=bool)
@@ -89,7 +89,7 @@ class Spans:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         self.starts, self.stops, self.first = word_spans(data, offsets)
-        self.codes = Rolling(byte_codes(data, 0), 0).of(self.starts, self.stops)
+        self.codes = word_digests(data, self.starts, self.stops, 0)
         self.text = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
 
     def count(self) -> np.ndarray:

@@ -104,3 +104,76 @@ def test_classifier_edges(spark):
 def test_isotonic():
     x, y = qc.isotonic(np.array([3.0, 1.0, 2.0, 4.0]), np.array([0.0, 0.0, 1.0, 1.0]))
     assert y.tolist() == [0.0, 0.5, 1.0] and x.tolist() == [1.0, 2.5, 4.0]
+
+
+def test_order_is_by_rejections_per_second_among_what_is_left():
+    rejects = np.zeros((100, 4), dtype=bool)
+    rejects[:50, 0] = True  # half of all, at cost 1
+    rejects[:60, 1] = True  # more, at cost 2: after the first it only adds ten
+    rejects[80:, 2] = True  # a fifth, at cost 0.2: best
+    assert qr.by_worth(rejects, np.array([1.0, 2.0, 0.2, 0.1])) == [2, 0, 1, 3]
+    assert qr.by_worth(rejects[:0], np.array([3.0, 1.0, 2.0, 4.0])) == [1, 2, 0, 3]
+
+
+def test_running_sample_orders_by_what_it_meets():
+    fast = qr.Rule("fast", lambda d, o: np.diff(o) > 5, lambda c: None)
+    none = qr.Rule("none", lambda d, o: np.zeros(len(o) - 1, bool), lambda c: None)
+    s = qr.Sampled([none, fast])
+    data, offsets = flat(["abcdefgh"] * 200)
+    for _ in range(3):
+        s.see(data, offsets)
+    assert [r.name for r in s.order()] == ["fast", "none"] and 20 <= len(s.rejects) <= qr.SAMPLE_ROWS
+    s.see(*flat([]))
+
+
+def test_very_long_and_crafted_texts(spark):
+    rng = random.Random(3)
+    long = "\n".join(" ".join(rng.choices([f"w{i}" for i in range(4000)], k=40)) for _ in range(8000))
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    lines = one + "\n" + one.translate(str.maketrans("ab", "ba"))  # lines that a polynomial modulo 2^64 takes for equal
+    df = spark.createDataFrame([(1, long), (2, lines)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in qr.judge(df).collect()}
+    for d, text in ((1, long), (2, lines)):
+        want = brute(text)
+        assert all(got[d][k] == want[k] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
+    assert got[1]["kept"] and got[2]["n_dup_lines"] == 0
+
+
+def reference_isotonic(x, y):
+    """At each x in order: the largest over starts of the least mean up to an end (max-min formula)."""
+    order = np.argsort(x, kind="stable")
+    v, out = y[order], []
+    for i in range(len(v)):
+        out.append(max(min(v[a : b + 1].mean() for b in range(i, len(v))) for a in range(i + 1)))
+    return x[order], np.array(out)
+
+
+def test_classifier_against_a_direct_solution(spark):
+    """Partition sums, ridge solution, calibration and scores equal those of one matrix in memory."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter(~qc.held_out(F.col("doc_id")))
+    model = qc.fit(docs, labels)
+    rows = docs.join(labels, "doc_id").withColumn("c", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(qc.CALIBRATION)) == 0).collect()
+    x, y = qc.features(*flat([r["text"] for r in rows])), np.array([float(r["quality"]) for r in rows])
+    check = np.array([r["c"] for r in rows])
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.maximum(x.std(axis=0), 1e-6))
+    z = np.sqrt(2 / qc.WIDTH) * np.cos(((x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-6)) @ model.weights + model.phase)
+    z = np.column_stack([z, np.ones(len(z))])
+    t = z[~check]
+    ridge = np.linalg.lstsq(np.vstack([t, np.sqrt(qc.RIDGE * len(t)) * np.eye(t.shape[1])]), np.append(y[~check], np.zeros(t.shape[1])), rcond=None)[0]
+    assert np.allclose(t @ ridge, t @ model.ridge, atol=1e-6)
+    raw = z[check] @ model.ridge
+    xs, levels = reference_isotonic(raw[:120], y[check][:120])
+    knots, got = qc.isotonic(raw[:120], y[check][:120])
+    blocks = np.cumsum(np.append(0, np.diff(levels) > 1e-12))
+    assert np.allclose(got, [levels[blocks == k].mean() for k in range(blocks[-1] + 1)]) and np.allclose(knots, [xs[blocks == k].mean() for k in range(blocks[-1] + 1)])
+    scores = {r["doc_id"]: r["score"] for r in qc.score(docs, model).collect()}
+    assert np.allclose([scores[r["doc_id"]] for r in rows], model.score(x))
+
+
+def test_classifier_on_very_long_texts(spark):
+    long = " ".join(random.Random(4).choices([f"w{i}" for i in range(3000)], k=250_000))
+    df = spark.createDataFrame([(1, long), (2, long + " z"), (3, "x")], "doc_id long, text string")
+    model = qc.fit(df, spark.createDataFrame([(1, 1), (3, 0), (2, 1)], "doc_id long, quality int"))
+    assert all(0 <= r["score"] <= 1 for r in qc.score(df, model).collect())
