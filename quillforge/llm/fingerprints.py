@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Hashes kept per sketch: a standard error of about 0.044 at a resemblance of one half.
 K = 128
 SHINGLE_WORDS = 5
-#: Documents per ordering bucket, and the most buckets; the heads of all buckets are broadcast (100,000 rows, 3 MB).
+#: Documents per ordering bucket, and the most buckets: their bounds are a constant of the plan (17 bytes each).
 BUCKET_ROWS = 1500
 MAX_BUCKETS = 100_000
 _SPACES = r"[\x20\x09-\x0D]+"
@@ -95,36 +95,35 @@ def with_next_text(docs: DataFrame, key: str = "doc_id", text: str = "text", ske
 
     With sketch = k also each text's sketch and the next text's: sketch, next_sketch.
 
-    Rows are dealt into key ranges of about BUCKET_ROWS rows, ordered within them, and each range also gets a
-    copy of the first row of the range that follows; so texts are exchanged once and no task sees all rows.
-    Rows that share a key follow each other in the order of their texts' hashes.
+    Rows are dealt into ranges of about BUCKET_ROWS rows, ordered within them, and each range also gets a copy of the first
+    row of the range that follows; so texts are exchanged once and no task sees all rows.  Ranges are those of a sampled
+    range partitioning of (key, hash of the text): gaps between keys do not matter, and rows without a key are dealt by
+    their texts.  Rows that share a key follow each other in the order of their texts' hashes; rows that repeat both, which
+    nothing tells apart, share a range.
     """
-    base = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("o", F.xxhash64("t"))
-    lo, hi, n = base.agg(F.min("k"), F.max("k"), F.count("*")).first()
+    base = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    # ascending order of at: descending keys, nulls last
+    at = F.struct(F.col("k").isNull().alias("z"), F.coalesce(F.bitwise_not("k"), F.lit(0)).cast("long").alias("r"), F.xxhash64("t").alias("o"))
+    base = base.withColumn("at", at)
+    n = base.count()
     if not n:
         empty = base.select(F.col("k").alias(key), F.col("t").alias(text), F.col("t").alias("next_text"))
         return empty.withColumns({c: F.array().cast("array<bigint>") for c in ("sketch", "next_sketch")}) if sketch else empty
-    buckets = min(MAX_BUCKETS, max(1, math.ceil(n / BUCKET_ROWS)))
-    span = 1 if lo is None else max(1, math.ceil((hi - lo + 1) / buckets))
-    low = 0 if lo is None else lo
-    # nulls come after the smallest key, in a range of their own
-    bucket = F.coalesce(F.expr(f"cast((cast(k as decimal(38,0)) - cast('{low}' as decimal(38,0))) div cast('{span}' as decimal(38,0)) as int)"), F.lit(-1))
-    base = base.withColumn("b", bucket)
-    head = F.struct(F.coalesce(F.col("k"), F.lit(-(2**63))).alias("k"), (-F.col("o").cast("decimal(20,0)")).alias("o"))
-    heads = base.groupBy("b").agg(F.max(head).alias("head"))  # at most MAX_BUCKETS + 1 rows
-    rows = sorted(heads.select("b", "head.k", F.col("head.o").cast("string").alias("o")).collect(), key=lambda r: -r["b"])
-    # the first row of each range is what the range before it needs
-    wanted = [(r["b"], rows[i - 1]["b"]) for i, r in enumerate(rows)]
-    firsts = [(r["b"], r["k"], str(-int(r["o"])), wanted[i][1]) for i, r in enumerate(rows)]
-    small = docs.sparkSession.createDataFrame(firsts, "b int, hk long, ho string, also int").withColumn("ho", F.col("ho").cast("long"))
-    is_head = (F.coalesce(F.col("k"), F.lit(-(2**63))) == F.col("hk")) & (F.col("o") == F.col("ho"))
-    marked = base.join(F.broadcast(small), "b").withColumn(
-        "to", F.when(is_head, F.array(F.struct(F.col("b").alias("b"), F.lit(0).alias("copy")), F.struct(F.col("also").alias("b"), F.lit(1).alias("copy")))).otherwise(
-            F.array(F.struct(F.col("b").alias("b"), F.lit(0).alias("copy")))
-        )
-    )
-    dealt = marked.select("k", "t", "o", F.explode("to").alias("to")).select("k", "t", "o", "to.b", "to.copy")
-    w = Window.partitionBy("b").orderBy("copy", F.col("k").desc_nulls_last(), "o")
+    buckets = min(MAX_BUCKETS, math.ceil(n / BUCKET_ROWS))
+    # the first row of each range, at most MAX_BUCKETS of them
+    ranged = base.select("at.*").repartitionByRange(buckets, "z", "r", "o").select(F.struct("z", "r", "o").alias("at"), F.spark_partition_id().alias("p"))
+    heads = sorted(tuple(x["head"]) for x in ranged.groupBy("p").agg(F.min("at").alias("head")).collect())
+    as_json = "[" + ",".join(f'{{"z":{str(z).lower()},"r":{r},"o":{o}}}' for z, r, o in heads) + "]"
+    bounds = F.from_json(F.lit(as_json), "array<struct<z:boolean,r:bigint,o:bigint>>")
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range(len(heads).bit_length()))])
+    # binary search for the last bound that is not after the row
+    step = lambda i, half: F.when((i + half <= len(heads)) & (F.get(bounds, i + half - 1) <= F.col("at")), i + half).otherwise(i)
+    base = base.withColumn("b", F.greatest(F.aggregate(halves, F.lit(0), step) - 1, F.lit(0)))
+    before = F.when(F.col("b") == 0, len(heads) - 1).otherwise(F.col("b") - 1)
+    here, copy = F.struct("b", F.lit(0).alias("copy")), F.struct(before.alias("b"), F.lit(1).alias("copy"))
+    to = F.when(F.get(bounds, F.col("b")) == F.col("at"), F.array(here, copy)).otherwise(F.array(here))
+    dealt = base.select("k", "t", "at", F.explode(to).alias("to")).select("k", "t", "at", "to.b", "to.copy")
+    w = Window.partitionBy("b").orderBy("copy", "at")
     if sketch:
         dealt = with_sketch(dealt, "t", "s", sketch)
     leads = {"next_text": F.lead("t").over(w)} | ({"next_sketch": F.lead("s").over(w)} if sketch else {})

@@ -64,3 +64,35 @@ def test_next_text_with_gaps_nulls_and_repeats(spark, monkeypatch):
     assert fp.with_next_text(df).count() == 8
     assert fp.with_next_text(df.limit(0), sketch=4).collect() == []
     assert fp.with_next_text(df.filter("doc_id = 5")).first()["next_text"] == "e"
+
+
+def test_ranges_do_not_follow_gaps_between_ids(spark, monkeypatch):
+    """One outlying id, many null ids and repeated rows: no range has most rows, and every next text is right."""
+    monkeypatch.setattr(fp, "BUCKET_ROWS", 20)
+    rows = [(i, f"t{i}") for i in range(300)] + [(10**15, "far"), (-(10**17), "low")] + [(None, f"n{i}") for i in range(300)] + [(7, "t7")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = fp.with_next_text(df)
+    got = out.collect()
+    assert len(got) == len(rows)
+    after = {(r["doc_id"], r["text"]): r["next_text"] for r in got}
+    assert after[(10**15, "far")] == "t299" and after[(250, "t250")] == "t249" and after[(0, "t0")] == "low"
+    # the null rows follow one another once, from the lowest id to the far one
+    at, chain = after[(-(10**17), "low")], []
+    while at != "far":
+        chain.append(at)
+        at = after[(None, at)]
+    assert sorted(chain) == sorted(f"n{i}" for i in range(300))
+    sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 400  # four partitions
+
+
+def test_query_with_clashing_columns_and_long_texts(spark, tmp_path):
+    rng = random.Random(4)
+    long = " ".join(rng.choices([f"w{i}" for i in range(5000)], k=120_000))
+    rows = [(3, long, "x", 1, b"k"), (2, None, "y", 2, None), (1, "é" * 10, "z", 3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, at string, n_chars int, b binary").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in fp.op8_fingerprints(spark, str(tmp_path)).collect()}
+    assert [got[d]["n_chars"] for d in (3, 2, 1)] == [len(long), 0, 10]
+    edited = {3: long[: len(long) - len(long) // 3], 2: "", 1: "é" * 7 + long[:3]}
+    assert {d: r["edited_sha256"] for d, r in got.items()} == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in edited.items()}
+    assert abs(got[3]["near_edited"] - 2 / 3) < 0.15 and got[2]["near_edited"] == 1.0
