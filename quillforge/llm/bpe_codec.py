@@ -5,6 +5,9 @@ chunks are stitched at a place in the overlap where both have a pre-token bounda
 pattern finds the same matches in both.  Where an overlap has no common boundary, the left chunk is extended.  The
 pieces (pre-tokens) are then encoded by the ranks; decoding concatenates the tokens' raw bytes.
 
+A text of up to SPREAD_CHARS is handled by one task, chunk by chunk.  The chunks of longer ones are dealt over all
+tasks, which pre-tokenise and encode them in parallel; a text's chunks then meet to be stitched, as ids and boundaries.
+
 Resynchronisation needs care at a chunk's right edge, where a match may end too early: matches that touch the edge
 are not used.  A lookahead of one character (``\\s+(?!\\S)``) is inside the chunk for every match that does not.
 
@@ -26,8 +29,13 @@ from pyspark.sql.types import StructType
 
 from .common import bounded_batches, table
 
-CHUNK_CHARS = 64 << 10
-OVERLAP_CHARS = 1 << 10
+CHUNK_CHARS = 2 << 10
+OVERLAP_CHARS = 128
+#: Texts beyond this are dealt in chunks of SPREAD_CHUNK characters, which overlap by SPREAD_OVERLAP.
+SPREAD_CHARS = 64 << 10
+SPREAD_CHUNK, SPREAD_OVERLAP = 16 << 10, 1 << 10
+#: Characters before a chunk's end whose boundaries are not trusted: matches there may end too early.
+EDGE = 4
 CACHE_PIECES = 200_000
 MAX_VOCABULARY_BYTES = 64 << 20
 IDS_PER_BATCH = 1 << 20
@@ -48,7 +56,7 @@ def stitched_pieces(text: str, pattern, chunk: int = CHUNK_CHARS, overlap: int =
                 return
             # the next chunk starts within this one; boundaries of both are compared in the overlap
             spans = [m.span() for m in pattern.finditer(text, at, stop)]
-            mine = {b for _, b in spans if stop - overlap <= b < stop - 4}
+            mine = {b for _, b in spans if stop - overlap <= b < stop - EDGE}
             other = [m.start() for m in pattern.finditer(text, stop - overlap, min(n, stop + overlap))]
             # the first boundary of the other chunk is its cut, not a match's
             shared = [b for b in other[1:] if b in mine]
@@ -126,7 +134,15 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
     """Adds the ids of each whole text as array<int> (a column named like out is replaced)."""
     bounded_batches(df.sparkSession)
     data = df.sparkSession.sparkContext.broadcast(read_ranks(path))
+    size = F.length(F.coalesce(F.col(text), F.lit("")))
+    whole = _encode_whole(df.filter(size <= SPREAD_CHARS), data, pattern, text, out)
+    outsized = df.filter(size > SPREAD_CHARS)
+    if outsized.isEmpty():
+        return whole
+    return whole.unionByName(_encode_spread(outsized, data, pattern, text, out))
+
 
+def _encode_whole(df: DataFrame, data, pattern: str, text: str, out: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher, pieces = _codec(data.value, pattern)
         get = pieces.__getitem__
@@ -148,6 +164,77 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
     return df.mapInArrow(run, _with_field(df, out, "array<int>"))
 
 
+def chunk_pieces(text: str, at: int, matcher, get) -> tuple[bytes, bytes, bytes]:
+    """Of a chunk that starts at a place of its text: the ends of its pieces there, how many ids each has, and the ids."""
+    spans = [m.span() for m in matcher.finditer(text)]
+    blobs = [get(text[a:b]) for a, b in spans]
+    ends = np.array([b for _, b in spans], "<i8") + at
+    return ends.tobytes(), np.array([len(x) >> 2 for x in blobs], "<i4").tobytes(), b"".join(blobs)
+
+
+def stitch(chunks: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray | None:
+    """Ids of a text from its chunks (start, stop, ends of pieces, ids of each, ids) in order; None where two chunks have no
+    common boundary.
+
+    A boundary of a chunk is the end of one of its pieces; its start is a cut, and its last EDGE characters are not trusted
+    unless the text ends there.
+    """
+    out, begin = [], 0
+    for i, (start, stop, ends, sizes, ids) in enumerate(chunks):
+        if i + 1 < len(chunks):
+            following = chunks[i + 1]
+            mine = ends[(ends > following[0]) & (ends < stop - EDGE) & (ends > begin)]
+            shared = mine[np.isin(mine, following[2])]
+            if not len(shared):
+                return None
+            end = int(shared[0])
+        else:
+            end = stop
+        use = (ends > begin) & (ends <= end)
+        places = np.append(0, np.cumsum(sizes))
+        lo, hi = np.flatnonzero(use)[[0, -1]] if use.any() else (0, -1)
+        out.append(ids[places[lo] : places[hi + 1]])
+        begin = end
+    return np.concatenate(out) if out else np.zeros(0, "<i4")
+
+
+def _encode_spread(df: DataFrame, data, pattern: str, text: str, out: str) -> DataFrame:
+    others = [c for c in df.columns if c not in (text, out)]
+    numbered = df.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)], F.lit(0).alias("none")).alias("rest"), F.col(text).alias("t"))
+    starts = F.sequence(F.lit(0), F.ceil(F.length("t") / SPREAD_CHUNK).cast("int") - 1)
+    parts = numbered.select("row", "rest", F.posexplode(F.transform(starts, lambda i: F.substring(F.col("t"), i * SPREAD_CHUNK + 1, F.lit(SPREAD_CHUNK + SPREAD_OVERLAP)))).alias("i", "t"))
+    # what else the row has goes with its first chunk
+    parts = parts.withColumn("rest", F.when(F.col("i") == 0, F.col("rest"))).repartition("row", "i")
+
+    def pre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher, pieces = _codec(data.value, pattern)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                made = chunk_pieces(one.column("t")[0].as_py(), one.column("i")[0].as_py() * SPREAD_CHUNK, matcher, pieces.__getitem__)
+                yield pa.RecordBatch.from_arrays([*one.columns, *(pa.array([x], pa.binary()) for x in made)], names=[*one.schema.names, "ends", "sizes", "ids"])
+
+    schema = StructType([*parts.schema.fields, *StructType.fromDDL("ends binary, sizes binary, ids binary").fields])
+    done = parts.mapInArrow(pre, schema)
+
+    def join(table: pa.Table) -> pa.Table:
+        table = table.sort_by("i")
+        texts = table.column("t").to_pylist()
+        at = [i * SPREAD_CHUNK for i in table.column("i").to_pylist()]
+        cols = [[np.frombuffer(x, kind) for x in table.column(c).to_pylist()] for c, kind in (("ends", "<i8"), ("sizes", "<i4"), ("ids", "<i4"))]
+        ids = stitch([(a, a + len(t), *x) for a, t, *x in zip(at, texts, *cols, strict=True)])
+        value = "".join(t[:SPREAD_CHUNK] for t in texts)
+        if ids is None:  # a piece longer than an overlap: by growing chunks, one after another
+            matcher, pieces = _codec(data.value, pattern)
+            ids = np.frombuffer(b"".join(pieces[p] for part in stitched_pieces(value, matcher, SPREAD_CHUNK, SPREAD_OVERLAP) for p in part), "<i4")
+        rest = table.column("rest").combine_chunks()
+        return pa.table([rest.slice(0, 1) if not isinstance(rest, pa.ChunkedArray) else rest.chunk(0).slice(0, 1), pa.array([value]), pa.array([ids], pa.list_(pa.int32()))], names=["rest", "t", "ids"])
+
+    joined = done.groupBy("row").applyInArrow(join, StructType([done.schema["rest"], *StructType.fromDDL("t string, ids array<int>").fields]))
+    place = {c: F.col(f"rest.c{i}") for i, c in enumerate(others)} | {text: F.col("t"), out: F.col("ids")}
+    return joined.select(*[place[f.name].alias(f.name) for f in _with_field(df, out, "array<int>").fields])
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds the bytes of each row's ids as binary (null ids: no bytes)."""
     bounded_batches(df.sparkSession)

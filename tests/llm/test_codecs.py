@@ -52,6 +52,25 @@ def test_chunks_are_stitched_at_true_boundaries():
         assert got == pattern.findall(text), n
 
 
+def test_long_texts_are_spread_over_tasks(spark, coder, monkeypatch):
+    monkeypatch.setattr(bpe, "SPREAD_CHARS", 200)
+    monkeypatch.setattr(bpe, "SPREAD_CHUNK", 150)
+    monkeypatch.setattr(bpe, "SPREAD_OVERLAP", 40)
+    rng = random.Random(9)
+    bits = ["a", "word", " ", "  ", "\n", "'", "'re", "9", "...", "é", "　", "don't", "x" * 30, " " * 20, "日本"]
+    texts = ["".join(rng.choices(bits, k=n)) for n in (10, 60, 200, 400, 900)] + ["z" * 1000, " " * 700 + "end", "ab " * 300, None]
+    df = spark.createDataFrame([(i % 4, t, "x", None) for i, t in enumerate(texts)], "i int, text string, rest string, ids string").repartition(2)
+    rows = bpe.encode(df, RANKS, P.PATTERN).collect()
+    assert len(rows) == len(texts) and rows[0].__fields__ == ["i", "text", "rest", "ids"]
+    for r in rows:
+        assert r["ids"] == coder.encode_ordinary(r["text"] or "") and r["rest"] == "x" and texts.index(r["text"]) % 4 == r["i"]
+
+
+def test_ordinary_texts_have_several_chunks(spark):
+    sizes = [len(r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    assert sum(n > bpe.CHUNK_CHARS for n in sizes) > 0.2 * len(sizes)
+
+
 def pieces_of(spark, rows):
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, piece int").repartition(3)
     return pk.pack_documents(df, WORDS).collect()
