@@ -385,11 +385,14 @@ def deal_by_prefix(alive: DataFrame, sets: DataFrame, threshold: float, scratch:
     # a text that is not near one of the bucket's least size, sharing all it can, is not near a larger one
     least = dealt.groupBy("b").agg(F.min("n").alias("least"), F.max("repeats").alias("some"))
     hope = may_be_near(threshold, F.col, {"n": F.col("least"), "m": F.col("m"), "mass": F.col("mass"), "repeats": F.col("some")}.get)
-    dealt = scratch.put(dealt.join(least, "b").filter(hope).drop("least", "some"))
+    every, dealt = dealt, scratch.put(dealt.join(least, "b").filter(hope).drop("least", "some"))
     first = F.min(F.struct((-F.col("common")).alias("rank"), "v"))["v"]
     open_ = dealt.groupBy("b").agg(F.count("*").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"), first.alias("first")).filter("lo <> hi")
     place = F.when(F.col("v") == F.col("first"), -1.0).otherwise(F.pmod(F.xxhash64("v", "b"), F.lit(1_000_000)) * F.col("size") / 1_000_000)
-    return scratch.put(dealt.join(open_, "b").select("b", "v", "c", place.alias("place"), *BOUNDS))
+    out = scratch.put(dealt.join(open_, "b").select("b", "v", "c", place.alias("place"), *BOUNDS))
+    for done in (vertices, every, dealt):
+        scratch.drop(done)
+    return out
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -437,11 +440,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
         rest = scratch.put(rest)
         # a bucket is done when its remaining members are known to be connected
         open_ = rest.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("b")
-        alive = scratch.put(rest.join(open_, "b").select(*alive.columns))
-        scratch.drop(rest)
-        scratch.drop(pairs)
+        before, alive = alive, scratch.put(rest.join(open_, "b").select(*alive.columns))
+        for done in (before, rest, pairs):  # the first of these is the table of members
+            scratch.drop(done)
         if not dealt and not alive.isEmpty():
-            alive, low, dealt = deal_by_prefix(alive, sets, threshold, scratch), -1, True
+            before, alive, low, dealt = alive, deal_by_prefix(alive, sets, threshold, scratch), -1, True
+            scratch.drop(before)
         if alive.isEmpty():
             break
         low, step = low + step, 4 * step
@@ -454,6 +458,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     labels = None
     if links:
         labels = components(reduce(DataFrame.unionByName, links), scratch).select(F.col("id").alias("v"), "c")
+        for done in links:
+            scratch.drop(done)
     named = distinct.select("d1", "d2", "first", F.col("first.row").alias("v"))
     named = named.withColumn("c", F.col("v")) if labels is None else named.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
     least = named.groupBy("c").agg(F.min("first").alias("least"))
