@@ -13,8 +13,9 @@ import pyarrow as pa
 
 from .common import unsigned
 
-#: Most hash buckets of an exchange.  Each bucket is held by one task at a time.
-MAX_BUCKETS = 32_768
+#: Text bytes behind a hash bucket of an exchange, which one task holds at a time: two groups' worth, and more once there
+#: are MANY_BUCKETS, so that what a group sends to a bucket does not become less than its row's header.
+BUCKET_TEXT, MANY_BUCKETS = 512 << 20, 32_768
 _CODEC = pa.Codec("zstd", compression_level=1)
 
 
@@ -51,6 +52,11 @@ def unpack_all(blobs: Sequence[bytes], dtypes: Sequence[str], delta: bool = Fals
     return [np.concatenate(cols) for cols in zip(*each, strict=True)]
 
 
+def bucket_count(groups: int, total: int) -> int:
+    """Buckets for so many groups and bytes of text."""
+    return max(8, min(groups // 2, MANY_BUCKETS), total // BUCKET_TEXT)
+
+
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket by the top 32 bits, so that buckets are hash ranges."""
     return ((unsigned(hashes) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)

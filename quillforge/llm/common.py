@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step handles at a time.
 BLOCK_BYTES = 512 << 10
-#: Text bytes per group when texts are dealt out by key.
-GROUP_BYTES = 8 << 20
+#: Text bytes per group when texts are dealt out by key: the least, and beyond MANY_GROUPS groups up to the most.
+GROUP_BYTES, MANY_GROUPS, MOST_GROUP_BYTES = 8 << 20, 100_000, 64 << 20
+#: Text bytes per partition of dealt texts, which holds many groups one after another.
+PART_BYTES = 128 << 20
 
 _U = np.uint64
 #: Odd multipliers of the two polynomial hashes modulo 2^64.
@@ -104,10 +106,19 @@ def next_prime(n: int) -> int:
     return n
 
 
-def group_count(docs: DataFrame, text: str = "text", group_bytes: int = GROUP_BYTES) -> int:
-    """A prime number of groups of about group_bytes of text."""
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return 1 if total <= group_bytes else next_prime(math.ceil(total / group_bytes))
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
+def group_count(total: int) -> int:
+    """A prime number of groups for so many bytes of text."""
+    size = min(MOST_GROUP_BYTES, max(GROUP_BYTES, total // MANY_GROUPS))
+    return 1 if total <= size else next_prime(math.ceil(total / size))
+
+
+def part_count(spark: SparkSession, groups: int, total: int) -> int:
+    """Partitions for so many groups: those of a shuffle, and more where they would hold over PART_BYTES of text."""
+    return min(groups, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PART_BYTES)))
 
 
 def with_text_group(docs: DataFrame, groups: int, text: str = "text", key: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:

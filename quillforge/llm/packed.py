@@ -67,10 +67,10 @@ def _pack(keep: Sequence[str]):
     return run
 
 
-def packed_by_group(docs: DataFrame, groups: int, text: str = "text", key: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
+def packed_by_group(docs: DataFrame, groups: int, parts: int, text: str = "text", key: str = "doc_id", keep: Sequence[str] = ()) -> DataFrame:
     """(g, block, rest), partitioned by g and checkpointed."""
     packed = with_text_group(docs, groups, text, key, keep).mapInArrow(_pack(keep), "g int, block binary, rest binary")
-    return cut_lineage_by(packed, groups, "g")
+    return cut_lineage_by(packed, parts, "g")
 
 
 class Texts:

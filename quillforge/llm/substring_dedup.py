@@ -19,8 +19,8 @@ document: neither hides the other, and each loses what the id's windows lose.  E
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .blobs import MAX_BUCKETS, bucket_of, by_key, cells, pack, starts_of, unpack_all
-from .common import BLOCK_BYTES, NULL_ID, Rolling, blocks, bounded_batches, cut_lineage, group_count, merge_runs, mix, ragged, table, word_digests, word_spans
+from .blobs import bucket_count, bucket_of, by_key, cells, pack, starts_of, unpack, unpack_all
+from .common import BLOCK_BYTES, NULL_ID, Rolling, blocks, bounded_batches, cut_lineage, group_count, merge_runs, mix, part_count, ragged, table, text_bytes, word_digests, word_spans
 from .packed import Texts, packed_by_group
 from .suffix_dedup import _AT, _OPEN, _RUN, _SUFFIX, _rows, _send, _sliding_min, _to_groups
 
@@ -37,11 +37,24 @@ WINDOW = 13
 ANCHOR = 5
 ROWS = 2
 CELLS = 2
-SHARD_CELLS = 1 << 23
+#: Cells of a shard of the sketch: the least, and beyond MANY_SHARDS shards up to the most (a byte each in one task).
+SHARD_CELLS, MANY_SHARDS, MOST_SHARD_CELLS = 1 << 23, 4096, 1 << 28
 #: Words that one vectorised step handles.
 BLOCK_WORDS = 256 << 10
 
 
+class Shards(NamedTuple):
+    """How many shards the cell space has, and how many cells each."""
+
+    count: int
+    cells: int
+
+    @classmethod
+    def of(cls, cells: int) -> Shards:
+        size = min(MOST_SHARD_CELLS, max(SHARD_CELLS, cells // MANY_SHARDS))
+        return cls(max(1, -(-cells // size)), size)
+
+
 class Words:
     """Word digests of a group's texts and the place of each word in its text."""
 
@@ -100,7 +113,7 @@ def _valid(n: int, offsets: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(mark[:-1]) > 0)
 
 
-def _window_keys(words: Words, window: int, shards: int) -> Iterator[tuple[tuple, np.ndarray, list[np.ndarray]]]:
+def _window_keys(words: Words, window: int, shards: Shards) -> Iterator[tuple[tuple, np.ndarray, list[np.ndarray]]]:
     """For each step its valid windows and their cells, shard << 32 | cell, in each row of the sketch."""
     for step in _steps(words.offsets, window):
         _, lo, hi, places = step
@@ -110,11 +123,11 @@ def _window_keys(words: Words, window: int, shards: int) -> Iterator[tuple[tuple
         keys = []
         for row in range(ROWS):
             h = Rolling(words.codes[row % 2][lo:hi], row % 2).of(at, at + window)
-            keys.append((bucket_of(h, shards).astype(np.uint64) << np.uint64(32)) | ((h & np.uint64(0xFFFFFFFF)) * np.uint64(SHARD_CELLS) >> np.uint64(32)))
+            keys.append((bucket_of(h, shards.count).astype(np.uint64) << np.uint64(32)) | ((h & np.uint64(0xFFFFFFFF)) * np.uint64(shards.cells) >> np.uint64(32)))
         yield step, at, keys
 
 
-def _touched(words: Words, window: int, shards: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _touched(words: Words, window: int, shards: Shards) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per row of the sketch: the distinct cells and which of them are touched more than once."""
     each: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
     for _, _, keys in _window_keys(words, window, shards):
@@ -129,38 +142,42 @@ def _touched(words: Words, window: int, shards: int) -> list[tuple[np.ndarray, n
     return out
 
 
-def _sketch(window: int, shards: int):
+def _sketch(window: int, shards: Shards):
     def run(part: pa.Table) -> pa.Table:
         g = part.column("g")[0].as_py()
         rows = []
         for row, (keys, twice) in enumerate(_touched(Words(Texts(part)), window, shards)):
             shard = (keys >> np.uint64(32)).astype(np.int64)
             for s, at in by_key(shard):
-                rows.append((row * shards + s, g, pack([(keys[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32), twice[at]], True)))
+                rows.append((row * shards.count + s, g, pack([(keys[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32), twice[at]], True)))
         cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
         return pa.table({"shard": pa.array(cols[0], pa.int32()), "g": pa.array(cols[1], pa.int32()), "cells": pa.array(cols[2], pa.binary())})
 
     return run
 
 
-def _merge(part: pa.Table) -> pa.Table:
-    """Adds up one shard's sketches and answers each with a bit per cell: is its count two or more?"""
-    lists = [unpack_all([b], ("<u4", "?"), True) for b in part.column("cells").to_pylist()]
-    counts = np.zeros(SHARD_CELLS, dtype=np.uint8)
-    for at, twice in lists:
-        counts[at] = np.minimum(counts[at] + 1 + twice, 2)
-    bits = [np.packbits(counts[at] >= 2).tobytes() for at, _ in lists]
-    return pa.table({"g": part.column("g"), "shard": part.column("shard"), "bits": pa.array(bits, pa.binary())})
+def _merge(shards: Shards):
+    def run(part: pa.Table) -> pa.Table:
+        """Adds up one shard's sketches and answers each with a bit per cell: is its count two or more?"""
+        sketches = part.column("cells").to_pylist()
+        counts = np.zeros(shards.cells, dtype=np.uint8)
+        for blob in sketches:
+            at, twice = unpack(blob, ("<u4", "?"), True)
+            counts[at] = np.minimum(counts[at] + 1 + twice, 2)
+        bits = [np.packbits(counts[unpack(blob, ("<u4", "?"), True)[0]] >= 2).tobytes() for blob in sketches]
+        return pa.table({"g": part.column("g"), "shard": part.column("shard"), "bits": pa.array(bits, pa.binary())})
+
+    return run
 
 
-def _estimated(part: pa.Table, touched: list[tuple[np.ndarray, np.ndarray]], shards: int) -> list[np.ndarray]:
+def _estimated(part: pa.Table, touched: list[tuple[np.ndarray, np.ndarray]], shards: Shards) -> list[np.ndarray]:
     """Of each row's distinct cells, those that the merged sketch counts twice or more."""
     answer = dict(zip(part.column("shard").to_pylist(), part.column("bits").to_pylist(), strict=True))
     out = []
     for row, (keys, _) in enumerate(touched):
         hot = np.zeros(len(keys), dtype=bool)
         for s, at in by_key((keys >> np.uint64(32)).astype(np.int64)):
-            hot[at] = np.unpackbits(np.frombuffer(answer[row * shards + s], np.uint8), count=len(at)).astype(bool)
+            hot[at] = np.unpackbits(np.frombuffer(answer[row * shards.count + s], np.uint8), count=len(at)).astype(bool)
         out.append(keys[hot])
     return out
 
@@ -185,7 +202,7 @@ def _order(keys: Sequence[np.ndarray], doc: np.ndarray, start: np.ndarray) -> tu
     return order, starts_of(*[k[order] for k in keys])
 
 
-def _find_runs(window: int, anchor_words: int, shards: int, buckets: int):
+def _find_runs(window: int, anchor_words: int, shards: Shards, buckets: int):
     def run(part: pa.Table, answers: pa.Table) -> pa.Table:
         texts = Texts(part)
         words = Words(texts)
@@ -301,14 +318,14 @@ def remove_repeated_windows(docs: DataFrame, text: str = "text", key: str = "doc
     """One row per input row: doc_id, kept string (the words left, joined by a space), n_words, n_removed, keep columns."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    groups = group_count(docs, text)
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    shards = max(1, math.ceil(CELLS * total / 6 / SHARD_CELLS))  # about six bytes a word
-    buckets = min(MAX_BUCKETS, max(8, groups // 2))
+    total = text_bytes(docs, text)
+    groups = group_count(total)
+    shards = Shards.of(CELLS * total // 6)  # about six bytes a word
+    buckets = bucket_count(groups, total)
     anchor_words = min(ANCHOR, window)
-    packed = packed_by_group(docs, groups, text, key, keep)
+    packed = packed_by_group(docs, groups, part_count(spark, groups, total), text, key, keep)
     sketches = packed.groupBy("g").applyInArrow(_sketch(window, shards), "shard int, g int, cells binary")
-    answers = cut_lineage(sketches.groupBy("shard").applyInArrow(_merge, "g int, shard int, bits binary"))
+    answers = cut_lineage(sketches.groupBy("shard").applyInArrow(_merge(shards), "g int, shard int, bits binary"))
     runs = packed.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_find_runs(window, anchor_words, shards, buckets), "bucket int, runs binary, gone binary")
     judged = cut_lineage(runs.groupBy("bucket").applyInArrow(_judge_runs(groups), "g int, gone binary, open binary"))
     todo = judged.filter("open is not null").select("g", "open")

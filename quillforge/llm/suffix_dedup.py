@@ -32,14 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .blobs import MAX_BUCKETS, bucket_of, by_key, cells, pack, starts_of, unpack_all
-from .common import BLOCK_BYTES, NULL_ID, Rolling, blocks, bounded_batches, byte_codes, cut_lineage, group_count, group_of, merge_runs, mix, ragged, table
+from .blobs import bucket_count, bucket_of, by_key, cells, pack, starts_of, unpack_all
+from .common import BLOCK_BYTES, NULL_ID, Rolling, blocks, bounded_batches, byte_codes, cut_lineage, group_count, group_of, merge_runs, mix, part_count, ragged, table, text_bytes
 from .packed import Texts, packed_by_group
 
 DEPTH = 100
 DIGIT = 32
 STEP = 8
-#: Runs that a task gathers before it sends them.
+#: Runs that a task gathers before it sends them: about those of a group of the least size.
 FLUSH_RUNS = 250_000
 _RUN = ("<u8", "<u8", "<i8", "<i4", "<u4")  # digit, extent, id, start, suffixes and (from bit 16) how far the anchor is
 _OPEN = ("<i8", "<i4", "<u4")
@@ -288,9 +288,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", dep
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    groups = group_count(docs, text)
-    buckets = min(MAX_BUCKETS, max(8, groups // 2))
-    packed = packed_by_group(docs, groups, text, key, keep)
+    total = text_bytes(docs, text)
+    groups = group_count(total)
+    buckets = bucket_count(groups, total)
+    packed = packed_by_group(docs, groups, part_count(spark, groups, total), text, key, keep)
     digit = min(DIGIT, max(1, depth // 2))
     runs = packed.groupBy("g").applyInArrow(_find_runs(depth, digit, buckets), _RUNS_SCHEMA)
     judged = cut_lineage(runs.groupBy("bucket").applyInArrow(_judge_runs(groups), _PART_SCHEMA))
