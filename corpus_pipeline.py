@@ -79,7 +79,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = scratch.put(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        kept = scratch.put(stage(spark, docs, sf_dir))
+        if before is not None:
+            scratch.drop(before)
+        docs = before = kept
+    packed = STAGES[-1][1](spark, docs, sf_dir)  # has read them all
+    scratch.drop(docs)
+    return packed
