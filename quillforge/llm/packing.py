@@ -177,11 +177,15 @@ class PieceIds(dict):
         self.ends[[i for t, i in vocabulary.items() if t.endswith(END_OF_WORD)]] = True
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self._ids(text).tobytes()
+
+    def _ids(self, text: str) -> np.ndarray:
+        # the batch call that keeps no offsets
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def learn(self, pieces: list[str]) -> None:
         """Encodes new pieces in one call; each ends with the one token that ends a word."""
-        ids = np.asarray(self.tokenizer.encode(" ".join(pieces), add_special_tokens=False).ids, dtype="<u4")
+        ids = self._ids(" ".join(pieces))
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(pieces) or (len(cuts) and cuts[-1] != len(ids)):
             self.update((p, self.whole(p)) for p in pieces)
@@ -196,8 +200,8 @@ class PieceIds(dict):
         if len(self) > CACHE_PIECES:
             self.clear()
         new = list({p for part in parts if part for p in part if p not in self})
-        for i in range(0, len(new), 10_000):
-            self.learn(new[i : i + 10_000])
+        for i in range(0, len(new), 2000):
+            self.learn(new[i : i + 2000])
         get = self.__getitem__
         return [self.whole(t) if part is None else b"".join(map(get, part)) for t, part in zip(texts, parts, strict=True)]
 
