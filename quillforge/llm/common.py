@@ -36,6 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def passed(keep: Sequence[str], outputs: Sequence[str]) -> list[str]:
+    """The columns to pass through: one that is named like an output gives way to it."""
+    return [c for c in keep if c not in outputs]
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder; where none is configured (tests, single machine) a local default is set."""
     sc = spark.sparkContext

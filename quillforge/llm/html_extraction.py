@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import bounded_batches, table
+from .common import bounded_batches, passed, table
 from .url_filters import url_host
 
 GAMMA = 0.9
@@ -341,8 +341,9 @@ def low_branches(pages: DataFrame) -> DataFrame:
 
 
 def main_text(pages: DataFrame, html: str = "html", url: str = "url", keep: Sequence[str] = ("page_id", "url")) -> DataFrame:
-    """The kept columns and text, for every row."""
+    """The columns of keep and text, for every row.  Outputs go before keep."""
     spark = pages.sparkSession
+    keep = passed(keep, ("text",))
     bounded_batches(spark)
     source = pages.select(*[F.col(c).alias(f"keep_{c}") for c in keep], url_host(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     from .common import cut_lineage

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from .common import bounded_batches, cut_lineage, string_parts, table
+from .common import bounded_batches, cut_lineage, passed, string_parts, table
 from .text_stats import all_counts
 
 MAX_LABELS = 20_000
@@ -159,8 +159,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The kept columns, score (0 to 1) and predicted (1 if score >= 0.5)."""
+    """The columns of keep, score (0 to 1) and predicted (1 if score >= 0.5).  Outputs go before keep."""
     bounded_batches(docs.sparkSession)
+    keep = passed(keep, ("score", "predicted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import BLOCK_BYTES, blocks, bounded_batches, ragged, string_parts, table
+from .common import BLOCK_BYTES, blocks, bounded_batches, passed, ragged, string_parts, table
 from .text_stats import BASE, Spans, all_counts, base_counts, lines, mask_count, wordless
 
 SAMPLE_ROWS = 1000
@@ -143,8 +143,9 @@ class Sampled:
 
 
 def judge(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The kept columns, the counts named in BASE, base_failed and kept, for every row."""
+    """The columns of keep, the counts named in BASE, base_failed and kept, for every row.  Outputs go before keep."""
     bounded_batches(docs.sparkSession)
+    keep = passed(keep, (*BASE, "base_failed", "kept"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sample = Sampled(rules)

@@ -20,7 +20,6 @@ document: neither hides the other, and each loses what the id's windows lose.  E
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,33 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .blobs import bucket_count, bucket_of, by_key, cells, pack, starts_of, unpack, unpack_all
-from .common import BLOCK_BYTES, NULL_ID, Rolling, blocks, bounded_batches, cut_lineage, group_count, merge_runs, mix, part_count, ragged, table, text_bytes, word_digests, word_spans
+from .blobs import bucket_count, bucket_of, cells, starts_of, unpack_all
+from .common import BLOCK_BYTES, NULL_ID, Rolling, blocks, bounded_batches, cut_lineage, group_count, merge_runs, mix, part_count, passed, ragged, table, text_bytes, word_digests, word_spans
 from .packed import Texts, packed_by_group
+from .sketch import Shards, cell_keys, counted_twice, merged, sketch_table, touched
 from .suffix_dedup import _AT, _OPEN, _RUN, _SUFFIX, _rows, _send, _sliding_min, _to_groups
 
 WINDOW = 13
 ANCHOR = 5
 ROWS = 2
 CELLS = 2
-#: Cells of a shard of the sketch: the least, and beyond MANY_SHARDS shards up to the most (a byte each in one task).
-SHARD_CELLS, MANY_SHARDS, MOST_SHARD_CELLS = 1 << 23, 4096, 1 << 28
 #: Words that one vectorised step handles.
 BLOCK_WORDS = 256 << 10
 
 
-class Shards(NamedTuple):
-    """How many shards the cell space has, and how many cells each."""
-
-    count: int
-    cells: int
-
-    @classmethod
-    def of(cls, cells: int) -> Shards:
-        size = min(MOST_SHARD_CELLS, max(SHARD_CELLS, cells // MANY_SHARDS))
-        return cls(max(1, -(-cells // size)), size)
-
-
 class Words:
     """Word digests of a group's texts and the place of each word in its text."""
 
@@ -123,7 +109,7 @@ def _window_keys(words: Words, window: int, shards: Shards) -> Iterator[tuple[tu
         keys = []
         for row in range(ROWS):
             h = Rolling(words.codes[row % 2][lo:hi], row % 2).of(at, at + window)
-            keys.append((bucket_of(h, shards.count).astype(np.uint64) << np.uint64(32)) | ((h & np.uint64(0xFFFFFFFF)) * np.uint64(shards.cells) >> np.uint64(32)))
+            keys.append(cell_keys(h, shards))
         yield step, at, keys
 
 
@@ -133,55 +119,16 @@ def _touched(words: Words, window: int, shards: Shards) -> list[tuple[np.ndarray
     for _, _, keys in _window_keys(words, window, shards):
         for row, k in enumerate(keys):
             each[row].append(k)
-    out = []
-    for ks in each:
-        k = np.sort(np.concatenate(ks)) if ks else np.zeros(0, np.uint64)
-        head = starts_of(k)
-        at = np.flatnonzero(head)
-        out.append((k[at], np.diff(np.append(at, len(k))) > 1))
-    return out
+    return [touched(ks) for ks in each]
 
 
 def _sketch(window: int, shards: Shards):
     def run(part: pa.Table) -> pa.Table:
-        g = part.column("g")[0].as_py()
-        rows = []
-        for row, (keys, twice) in enumerate(_touched(Words(Texts(part)), window, shards)):
-            shard = (keys >> np.uint64(32)).astype(np.int64)
-            for s, at in by_key(shard):
-                rows.append((row * shards.count + s, g, pack([(keys[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32), twice[at]], True)))
-        cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-        return pa.table({"shard": pa.array(cols[0], pa.int32()), "g": pa.array(cols[1], pa.int32()), "cells": pa.array(cols[2], pa.binary())})
-
-    return run
-
-
-def _merge(shards: Shards):
-    def run(part: pa.Table) -> pa.Table:
-        """Adds up one shard's sketches and answers each with a bit per cell: is its count two or more?"""
-        sketches = part.column("cells").to_pylist()
-        counts = np.zeros(shards.cells, dtype=np.uint8)
-        for blob in sketches:
-            at, twice = unpack(blob, ("<u4", "?"), True)
-            counts[at] = np.minimum(counts[at] + 1 + twice, 2)
-        bits = [np.packbits(counts[unpack(blob, ("<u4", "?"), True)[0]] >= 2).tobytes() for blob in sketches]
-        return pa.table({"g": part.column("g"), "shard": part.column("shard"), "bits": pa.array(bits, pa.binary())})
+        return sketch_table(part.column("g")[0].as_py(), dict(enumerate(_touched(Words(Texts(part)), window, shards))), shards)
 
     return run
 
 
-def _estimated(part: pa.Table, touched: list[tuple[np.ndarray, np.ndarray]], shards: Shards) -> list[np.ndarray]:
-    """Of each row's distinct cells, those that the merged sketch counts twice or more."""
-    answer = dict(zip(part.column("shard").to_pylist(), part.column("bits").to_pylist(), strict=True))
-    out = []
-    for row, (keys, _) in enumerate(touched):
-        hot = np.zeros(len(keys), dtype=bool)
-        for s, at in by_key((keys >> np.uint64(32)).astype(np.int64)):
-            hot[at] = np.unpackbits(np.frombuffer(answer[row * shards.count + s], np.uint8), count=len(at)).astype(bool)
-        out.append(keys[hot])
-    return out
-
-
 def _member(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     if not len(sorted_keys):
         return np.zeros(len(keys), dtype=bool)
@@ -206,7 +153,7 @@ def _find_runs(window: int, anchor_words: int, shards: Shards, buckets: int):
     def run(part: pa.Table, answers: pa.Table) -> pa.Table:
         texts = Texts(part)
         words = Words(texts)
-        hot = _estimated(answers, _touched(words, window, shards), shards)
+        hot = [counted_twice(answers, row, keys, shards) for row, (keys, _) in enumerate(_touched(words, window, shards))]
         gathered = []
         for (i, lo, hi, places), at, keys in _window_keys(words, window, shards):
             flag = np.ones(len(at), dtype=bool)
@@ -315,8 +262,12 @@ def _cut(window: int, keep: Sequence[str]):
 
 
 def remove_repeated_windows(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per input row: doc_id, kept string (the words left, joined by a space), n_words, n_removed, keep columns."""
+    """One row per input row: doc_id, kept string (the words left, joined by a space), n_words, n_removed, keep columns.
+
+    Outputs go before keep.
+    """
     spark = docs.sparkSession
+    keep = passed(keep, ("doc_id", "kept", "n_words", "n_removed"))
     bounded_batches(spark)
     total = text_bytes(docs, text)
     groups = group_count(total)
@@ -325,7 +276,7 @@ def remove_repeated_windows(docs: DataFrame, text: str = "text", key: str = "doc
     anchor_words = min(ANCHOR, window)
     packed = packed_by_group(docs, groups, part_count(spark, groups, total), text, key, keep)
     sketches = packed.groupBy("g").applyInArrow(_sketch(window, shards), "shard int, g int, cells binary")
-    answers = cut_lineage(sketches.groupBy("shard").applyInArrow(_merge(shards), "g int, shard int, bits binary"))
+    answers = cut_lineage(sketches.groupBy("shard").applyInArrow(merged(shards), "g int, shard int, bits binary"))
     runs = packed.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_find_runs(window, anchor_words, shards, buckets), "bucket int, runs binary, gone binary")
     judged = cut_lineage(runs.groupBy("bucket").applyInArrow(_judge_runs(groups), "g int, gone binary, open binary"))
     todo = judged.filter("open is not null").select("g", "open")

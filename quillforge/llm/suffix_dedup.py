@@ -1,11 +1,21 @@
 """Suffix-array deduplication: repeated byte strings of at least DEPTH bytes are removed, the first one stays.
 
-Depth-limited radix sort.  Suffixes are told apart only through their first DEPTH bytes, by passes from coarse to
-fine digits; after each pass a suffix that shares its digits with no other leaves, and after the last one the equal
-groups are exactly the repeated windows.  The digits of a suffix are chosen so that neighbours share them:
-
-1. its anchor: the DIGIT bytes with the least hash in its first DEPTH bytes.  Equal windows have equal anchors, and
-   about 35 neighbouring suffixes have the same one; they travel as one run.  Runs whose anchor is alone leave.
+Depth-limited radix sort, most significant digits first.  Suffixes are told apart only through their first DEPTH bytes,
+by passes over ever longer prefixes; after each pass a suffix that shares its prefix with no other leaves, and after the
+last one the equal groups are exactly the repeated windows.
+
+* Neighbouring suffixes travel together, led by the suffix that starts with a word: what it shares with others, they
+  share, and where it stands alone so do all windows that contain its prefix.  A pass over every single byte's suffix
+  would exchange more than the texts.
+* The first passes (PASSES) go through the first 32 and 80 bytes.  A group of texts sends the cells of its prefixes'
+  hashes by shard, and each shard answers which of them are touched twice (see sketch): no prefix that occurs twice is
+  lost, and what is kept by chance leaves in the last pass.  Windows without such a prefix (words of over 68 bytes) are
+  left to the last pass.
+* The last pass sorts what is left through all DEPTH bytes, by the digests of the bytes that neighbours share, from coarse
+  to fine:
+
+1. a suffix's anchor: the DIGIT bytes with the least hash in its first DEPTH bytes.  Equal windows have equal anchors,
+   and about 35 neighbouring suffixes have the same one; they travel as one run.  Runs whose anchor is alone leave.
 2. the run's whole extent.  Runs with equal extents are equal suffix by suffix: all but the first are repeats.
    Where an anchor has one extent only, its first run is decided too.
 3. where extents differ, for the first run of each extent: the core of each part of a run (STEP neighbouring
@@ -33,12 +43,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .blobs import bucket_count, bucket_of, by_key, cells, pack, starts_of, unpack_all
-from .common import BLOCK_BYTES, NULL_ID, Rolling, blocks, bounded_batches, byte_codes, cut_lineage, group_count, group_of, merge_runs, mix, part_count, ragged, table, text_bytes
+from .common import BLOCK_BYTES, NULL_ID, SPACE, Rolling, blocks, bounded_batches, byte_codes, cut_lineage, group_count, group_of, merge_runs, mix, part_count, passed, ragged, table, text_bytes
 from .packed import Texts, packed_by_group
+from .sketch import Shards, Slots, cell_keys, counted_twice, merged, sketch_table, touched
 
 DEPTH = 100
 DIGIT = 32
 STEP = 8
+#: Percents of the depth that the first passes go through, and cells of their sketches per leading suffix.
+PASSES = (32, 80)
+CELLS = 2
 #: Runs that a task gathers before it sends them: about those of a group of the least size.
 FLUSH_RUNS = 250_000
 _RUN = ("<u8", "<u8", "<i8", "<i4", "<u4")  # digit, extent, id, start, suffixes and (from bit 16) how far the anchor is
@@ -56,24 +70,112 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def _block_runs(data: np.ndarray, offsets: np.ndarray, depth: int, digit: int) -> tuple[np.ndarray, ...]:
-    """Of a block: text index, start in the block, number of suffixes, anchor digest and extent digest of each run."""
+def _parts(data: np.ndarray, offsets: np.ndarray, depth: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Blocks of whole texts, and of an outsized text by parts, which share depth - 1 bytes: first text, place, bytes, and the
+    texts' places in them."""
+    for i, j in blocks(offsets):
+        lo, hi = int(offsets[i]), int(offsets[j])
+        if hi - lo <= BLOCK_BYTES:
+            yield i, lo, data[lo:hi], offsets[i : j + 1] - lo
+        else:
+            for at in range(lo, hi - depth + 1, BLOCK_BYTES - depth + 1):
+                stop = min(hi, at + BLOCK_BYTES)
+                yield i, at, data[at:stop], np.array([0, stop - at])
+
+
+class Prefixes:
+    """The leading suffixes of a block: those that start with a word, but not with their text, as the byte before tells."""
+
+    def __init__(self, block: np.ndarray, places: np.ndarray) -> None:
+        body = ~SPACE[block]
+        at = np.flatnonzero(body[1:] & ~body[:-1]) + 1
+        text = np.searchsorted(places, at, side="right") - 1
+        inner = at > places[text]
+        self.at, self.stop = at[inner], places[text[inner] + 1]
+        self.hashes = Rolling(byte_codes(block, 0), 0) if len(self.at) else None
+
+    def keys(self, length: int, shards: Shards) -> np.ndarray:
+        """Keeps the suffixes that are so long, and gives the cells of their prefixes."""
+        fit = self.at + length <= self.stop
+        self.at, self.stop = self.at[fit], self.stop[fit]
+        return cell_keys(self.hashes.of(self.at, self.at + length), shards) if len(self.at) else np.zeros(0, np.uint64)
+
+    def keep(self, alive: np.ndarray) -> np.ndarray:
+        """Keeps some, and gives the places of the others."""
+        gone = self.at[~alive]
+        self.at, self.stop = self.at[alive], self.stop[alive]
+        return gone
+
+
+def _first_passes(texts: Texts, depth: int, lengths: Sequence[int], shards: Shards, known: Sequence[Slots]) -> list[np.ndarray]:
+    """Keys of the pass after the known ones, block by block."""
+    out = []
+    for _, _, block, places in _parts(texts.data, texts.offsets, depth):
+        p = Prefixes(block, places)
+        for length, slots in zip(lengths, known, strict=False):
+            p.keep(slots.may_have(p.keys(length, shards)))
+        out.append(p.keys(lengths[len(known)], shards))
+    return out
+
+
+def _known(texts: Texts, answers: pa.Table, depth: int, lengths: Sequence[int], shards: Shards) -> list[Slots]:
+    """Of each pass that is answered, the cells that are touched twice."""
+    rows = {s // shards.count for s in answers.column("shard").to_pylist()}
+    known: list[Slots] = []
+    while len(known) in rows:
+        keys, _ = touched(_first_passes(texts, depth, lengths, shards, known))
+        known.append(Slots(counted_twice(answers, len(known), keys, shards)))
+    return known
+
+
+def _send_first(depth: int, lengths: Sequence[int], shards: Shards):
+    def run(part: pa.Table) -> pa.Table:
+        return sketch_table(part.column("g")[0].as_py(), {0: touched(_first_passes(Texts(part), depth, lengths, shards, []))}, shards)
+
+    return run
+
+
+def _send_next(depth: int, lengths: Sequence[int], shards: Shards, row: int):
+    def run(part: pa.Table, answers: pa.Table) -> pa.Table:
+        texts = Texts(part)
+        known = _known(texts, answers, depth, lengths, shards)
+        if len(known) < row:  # nothing was sent before, so nothing is left
+            return sketch_table(0, {}, shards)
+        return sketch_table(part.column("g")[0].as_py(), {row: touched(_first_passes(texts, depth, lengths, shards, known))}, shards)
+
+    return run
+
+
+def _live(block: np.ndarray, places: np.ndarray, depth: int, lengths: Sequence[int], shards: Shards, known: Sequence[Slots]) -> np.ndarray:
+    """Whether the window at each place has no prefix of a word that is alone."""
+    p = Prefixes(block, places)
+    change = np.zeros(len(block) + 1, dtype=np.int64)
+    for length, slots in zip(lengths, known, strict=False):
+        gone = p.keep(slots.may_have(p.keys(length, shards)))
+        # windows that contain it start after its end less the depth, and before it
+        change += np.bincount(np.maximum(gone + length - depth, 0), minlength=len(change)) - np.bincount(gone, minlength=len(change))
+    return np.cumsum(change[:-1]) == 0
+
+
+def _block_runs(data: np.ndarray, offsets: np.ndarray, depth: int, digit: int, live: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of a block's live windows: text index, start in the block, number of suffixes, anchor digest and extent digest of each
+    run."""
     n = len(data)
     if n < depth:
         return tuple(np.zeros(0, d) for d in ("<i8", "<i8", "<i8", "<u8", "<u8"))
-    grams = Rolling(byte_codes(data, 0), 0).sliding(digit)
-    place = np.arange(len(grams), dtype=np.uint64)
-    least = _sliding_min((grams & np.uint64(0xFFFFFFFFFF000000)) | place, depth - digit + 1)
-    anchor = (least & np.uint64(0xFFFFFF)).astype(np.int64)
     # a window must end before its text does
     valid = np.zeros(n - depth + 2, dtype=np.int32)
     first, last = offsets[:-1], offsets[1:] - depth + 1
     ok = last > first
     np.add.at(valid, first[ok], 1)
     np.add.at(valid, last[ok], -1)
-    at = np.flatnonzero(np.cumsum(valid[:-1]) > 0)
+    at = np.flatnonzero((np.cumsum(valid[:-1]) > 0) & live[: len(valid) - 1])
     if not len(at):
         return tuple(np.zeros(0, d) for d in ("<i8", "<i8", "<i8", "<u8", "<u8"))
+    grams = Rolling(byte_codes(data, 0), 0).sliding(digit)
+    place = np.arange(len(grams), dtype=np.uint64)
+    least = _sliding_min((grams & np.uint64(0xFFFFFFFFFF000000)) | place, depth - digit + 1)
+    anchor = (least & np.uint64(0xFFFFFF)).astype(np.int64)
     text = np.searchsorted(offsets, at, side="right") - 1
     head = np.flatnonzero(starts_of(anchor[at], text, at - np.arange(len(at))))
     start, count = at[head], np.diff(np.append(head, len(at)))
@@ -82,18 +184,11 @@ def _block_runs(data: np.ndarray, offsets: np.ndarray, depth: int, digit: int) -
     return text[head], start, count + ((anchor[start] - start) << 16), mix(grams[anchor[start]] + np.uint64(1)), extent
 
 
-def anchored_runs(data: np.ndarray, offsets: np.ndarray, depth: int, digit: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of all texts: text index, start in the text, suffixes, anchor, extent.  Long texts go by overlapping parts."""
-    for i, j in blocks(offsets):
-        lo, hi = int(offsets[i]), int(offsets[j])
-        if hi - lo <= BLOCK_BYTES:
-            t, s, c, a, e = _block_runs(data[lo:hi], offsets[i : j + 1] - lo, depth, digit)
-            yield t + i, s - (offsets[i:j][t] - lo), c, a, e
-        else:
-            for at in range(lo, hi - depth + 1, BLOCK_BYTES - depth + 1):
-                stop = min(hi, at + BLOCK_BYTES)
-                t, s, c, a, e = _block_runs(data[at:stop], np.array([0, stop - at]), depth, digit)
-                yield t + i, s + (at - lo), c, a, e
+def anchored_runs(texts: Texts, depth: int, digit: int, lengths: Sequence[int], shards: Shards, known: Sequence[Slots]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of all live windows: text index, start in the text, suffixes, anchor, extent."""
+    for i, lo, block, places in _parts(texts.data, texts.offsets, depth):
+        t, s, c, a, e = _block_runs(block, places, depth, digit, _live(block, places, depth, lengths, shards, known))
+        yield t + i, s + lo - texts.offsets[t + i], c, a, e
 
 
 def _send(bucket: np.ndarray, columns: list[np.ndarray], delta: bool) -> Iterator[tuple[int, bytes]]:
@@ -110,6 +205,7 @@ def _combine(keys: Sequence[np.ndarray], doc: np.ndarray, start: np.ndarray) ->
     return order, starts_of(*[k[order] for k in keys])
 
 
+_SKETCH_SCHEMA, _ANSWER_SCHEMA = "shard int, g int, cells binary", "g int, shard int, bits binary"
 _RUNS_SCHEMA = "bucket int, runs binary, gone binary"
 _PART_SCHEMA = "g int, gone binary, open binary"
 _SUFFIX_SCHEMA = "bucket int, suffixes binary, gone binary"
@@ -121,7 +217,7 @@ def _rows(schema: list[str], rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.binary())) for n, c in zip(schema, cols, strict=True)], names=schema)
 
 
-def _find_runs(depth: int, digit: int, buckets: int):
+def _find_runs(depth: int, digit: int, lengths: Sequence[int], shards: Shards, buckets: int):
     def flush(gathered: list[list[np.ndarray]]) -> pa.RecordBatch:
         anchor, extent, doc, start, count = (np.concatenate(c) for c in zip(*gathered, strict=True))
         order, head = _combine((anchor, extent), doc, start)
@@ -131,10 +227,11 @@ def _find_runs(depth: int, digit: int, buckets: int):
         gone = dict(_send(bucket_of(anchor[rest], buckets), [c[rest] for c in (doc, start, short)], False))
         return _rows(["bucket", "runs", "gone"], [(b, runs.get(b), gone.get(b)) for b in sorted(runs.keys() | gone.keys())])
 
-    def run(part: pa.Table) -> pa.Table:
+    def run(part: pa.Table, answers: pa.Table) -> pa.Table:
         texts = Texts(part)
+        known = _known(texts, answers, depth, lengths, shards)
         out, gathered, held = [], [], 0
-        for text, start, count, anchor, extent in anchored_runs(texts.data, texts.offsets, depth, digit):
+        for text, start, count, anchor, extent in anchored_runs(texts, depth, digit, lengths, shards, known):
             gathered.append([anchor, extent, texts.ids[text], start.astype(np.int32), count.astype(np.uint32)])
             held += len(text)
             if held >= FLUSH_RUNS:
@@ -284,16 +381,24 @@ def _cut(depth: int, keep: Sequence[str], as_text: bool):
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: int = DEPTH, keep: Sequence[str] = (), as_text: bool = False) -> DataFrame:
     """One row per input row: doc_id, kept binary, n_bytes, n_removed, spans array<struct<start, stop>>, and the keep columns.
 
-    as_text: kept is a string, without the bytes of characters that were cut in part.
+    as_text: kept is a string, without the bytes of characters that were cut in part.  Outputs go before keep.
     """
     spark = docs.sparkSession
+    keep = passed(keep, ("doc_id", "kept", "n_bytes", "n_removed", "spans"))
     bounded_batches(spark)
     total = text_bytes(docs, text)
     groups = group_count(total)
     buckets = bucket_count(groups, total)
     packed = packed_by_group(docs, groups, part_count(spark, groups, total), text, key, keep)
     digit = min(DIGIT, max(1, depth // 2))
-    runs = packed.groupBy("g").applyInArrow(_find_runs(depth, digit, buckets), _RUNS_SCHEMA)
+    shards = Shards.of(CELLS * total // 6)  # about six bytes a word
+    lengths = [max(1, depth * p // 100) for p in PASSES]
+    sent = packed.groupBy("g").applyInArrow(_send_first(depth, lengths, shards), _SKETCH_SCHEMA)
+    answers = cut_lineage(sent.groupBy("shard").applyInArrow(merged(shards), _ANSWER_SCHEMA))
+    for row in range(1, len(lengths)):
+        sent = packed.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_send_next(depth, lengths, shards, row), _SKETCH_SCHEMA)
+        answers = answers.unionByName(cut_lineage(sent.groupBy("shard").applyInArrow(merged(shards), _ANSWER_SCHEMA)))
+    runs = packed.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(_find_runs(depth, digit, lengths, shards, buckets), _RUNS_SCHEMA)
     judged = cut_lineage(runs.groupBy("bucket").applyInArrow(_judge_runs(groups), _PART_SCHEMA))
     still = judged.filter("open is not null").select("g", "open")
     parts = packed.groupBy("g").cogroup(still.groupBy("g")).applyInArrow(_find_parts(depth, max(1, min(STEP, depth // 4)), buckets), _RUNS_SCHEMA)

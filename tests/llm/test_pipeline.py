@@ -66,3 +66,15 @@ def test_edges(spark, sf_small):
     assert cut["a"] == text and cut["b"] == "" and cut["c"] == ""
     for _, stage in cp.STAGES:
         assert stage(spark, df.limit(0), sf_small).collect() == []
+
+
+def test_outputs_go_before_kept_columns_of_their_names(spark):
+    from quillforge.llm import html_extraction, quality_rules, substring_dedup, suffix_dedup
+
+    names = ["doc_id", "text", "kept", "n_words", "n_removed", "score", "predicted", "spans", "base_failed"]
+    df = spark.createDataFrame([(1, "a b", "x", "x", "x", "x", "x", "x", "x")], ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    model = qc.fit(df, spark.createDataFrame([], "doc_id long, quality int"))
+    for out in (qc.score(df, model, keep=names), quality_rules.judge(df, keep=names), suffix_dedup.remove_repeats(df, keep=names), substring_dedup.remove_repeated_windows(df, keep=names)):
+        assert len(set(out.columns)) == len(out.columns) and len(out.collect()) == 1
+    pages = df.withColumns({"html": df["text"], "url": df["text"]})
+    assert html_extraction.main_text(pages, keep=names).select("text", "score").first() == ("a b", "x")
