@@ -9,12 +9,24 @@ BLANK = 0
 
 
 def argmax(scores: Column, ties: str = "first") -> Column:
-    """0-based place of the largest score; of an empty array 0.  ties: first or last."""
+    """0-based place of the largest score; of an empty array 0.  ties: first or last.
+
+    NaN: with first, the first NaN is the largest; with last, a NaN equals every score, so that the later one of the two
+    that are compared goes on.
+    """
     best = F.array_max(scores)
     if ties == "first":
         at = F.array_position(scores, best) - 1
     elif ties == "last":
         at = F.size(scores) - F.array_position(F.reverse(scores), best)
+        nan = lambda x: F.isnan(x.cast("double"))
+        start = F.struct(F.get(scores, F.lit(0)).alias("x"), F.lit(0).alias("at"), F.lit(0).alias("i"))
+
+        def later(a, x):
+            wins = nan(a["x"]) | nan(x) | (x >= a["x"])
+            return F.struct(F.when(wins, x).otherwise(a["x"]).alias("x"), F.when(wins, a["i"]).otherwise(a["at"]).alias("at"), (a["i"] + 1).alias("i"))
+
+        at = F.when(F.exists(scores, nan), F.aggregate(scores, start, later, lambda a: a["at"])).otherwise(at)
     else:
         raise ValueError("ties must be first or last")
     return F.when(F.size(scores) == 0, 0).otherwise(at).cast("int")

@@ -18,8 +18,15 @@ def long_word(words: Column, most: int = WORD_CHARS) -> Column:
     return F.exists(words, lambda w: F.length(w) > most)
 
 
-def token_run(text: Column, least: int = TOKEN_RUN) -> Column:
-    return text.rlike(rf"(?U)(?:^|\s)(\S+)(?:\s\1){{{least - 1}}}(?:\s|$)")
+def _repeats(words: Column, shift: int, least: int) -> Column:
+    """Whether so many words in a row equal the word `shift` places after them."""
+    same = F.zip_with(words, F.slice(words, shift + 1, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.when(a == b, "1").otherwise("0"))
+    return F.contains(F.array_join(same, ""), F.lit("1" * least))
+
+
+def token_run(words: Column, least: int = TOKEN_RUN) -> Column:
+    """The same word so many times in a row."""
+    return _repeats(words, 1, least - 1)
 
 
 def low_unique_share(words: Column, least: int = UNIQUE_WORDS, share: float = UNIQUE_SHARE) -> Column:
@@ -28,20 +35,12 @@ def low_unique_share(words: Column, least: int = UNIQUE_WORDS, share: float = UN
 
 def hallucinated(text: Column, words: Column) -> Column:
     """Any of the four signals; never for a text without words."""
-    return (F.size(words) > 0) & (char_run(text) | long_word(words) | token_run(text) | low_unique_share(words))
+    return (F.size(words) > 0) & (char_run(text) | long_word(words) | token_run(words) | low_unique_share(words))
 
 
 def ngram_loop(words: Column, n: int, times: int = 2) -> Column:
     """Some n words stand `times` times in a row."""
-    span = n * times
-    starts = F.when(F.size(words) >= span, F.sequence(F.lit(1), F.size(words) - span + 1)).otherwise(F.array().cast("array<int>"))
-    def same(i):
-        first = F.slice(words, i, n)
-        out = F.lit(True)
-        for k in range(1, times):
-            out = out & (first == F.slice(words, i + k * n, n))
-        return out
-    return F.exists(starts, same)
+    return _repeats(words, n, n * (times - 1))
 
 
 def chars_per_second(text: Column, seconds: Column) -> Column:

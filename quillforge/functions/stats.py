@@ -172,6 +172,11 @@ def bootstrap_percentile(rows: DataFrame, key: str, value: str, p: float, replic
     return each.agg(F.percentile("v", F.lit(0.025)).alias("ci_low"), F.percentile("v", F.lit(0.975)).alias("ci_high"))
 
 
+def clean_median(rows: DataFrame, load: str, most: float, value: str, *groups: str) -> DataFrame:
+    """groups, median: of the values that were taken at a load of at most `most`."""
+    return rows.filter(F.col(load) <= most).groupBy(*groups).agg(F.percentile(value, F.lit(0.5)).alias("median"))
+
+
 def verdict(low: Column, high: Column) -> Column:
     """What an interval of a difference shows."""
     return F.when(low > 0, "better").when(high < 0, "worse").otherwise("undecided")

@@ -141,6 +141,14 @@ def speaker_key(dataset: Column, path: Column) -> Column:
     )
 
 
+def prefix_class(key: Column, classes: dict[str, str], other: str) -> Column:
+    """The class of the first prefix that an id starts with."""
+    out = F.lit(other)
+    for prefix, name in reversed(classes.items()):
+        out = F.when(F.startswith(key, F.lit(prefix)), name).otherwise(out)
+    return out
+
+
 def padded_id(prefix: str, number: Column, width: int = 8) -> Column:
     return F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0"))
 

@@ -6,7 +6,8 @@ import hashlib
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillforge.functions import quality as Q
@@ -143,6 +144,11 @@ def corpus_counts(rows: DataFrame, text: Column, votes: Column | None, least: in
     return counted.agg(F.count("*").alias("total"), *[F.count_if(F.col("reason") == r).alias(r) for r in ("kept", "missing", "empty", "filtered")])
 
 
+def hours(seconds: Column) -> Column:
+    """Aggregate."""
+    return F.sum(seconds) / 3600.0
+
+
 def disjoint_ids(sources: Sequence[DataFrame], key: str) -> DataFrame:
     """The union of sources whose ids must not meet."""
     every = reduce(DataFrame.unionByName, sources)
@@ -246,6 +252,34 @@ def infer(rows: DataFrame, load: Callable[[], Callable], column: str, out: str,
     return rows.mapInPandas(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + [f"`{out}` {kind}"]))
 
 
+def infer_padded(rows: DataFrame, load: Callable[[], Callable], column: str, out: str, kind: str, batch: int = 16) -> DataFrame:
+    """infer() for models that take a batch of frame arrays filled up to the longest, and their lengths.
+
+    Rows are sorted by length within partitions, so a batch has little filling.
+    """
+
+    def run(batches):
+        model = load()
+        for b in batches:
+            made = []
+            for i in range(0, len(b), batch):
+                each = [np.array(list(map(np.asarray, x)), dtype=np.float32) for x in b[column].iloc[i : i + batch]]
+                lengths = np.array([len(x) for x in each])
+                filled = np.zeros((len(each), lengths.max(), *next((x.shape[1:] for x in each if len(x)), (0,))), np.float32)
+                for row, x in zip(filled, each, strict=True):
+                    row[: len(x)] = x
+                made += list(model(filled, lengths))
+            yield b.assign(**{out: made})
+
+    sorted_ = rows.withColumn("__n", F.size(column)).sortWithinPartitions("__n").drop("__n")
+    return sorted_.mapInPandas(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + [f"`{out}` {kind}"]))
+
+
+def infer_both(rows: DataFrame, first: Callable[[], Callable], second: Callable[[], Callable], column: str, kind: str = "string") -> DataFrame:
+    """Adds hyp1 and hyp2 of two models, one after the other: no worker holds both."""
+    return infer(fixed(infer(rows, first, column, "hyp1", kind)), second, column, "hyp2", kind)
+
+
 def length_sorted(rows: DataFrame, length: str) -> DataFrame:
     return rows.sortWithinPartitions(length)
 

@@ -107,16 +107,29 @@ def frame_conditioning(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.abs(x)), 5).alias("energy"))
 
 
-@query()
+@query("""WITH x AS (SELECT i, trunc(sin(i * (2 * pi() * 440 / 16000)) * 16383.5) / 32768.0 AS x FROM range(48000) t(i)),
+a AS (SELECT n, k, (n * 160 - 120 + k + 96000) % 96000 AS i FROM range(300) f(n), range(400) w(k)),
+j AS (SELECT n, k, x.x - avg(x.x) OVER (PARTITION BY n) AS x FROM a JOIN x ON x.i = CASE WHEN a.i < 48000 THEN a.i ELSE 95999 - a.i END),
+e AS (SELECT n, k, (x - 0.97 * coalesce(lag(x) OVER (PARTITION BY n ORDER BY k), x)) * pow(0.5 - 0.5 * cos(2 * pi() * k / 399), 0.85) AS x FROM j),
+d AS (SELECT n, b, pow(sum(x * cos(2 * pi() * k * b / 512)), 2) + pow(sum(x * sin(2 * pi() * k * b / 512)), 2) AS p FROM e, range(256) t(b) GROUP BY n, b),
+h AS (SELECT 1127 * ln(1 + 20 / 700.0) AS lo, 1127 * ln(1 + 7600 / 700.0) AS hi), g AS (SELECT m, lo + (hi - lo) * m / 81 AS e0, (hi - lo) / 81 AS s FROM h, range(80) t(m)),
+w AS (SELECT m, b, greatest(0, least((z - e0) / s, (e0 + 2 * s - z) / s)) AS w FROM (SELECT m, b, e0, s, 1127 * ln(1 + b * 31.25 / 700) AS z FROM g, range(256) t(b))),
+l AS (SELECT n, m, ln(greatest(sum(p * w), 1.1920929e-07)) AS level FROM d JOIN w USING (b) GROUP BY n, m)
+SELECT n::INT AS frame, arg_max(m, level)::INT AS bin, round(max(level), 3) AS level FROM l GROUP BY n""")
 def fbank_features(spark, sf):
     """Log-mel frames of a tone of three seconds: frame, loudest bin, level."""
     from quillforge.sources.readers import tone
 
     f = tone(spark, 3.0).select(F.posexplode(G.fbank("samples")).alias("frame", "bins"))
-    return f.select("frame", ctc.argmax(F.col("bins").cast("array<double>")).alias("bin"), F.array_max("bins").alias("level"))
+    return f.select("frame", ctc.argmax(F.col("bins").cast("array<double>")).alias("bin"), F.round(F.array_max("bins").cast("double"), 3).alias("level"))
 
 
-@query()
+@query("""WITH x AS (SELECT trunc(sin(i * (2 * pi() * 440 / 16000)) * 16383.5)::BIGINT AS x FROM range(8000) t(i)),
+s AS (SELECT x, floor(x / 8.0)::BIGINT AS a, floor(x / 4.0)::BIGINT AS u FROM x),
+m AS (SELECT x, a < 0 AS an, CASE WHEN a < 0 THEN -a - 1 ELSE a END AS a, u < 0 AS un, least(abs(u), 8158) + 33 AS u FROM s),
+k AS (SELECT *, greatest(floor(log2(greatest(a, 1))) - 4, 1)::INT AS sa, (floor(log2(u)) - 5)::INT AS su FROM m),
+o AS (SELECT x, (CASE WHEN an THEN -8 ELSE 8 END) * (a - a % (1 << sa) + (1 << (sa - 1))) AS a, (CASE WHEN un THEN -4 ELSE 4 END) * (u - u % (1 << (su + 1)) + (1 << su) - 33) AS u FROM k)
+SELECT max(abs(x - a))::INT AS g711a, max(abs(x - u))::INT AS g711u, 0 AS identity, 0 AS length_change FROM o""")
 def codec_round_trips(spark, sf):
     """Largest error of each codec on a tone, and of the telephone channel's length."""
     from quillforge.sources.readers import tone

@@ -32,6 +32,57 @@ def blank_penalty_sweep(spark, sf):
     return e.withColumn("p", top).groupBy("beta").agg(F.count_if(ctc.argmax(F.col("p")) != 0).alias("emitted"), F.count("*").alias("frames"))
 
 
+_BETAS = (0.0, 0.5, 1.0, 2.0, 3.0, 4.0, 6.0)
+
+
+@query(f"""WITH b AS (SELECT unnest({list(_BETAS)})::DOUBLE AS beta), f AS (SELECT vec_id, vec_id // 10 AS u, embedding::DOUBLE[] AS e FROM embeddings),
+t AS (SELECT vec_id, u, e[1] AS blank, list_max(e[2:]) AS top, list_position(e[2:], list_max(e[2:])) AS id FROM f),
+p AS (SELECT u, beta, vec_id, CASE WHEN blank - beta >= top THEN 0 ELSE id END AS id FROM t, b UNION ALL SELECT u, -1, vec_id, id FROM t),
+c AS (SELECT u, beta, string_agg(chr(48 + id::INT), '' ORDER BY vec_id) FILTER (id <> 0 AND id IS DISTINCT FROM prev) AS s FROM (SELECT *, lag(id) OVER (PARTITION BY u, beta ORDER BY vec_id) AS prev FROM p) GROUP BY u, beta),
+w AS (SELECT h.beta, sum(levenshtein(r.s, coalesce(h.s, '')))::BIGINT AS errors, sum(length(r.s))::BIGINT AS words FROM c r JOIN c h ON r.u = h.u AND r.beta = -1 AND h.beta >= 0 GROUP BY h.beta)
+SELECT beta, errors, words, beta = (SELECT arg_min(beta, errors * 1000000 + beta) FROM w) AS best FROM w""")
+def blank_penalty_wer(spark, sf):
+    """Error rate of the greedy path by blank penalty, and the first penalty with the least.
+
+    Ten frames are an utterance, whose reference is its path without the blank.
+    """
+    e = F.col("embedding").cast("array<double>")
+    frames = table(spark, sf, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 10).alias("u"), e.alias("e"))
+    ids = frames.select("vec_id", "u", (ctc.argmax(F.slice("e", 2, 1 << 30)) + 1).alias("ref"), *[ctc.argmax(ctc.penalize_blank(F.col("e"), b)).alias(f"h{i}") for i, b in enumerate(_BETAS)])
+    path = lambda c: ctc.collapse(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", F.col(c).alias("x")))), lambda f: f["x"]))
+    paths = ids.groupBy("u").agg(path("ref").alias("ref"), *[path(f"h{i}").alias(f"h{i}") for i in range(len(_BETAS))])
+    text = lambda c: F.transform(c, lambda x: x.cast("string"))
+    each = paths.select(text("ref").alias("ref"), F.explode(F.array(*[F.struct(F.lit(b).alias("beta"), text(f"h{i}").alias("hyp")) for i, b in enumerate(_BETAS)])).alias("x"))
+    rates = S.corpus_wer(each.select("ref", "x.beta", "x.hyp"), "ref", "hyp", "beta").select("beta", "errors", "words")
+    best = rates.agg(F.min(F.struct("errors", "beta"))["beta"].alias("least"))  # a row per penalty
+    return rates.join(F.broadcast(best)).select("beta", "errors", "words", (F.col("beta") == F.col("least")).alias("best"))
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")
+def cost_summary(spark, sf):
+    """Mean, standard deviation and nearest-rank p99 of a cost, over all its readings."""
+    e = table(spark, sf, "events")
+    top = S.at_ranks(e, "event_type", "value", {"p99": lambda n: F.greatest(F.ceil(F.lit(0.99) * n), F.lit(1)) - 1}).select("event_type", "p99")
+    some = e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), 6).alias("std"))
+    return some.join(top, "event_type")
+
+
+@query("SELECT user_id, median(value) AS median FROM events WHERE event_id % 9 <= 6 GROUP BY user_id")
+def clean_window_median(spark, sf):
+    """Median of the readings that were taken under a light load (here: a remainder stands for the load)."""
+    return S.clean_median(table(spark, sf, "events").withColumn("load", F.col("event_id") % 9), "load", 6, "value", "user_id")
+
+
+@query(r"""SELECT CASE WHEN starts_with(source, 'src1') THEN 'ones' ELSE 'others' END AS corpus, count(*) AS n, round(sum(n_chars) / 3600.0, 6) AS hours FROM documents
+WHERE NOT regexp_full_match(coalesce(text, ''), '[^\p{L}\p{M}\p{N}_]*') GROUP BY 1""")
+def hours_by_corpus(spark, sf):
+    """Rows with a reference that is not empty once normalised, by a prefix of their id, with their hours (a character stands
+    for a second)."""
+    docs = table(spark, sf, "documents").filter(T.normalize_train_target(F.col("text")) != "")
+    corpus = T.prefix_class(F.col("source"), {"src1": "ones"}, "others")
+    return docs.groupBy(corpus.alias("corpus")).agg(F.count("*").alias("n"), F.round(C.hours(F.col("n_chars")), 6).alias("hours"))
+
+
 @query("""SELECT event_type, count(DISTINCT user_id) AS files, count(*) AS segments, round(sum(value), 3) AS audio_s, round(sum(value) / count(*), 1) AS rtfx FROM events GROUP BY event_type""")
 def throughput_summary(spark, sf):
     g = table(spark, sf, "events").groupBy("event_type")
@@ -99,10 +150,16 @@ def interval_verdicts(spark, sf):
     return v.groupBy("label").agg(F.round(100.0 * F.avg((F.col("value") > 0).cast("double")), 6).alias("positive"), S.verdict(F.min("value"), F.max("value")).alias("verdict"))
 
 
-@query()
+@query("""WITH x AS (SELECT i // 512 AS n, i % 512 AS k, trunc(sin(i * (2 * pi() * 440 / 16000)) * 16383.5) / 32767.0 * (0.5 - 0.5 * cos(2 * pi() * (i % 512) / 511)) AS x FROM range(31 * 512) t(i)),
+d AS (SELECT n, b, pow(sum(x * cos(2 * pi() * k * b / 512)), 2) + pow(sum(x * sin(2 * pi() * k * b / 512)), 2) AS p FROM x, range(257) t(b) GROUP BY n, b),
+e AS (SELECT m, CASE WHEN z < 15 THEN z * 200 / 3 ELSE 1000 * exp((z - 15) * ln(6.4) / 27) END AS hz FROM (SELECT m, (15 + ln(8.0) * 27 / ln(6.4)) * m / 129 AS z FROM range(130) t(m))),
+g AS (SELECT a.m, a.hz AS lo, b.hz AS mid, c.hz AS hi FROM e a JOIN e b ON b.m = a.m + 1 JOIN e c ON c.m = a.m + 2),
+w AS (SELECT m, b, greatest(0, least((b * 31.25 - lo) / (mid - lo), (hi - b * 31.25) / (hi - mid))) * 2 / (hi - lo) AS w FROM g, range(257) t(b)),
+l AS (SELECT n, m, ln(sum(p * w) + pow(2, -24)) AS level FROM d JOIN w USING (b) GROUP BY n, m)
+SELECT m::INT AS bin, round(avg(level), 3) AS level FROM l GROUP BY m""")
 def log_mel_features(spark, sf):
     """Frames of a tone in 128 Slaney bins, transposed: bin, mean level."""
     from quillforge.sources.readers import tone
 
     t = tone(spark, 1.0).select(G.log_mel("samples").alias("frames")).select(G.transposed(F.col("frames")).alias("bins"))
-    return t.select(F.posexplode("bins").alias("bin", "frames")).select("bin", (F.aggregate("frames", F.lit(0.0), lambda a, x: a + x) / F.size("frames")).alias("level"))
+    return t.select(F.posexplode("bins").alias("bin", "frames")).select("bin", F.round(F.aggregate("frames", F.lit(0.0), lambda a, x: a + x) / F.size("frames"), 3).alias("level"))

@@ -50,7 +50,7 @@ def quality_reasons_by_lang(spark, sf):
 @query(f"WITH {_FLAGS_SQL} SELECT doc_id, char_run, token_run, long_word, low_unique FROM flags")
 def hallucination_signals(spark, sf):
     t, w = F.col("t"), F.col("words")
-    return _normalized(spark, sf).select("doc_id", Q.char_run(t).alias("char_run"), Q.token_run(t).alias("token_run"), Q.long_word(w).alias("long_word"), Q.low_unique_share(w).alias("low_unique"))
+    return _normalized(spark, sf).select("doc_id", Q.char_run(t).alias("char_run"), Q.token_run(w).alias("token_run"), Q.long_word(w).alias("long_word"), Q.low_unique_share(w).alias("low_unique"))
 
 
 @query(f"""WITH {_FLAGS_SQL},
@@ -62,7 +62,7 @@ SELECT source, count(*) AS n, count_if(coalesce(r, false)) AS repeats, count_if(
 FROM flags f LEFT JOIN rep USING (doc_id) LEFT JOIN u USING (doc_id) LEFT JOIN loops l ON l.doc_id = f.doc_id GROUP BY source""")
 def noise_audit_by_source(spark, sf):
     w = F.col("words")
-    flags = _normalized(spark, sf).select("source", "t", Q.token_run(F.col("t"), 3).alias("r"), Q.ngram_loop(w, 2).alias("l"), Q.low_unique_share(w, 6, 0.45).alias("u"))
+    flags = _normalized(spark, sf).select("source", "t", Q.token_run(w, 3).alias("r"), Q.ngram_loop(w, 2).alias("l"), Q.low_unique_share(w, 6, 0.45).alias("u"))
     bad = F.col("r") | F.col("l") | F.col("u")
     return flags.groupBy("source").agg(
         F.count("*").alias("n"), F.count_if("r").alias("repeats"), F.count_if("l").alias("loops"), F.count_if("u").alias("low_unique"),

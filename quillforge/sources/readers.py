@@ -114,9 +114,11 @@ def transcript_blocks(lines: DataFrame, key: str, order: str, value: str) -> Dat
 
 
 def vocabulary_by_line(lines: DataFrame, order: str = "line", value: str = "value") -> DataFrame:
-    """id, token: blank lines do not count, ids are line numbers from 0.  A vocabulary fits one task."""
-    full = lines.filter(F.trim(value) != "")
-    return full.select((F.row_number().over(Window.orderBy(order)) - 1).cast("int").alias("id"), T.vocabulary_token(F.col(value)).alias("token"))
+    """id, token: blank lines do not count, ids are line numbers from 0."""
+    from quillforge.operators.corpus import row_numbers
+
+    full = lines.filter(F.trim(value) != "").select(order, T.vocabulary_token(F.col(value)).alias("token"))
+    return row_numbers(full, [order]).select(F.col("number").cast("int").alias("id"), "token")
 
 
 def vocabulary_by_id(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -135,6 +137,19 @@ def soak_windows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path).select("label", "model", "threads", F.explode("windows").alias("w")).select("label", "model", "threads", "w.*")
 
 
+def card_field(spark: SparkSession, path: str, field: str) -> str | None:
+    """One field of a JSON card, as text; None where the card has none."""
+    return spark.read.option("wholetext", True).text(path).select(F.get_json_object("value", f"$.{field}").alias("x")).first()["x"]
+
+
+def reports(spark: SparkSession, folder: str, expected: Sequence[str]) -> DataFrame:
+    """name, text, error of each expected report; one that is not there has an error and no text."""
+    names = spark.createDataFrame([(n,) for n in expected], "name string")
+    there = spark.read.format("binaryFile").load(folder).select(F.substring_index("path", "/", -1).alias("name"), F.decode("content", "UTF-8").alias("text"))
+    missing = F.when(F.col("text").isNull(), F.concat(F.lit("missing report "), F.col("name")))
+    return names.join(there, "name", "left").select("name", "text", missing.alias("error"))
+
+
 def tone(spark: SparkSession, seconds: float, hz: float = 440.0, rate: int = 16_000, amplitude: float = 0.5) -> DataFrame:
     """One row: samples of a sine."""
     n = int(seconds * rate)

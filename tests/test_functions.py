@@ -105,6 +105,8 @@ def test_sequences(spark):
     assert column(spark, [[0, 5, 5, 0, 5, 3, 3], [], [0, 0], [1, 0, 1]], ctc.collapse(F.col("x")), "array<int>") == [[5, 5, 3], [], [], [1, 1]]
     ties = [[1.0, 3.0, 3.0], [], [2.0]]
     assert column(spark, ties, ctc.argmax(F.col("x")), "array<double>") == [1, 0, 0] and column(spark, ties, ctc.argmax(F.col("x"), "last"), "array<double>") == [2, 0, 0]
+    odd = [[float("nan"), 1.0, 2.0], [3.0, float("nan"), 1.0], [3.0, 1.0, float("nan"), 2.0, 0.0]]
+    assert column(spark, odd, ctc.argmax(F.col("x")), "array<double>") == [0, 1, 2] and column(spark, odd, ctc.argmax(F.col("x"), "last"), "array<double>") == [2, 2, 3]
     frames = [[[0.1, 0.9], [0.1, 0.9], [0.9, 0.1], [0.2, 0.8]]]
     assert column(spark, frames, ctc.greedy_ids(F.col("x"), F.lit(3)), "array<array<double>>") == [[1]]
     vocabulary = spark.createDataFrame([(0, "a"), (1, "#0"), (2, "b")], "id int, token string")
@@ -335,9 +337,72 @@ def test_model_hook(spark):
     assert sorted(r["n"] for r in C.infer(C.length_sorted(df, "x"), lambda: lambda s: s.str.len(), "x", "n", "bigint").collect()) == [1, 2]
 
 
+def test_two_models_and_padded_batches(spark):
+    df = spark.createDataFrame([("aa",), ("b",)], "x string")
+    both = C.infer_both(df, lambda: lambda s: s + "1", lambda: lambda s: s + "2", "x")
+    assert sorted(map(tuple, both.collect())) == [("aa", "aa1", "aa2"), ("b", "b1", "b2")]
+    frames = spark.createDataFrame([(i, [[float(i), 1.0]] * i) for i in range(1, 6)], "i int, f array<array<double>>").coalesce(1)
+    out = C.infer_padded(frames, lambda: lambda x, n: [f"{x.shape[1]}:{k}:{row.sum():g}" for row, k in zip(x, n, strict=True)], "f", "o", "string", batch=2)
+    assert {r["i"]: r["o"] for r in out.collect()} == {1: "2:1:2", 2: "2:2:6", 3: "4:3:12", 4: "4:4:20", 5: "5:5:30"}
+
+
 def test_phoneme_targets(spark):
     symbols = spark.createDataFrame([("oi", 0, "o"), ("oi", 1, "i"), ("aia", 0, "a"), ("aia", 1, "i"), ("aia", 2, "a")], "text string, pos int, s string").withColumn("line", F.when(F.col("text") == "oi", 0).otherwise(1))
     ids = {r["s"]: r["id"] for r in C.first_seen_vocabulary(symbols, ["line", "pos"], "s").collect()}
     assert ids == {"o": 2, "i": 3, "a": 4}
     rows = C.with_targets(spark.createDataFrame([("oi",), ("x",)], "text string"), spark.createDataFrame([("oi", [2, 3])], "text string, ids array<int>"))
     assert {r["text"]: r["ids"] for r in rows.collect()} == {"oi": [2, 3], "x": [1]}
+
+
+def test_telephone_band():
+    """Gain of the band pass from its analog prototype, by frequency; causal, from rest."""
+    n = 16_000
+    for hz in (60, 150, 300, 1000, 2500, 3400, 3800):
+        x = np.sin(2 * np.pi * hz * np.arange(n) / 8000)
+        y = G.band_limit(x)[n // 2 :]
+        warp = lambda f: np.tan(np.pi * f / 8000)
+        w, lo, hi = warp(hz), warp(300), warp(3400)
+        want = 1 / np.sqrt(1 + ((w * w - lo * hi) / (w * (hi - lo))) ** 8)
+        assert abs(np.sqrt(2 * np.mean(y**2)) - want) < 0.005, hz
+    assert len(G.band_limit(np.zeros(0))) == 0 and G.band_limit(np.eye(1, 9)[0])[0] != 0
+
+
+def test_channels_go_through_the_telephone_one_by_one(spark):
+    a = (np.sin(np.arange(1600) / 5) * 9000).astype(int).tolist()
+    b = (np.sin(np.arange(1600) / 9) * 5000).astype(int).tolist()
+    df = spark.createDataFrame([([a, b], a, b)], "s array<array<smallint>>, a array<smallint>, b array<smallint>")
+    r = df.select(G.telephone_channels(F.col("s")).alias("s"), G.telephone(F.col("a")).alias("a"), G.telephone(F.col("b")).alias("b")).first()
+    assert r["s"] == [r["a"], r["b"]] and len(r["a"]) == 1600
+
+
+def test_reports_and_cards(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "a.md").write_text("# A")
+    got = {r["name"]: (r["text"], r["error"]) for r in R.reports(spark, str(tmp_path / "r"), ["a.md", "b.md"]).collect()}
+    assert got == {"a.md": ("# A", None), "b.md": (None, "missing report b.md")}
+    (tmp_path / "card.json").write_text('{"x": {"y": "7"}}')
+    assert R.card_field(spark, str(tmp_path / "card.json"), "x.y") == "7" and R.card_field(spark, str(tmp_path / "card.json"), "z") is None
+
+
+def test_command_lines(spark, tmp_path, capsys):
+    from quillforge import cli
+
+    (tmp_path / "a.txt").write_text("u1:\tref=['x', 'y']\nu1:\thyp=['x']\n")
+    assert cli.main(["error-rate", str(tmp_path / "a.txt")], spark) == 0 and "0.5" in capsys.readouterr().out
+    assert cli.main(["compare", str(tmp_path / "a.txt"), str(tmp_path / "a.txt"), "--boot", "20"], spark) == 0
+    rows = [("train", "c", "k"), ("dev", "c", "k"), ("dev", "c", None)]
+    spark.createDataFrame(rows, "split string, corpus string, key string").write.parquet(str(tmp_path / "s"))
+    spark.createDataFrame(rows[1:], "split string, corpus string, key string").write.parquet(str(tmp_path / "clean"))
+    assert cli.main(["overlap", str(tmp_path / "s")], spark) == 1 and cli.main(["overlap", str(tmp_path / "clean")], spark) == 0
+    spark.createDataFrame([("oi", "oj"), ("ai", "aj")], "text string, phonemes string").write.parquet(str(tmp_path / "ph"))
+    assert cli.main(["phonemes", str(tmp_path / "ph"), str(tmp_path / "targets")], spark) == 0
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "targets")).collect()) == ['{"text":"ai","ids":[2,3]}', '{"text":"oi","ids":[4,3]}']
+    (tmp_path / "audio").mkdir()
+    (tmp_path / "audio" / "1.wav").write_bytes(b"x")
+    (tmp_path / "votes.csv").write_text("file_path,text,up_votes,down_votes,dataset\np/1.wav,Bom,1,0,d\np/2.wav,Sim,1,0,d\n")
+    assert cli.main(["prepare", str(tmp_path / "votes.csv"), str(tmp_path / "audio"), str(tmp_path / "cuts"), "--min-net-votes", "0"], spark) == 0
+    assert [r["id"] for r in R.json_lines(spark, str(tmp_path / "cuts"), "id string").collect()] == ["train_0000000"]
+    with pytest.raises(ValueError):
+        cli.main(["prepare", "x", "y", "z", "--split", "dev", "--min-net-votes", "0"], spark)
+    (tmp_path / "tokens.txt").write_text("a 0\nb 1\n")
+    assert cli.main(["card", str(tmp_path / "tokens.txt"), str(tmp_path / "model"), "--wer", "0.1"], spark) == 0
