@@ -21,4 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
-ORACLES: dict[str, str] = {"op3_url_filters": url_filters.ORACLE_SQL, "op4_quality_rules": quality_rules.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": suffix_dedup.ORACLE_SQL,
+    "op2_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op3_url_filters": url_filters.ORACLE_SQL,
+    "op4_quality_rules": quality_rules.ORACLE_SQL,
+}

@@ -293,3 +293,14 @@ def remove_repeated_windows(docs: DataFrame, text: str = "text", key: str = "doc
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeated_windows(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH w AS (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM (
+    SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM (SELECT doc_id, regexp_split_to_array(text, '[\x20\x09-\x0D]+') AS words FROM documents)) WHERE word <> ''),
+win AS (SELECT doc_id, i, string_agg(word, ' ') OVER x AS s, count(*) OVER x AS n FROM w WINDOW x AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM win WHERE n = 13) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM late, range(13) o(j)),
+kept AS (SELECT w.doc_id, count(*) AS n_words, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY w.i) FILTER (g.i IS NULL) AS kept FROM w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i GROUP BY w.doc_id)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)
+"""

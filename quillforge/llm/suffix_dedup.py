@@ -418,3 +418,20 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", dep
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Bytes as pairs of hexadecimal digits; a window's hash is put together from those of its parts (64 bits).
+ORACLE_SQL = r"""
+WITH b AS (SELECT doc_id, x, i, n FROM (SELECT doc_id, unnest(bs) AS x, generate_subscripts(bs, 1) AS i, len(bs) AS n FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS bs FROM documents))),
+h2 AS (SELECT doc_id, x, i, n, hash(x, lead(x, 1) OVER w) AS h FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+h4 AS (SELECT doc_id, x, i, n, hash(h, lead(h, 2) OVER w) AS h FROM h2 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+h8 AS (SELECT doc_id, x, i, n, h AS h4, hash(h, lead(h, 4) OVER w) AS h FROM h4 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+h16 AS (SELECT doc_id, x, i, n, h4, hash(h, lead(h, 8) OVER w) AS h FROM h8 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+h32 AS (SELECT doc_id, x, i, n, h4, hash(h, lead(h, 16) OVER w) AS h FROM h16 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+h100 AS (SELECT doc_id, x, i, CASE WHEN i + 99 <= n THEN hash(h, lead(h, 32) OVER w, lead(h, 64) OVER w, lead(h4, 96) OVER w) END AS h FROM h32 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+late AS (SELECT doc_id, x, i, h IS NOT NULL AND row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1 AS late FROM h100),
+gone AS (SELECT doc_id, x, i, bool_or(late) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM late),
+span AS (SELECT doc_id, x, i, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM gone),
+kept AS (SELECT doc_id, count(*) AS n_bytes, count_if(gone) AS n_removed, count_if(starts) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (NOT gone) AS kept FROM span GROUP BY doc_id)
+SELECT doc_id, coalesce(n_bytes, 0)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)
+"""
