@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import SPACE
+
 # Limits of the hallucination filter.
 CHAR_RUN, WORD_CHARS, TOKEN_RUN, UNIQUE_WORDS, UNIQUE_SHARE = 6, 30, 4, 8, 0.30
 MIN_CPS, MAX_CPS = 0.5, 40.0
 
 
 def char_run(text: Column, least: int = CHAR_RUN) -> Column:
-    return text.rlike(rf"(?U)(\S)\1{{{least - 1},}}")
+    return text.rlike(rf"([^{SPACE[1:-1]}])\1{{{least - 1},}}")
 
 
 def long_word(words: Column, most: int = WORD_CHARS) -> Column:

@@ -11,6 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillforge.storage import fixed
+
 
 #: Rows to resample that are broadcast at most.
 BROADCAST_ROWS = 2_000_000
@@ -114,10 +116,12 @@ def _resamples(rows: DataFrame, key: str, cols: Sequence[str], replicates: int,
     """
     from quillforge.operators.corpus import row_numbers
 
+    # rows are counted, sampled for ranges and dealt: what they cost to make is paid once
+    rows = fixed(rows.select(key, *[c for c in cols if c != key]))
     n = rows.count()
     if n == 0:
         raise ValueError("no rows to resample")
-    ranked = row_numbers(rows.select(key, *[c for c in cols if c != key]), [key]).select(F.col("number").alias("i"), *cols)
+    ranked = row_numbers(rows, [key]).select(F.col("number").alias("i"), *cols)
     draws = rows.sparkSession.range(replicates * n).select(F.expr(f"id div {n} + 1").alias("replicate"), (F.col("id") % n).alias("slot"))
     draws = draws.select("replicate", draw(seed, F.col("replicate"), F.col("slot"), F.lit(n)).alias("i"))
     return draws.join(F.broadcast(ranked) if n <= BROADCAST_ROWS else ranked.hint("merge"), "i")

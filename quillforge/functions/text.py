@@ -1,20 +1,23 @@
 """Text normalisers and string keys as Column -> Column functions.
 
-Each normaliser is a contract of its own; metrics must name the one they used.  Java's \\w and \\s are ASCII only
-unless (?U) is set, so every Unicode class says so.
+Each normaliser is a contract of its own; metrics must name the one they used.  Java's \\w and \\s are ASCII only, and with
+(?U) they are other classes than those of the contracts and slow, so classes are spelt out.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+#: White space of any script, and the control characters that separate records.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: What stands between words: all but letters, numbers and underscores.
+OTHERS = r"[^\p{L}\p{N}_]+"
 # Fixed values of the comparison normaliser: colloquial spellings and what they stand for.  Keys are looked up after
 # accents are gone, so the accented ones never match; they are kept for parity.
 COLLOQUIAL = {"pra": "para", "pro": "para o", "pros": "para os", "pras": "para as", "vc": "voce", "tá": "esta", "ta": "esta", "cê": "voce"}
@@ -34,27 +37,12 @@ def _without_marks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def strip_all(text: Column) -> Column:
     """Strips every kind of white space; trim() strips spaces only."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-
-
-@lru_cache
-def _composable() -> str:
-    """Class of the characters without which a text is composed already: marks, later parts of a composition, and
-    characters that composition always replaces."""
-    later = {int(d.split()[1], 16) for d in map(unicodedata.decomposition, map(chr, range(0x110000))) if d and d[0] != "<" and " " in d}
-    points = [c for c in range(0x80, 0x30000) if c in later or 0x1161 <= c <= 0x1175 or 0x11A8 <= c <= 0x11C2 or unicodedata.combining(chr(c)) or (not 0xD800 <= c < 0xE000 and not unicodedata.is_normalized("NFC", chr(c)))]
-    runs: list[list[int]] = []
-    for c in points:
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]"
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def nfc(text: Column) -> Column:
-    """Canonical composition.  Only texts that have something to compose go through Arrow; the others pass as nulls."""
-    return F.coalesce(_nfc(F.when(text.rlike(_composable()), text)), text)
+    """Canonical composition.  Characters below U+0300 are composed; only texts that have others go through Arrow."""
+    return F.coalesce(_nfc(F.when(text.rlike("[^\\x00-\\u02FF]"), text)), text)
 
 
 def strip_accents(text: Column) -> Column:
@@ -64,9 +52,7 @@ def strip_accents(text: Column) -> Column:
 
 def normalize_train_target(text: Column) -> Column:
     """Composed, lower case, accents kept, everything but letters, digits and underscores a space, one space between words."""
-    t = F.lower(nfc(F.coalesce(text, F.lit(""))))
-    t = F.regexp_replace(t, r"(?U)[^\w\s]", " ")
-    return strip_all(F.regexp_replace(t, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(nfc(F.lower(F.coalesce(text, F.lit("")))), OTHERS, " "))
 
 
 def rewrite_currency(text: Column) -> Column:
@@ -85,13 +71,13 @@ def expand_colloquial(words: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Words between white space of any kind; none for an empty text."""
-    return F.filter(F.split(text, r"(?U)\s+"), lambda x: x != F.lit(""))
+    return F.filter(F.split(text, f"{SPACE}+"), lambda x: x != F.lit(""))
 
 
 def normalize_for_compare(text: Column) -> Column:
-    """Lower case, currency named, punctuation a space, no accents, colloquial words expanded."""
+    """Lower case, currency named, punctuation (and marks that stand alone) a space, no accents, colloquial words expanded."""
     t = rewrite_currency(strip_all(F.lower(F.coalesce(text, F.lit("")))))
-    t = F.regexp_replace(t, r"(?U)[^\w\s]", " ")
+    t = F.regexp_replace(t, OTHERS, " ")
     return F.array_join(expand_colloquial(tokens(strip_accents(t))), " ")
 
 
@@ -182,7 +168,7 @@ def detokenize(pieces: Column) -> Column:
 
 def phoneme_symbols(text: Column) -> Column:
     """The characters of a phoneme string, one symbol each, without white space."""
-    return F.filter(F.split(F.regexp_replace(text, r"(?U)\s+", ""), ""), lambda x: x != F.lit(""))
+    return F.filter(F.split(F.regexp_replace(text, f"{SPACE}+", ""), ""), lambda x: x != F.lit(""))
 
 
 def clock(seconds: Column) -> Column:

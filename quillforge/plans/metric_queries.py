@@ -60,7 +60,7 @@ def unverifiable_keys(spark, sf):
     return C.unverifiable(table(spark, sf, "documents").select(F.col("source").alias("corpus"), split.alias("split"), key.alias("key")), "split", "corpus", "key")
 
 
-@query("""WITH r AS (SELECT lang, CASE WHEN regexp_full_match(coalesce(text, ''), '[^\\p{L}\\p{M}\\p{N}_]*') THEN 'empty' WHEN coalesce(quality, 0) - coalesce(toxic, 0) < 0 THEN 'filtered' WHEN quality IS NULL THEN 'missing' ELSE 'kept' END AS reason FROM documents LEFT JOIN labels USING (doc_id))
+@query("""WITH r AS (SELECT lang, CASE WHEN regexp_full_match(coalesce(text, ''), '[^\\p{L}\\p{N}_]*') THEN 'empty' WHEN coalesce(quality, 0) - coalesce(toxic, 0) < 0 THEN 'filtered' WHEN quality IS NULL THEN 'missing' ELSE 'kept' END AS reason FROM documents LEFT JOIN labels USING (doc_id))
 SELECT lang, count(*) AS total, count_if(reason = 'kept') AS kept, count_if(reason = 'missing') AS missing, count_if(reason = 'empty') AS empty, count_if(reason = 'filtered') AS filtered FROM r GROUP BY lang""")
 def corpus_reason_counts(spark, sf):
     """Documents stand for segments, labels for votes, and a document without a label for one without its recording."""

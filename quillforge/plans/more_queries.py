@@ -74,7 +74,7 @@ def clean_window_median(spark, sf):
 
 
 @query(r"""SELECT CASE WHEN starts_with(source, 'src1') THEN 'ones' ELSE 'others' END AS corpus, count(*) AS n, round(sum(n_chars) / 3600.0, 6) AS hours FROM documents
-WHERE NOT regexp_full_match(coalesce(text, ''), '[^\p{L}\p{M}\p{N}_]*') GROUP BY 1""")
+WHERE NOT regexp_full_match(coalesce(text, ''), '[^\p{L}\p{N}_]*') GROUP BY 1""")
 def hours_by_corpus(spark, sf):
     """Rows with a reference that is not empty once normalised, by a prefix of their id, with their hours (a character stands
     for a second)."""

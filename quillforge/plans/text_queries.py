@@ -12,7 +12,7 @@ from quillforge.operators import corpus as C
 from ._registry import query, table
 
 #: Normalised text in SQL; RE2's \w is ASCII, so the class is spelt out.
-TRAIN_SQL = r"trim(regexp_replace(regexp_replace(lower(nfc_normalize(coalesce(text, ''))), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+TRAIN_SQL = r"trim(regexp_replace(nfc_normalize(lower(coalesce(text, ''))), '[^\p{L}\p{N}_]+', ' ', 'g'))"
 COLLOQUIAL_SQL = "CASE w WHEN 'pra' THEN 'para' WHEN 'pro' THEN 'para o' WHEN 'pros' THEN 'para os' WHEN 'pras' THEN 'para as' WHEN 'vc' THEN 'voce' WHEN 'ta' THEN 'esta' ELSE w END"
 
 _FLAGS_SQL = f"""
@@ -77,7 +77,7 @@ def normalize_train_target(spark, sf):
 
 @query(rf"""WITH c AS (SELECT conv_id, turn, trim(regexp_replace(lower(coalesce(text, '')), '^\s+|\s+$', '', 'g')) AS t FROM conversations),
 m AS (SELECT conv_id, turn, replace(regexp_replace(replace(regexp_replace(t, 'us\$\s*(\d[\d.,]*)', '\1 dolares', 'g'), 'us$', 'dolares'), 'r\$\s*(\d[\d.,]*)', '\1 reais', 'g'), 'r$', 'reais') AS t FROM c),
-p AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(strip_accents(regexp_replace(t, '[^\p{{L}}\p{{M}}\p{{N}}_\s]', ' ', 'g')), '\s+'), lambda x: x <> '') AS ws FROM m)
+p AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(strip_accents(regexp_replace(t, '[^\p{{L}}\p{{N}}_]+', ' ', 'g')), '\s+'), lambda x: x <> '') AS ws FROM m)
 SELECT conv_id, turn, array_to_string(list_transform(ws, lambda w: {COLLOQUIAL_SQL}), ' ') AS norm FROM p""")
 def normalize_compare(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", T.normalize_for_compare(F.col("text")).alias("norm"))
