@@ -6,7 +6,7 @@ n words takes n steps of n bits.  Alignments keep every BLOCK-th column and make
 
 from __future__ import annotations
 
-import difflib
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -121,6 +121,64 @@ def operations(refs: pa.Array, hyps: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int32()) for k in range(4)], names=list(_COUNTS.fieldNames()))
 
 
+def _longest(ref: Sequence, places: dict, alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, list[tuple[int, int]]]:
+    """Length of the longest equal runs within the ranges, and where all of them start, in order."""
+    best, hits, ending = 0, [], {}
+    for i in range(alo, ahi):
+        at = places.get(ref[i])
+        now = {}
+        if at is not None:
+            for j in at[bisect_left(at, blo) : bisect_left(at, bhi)] if at[0] < blo or at[-1] >= bhi else at:
+                n = now[j] = ending.get(j - 1, 0) + 1
+                if n > best:
+                    best, hits = n, [(i - n + 1, j - n + 1)]
+                elif n == best:
+                    hits.append((i - n + 1, j - n + 1))
+        ending = now
+    return best, hits
+
+
+def matching_blocks(ref: Sequence, hyp: Sequence) -> list[tuple[int, int, int]]:
+    """Equal runs (place, place, length): the longest first, of equals the first, and the same left and right of it.
+
+    All runs of the greatest length that follow one another are taken at once, so a range is searched once for each
+    length and not for each run.
+    """
+    places: dict = {}
+    for j, x in enumerate(hyp):
+        places.setdefault(x, []).append(j)
+    todo, out = [(0, len(ref), 0, len(hyp))], []
+    while todo:
+        alo, ahi, blo, bhi = todo.pop()
+        if alo == ahi or blo == bhi:
+            continue
+        n, hits = _longest(ref, places, alo, ahi, blo, bhi)
+        if not n:
+            continue
+        for i, j in hits:
+            if i >= alo and j >= blo:
+                out.append((i, j, n))
+                todo.append((alo, i, blo, j))
+                alo, blo = i + n, j + n
+        todo.append((alo, ahi, blo, bhi))
+    return sorted(out)
+
+
+def opcodes(ref: Sequence, hyp: Sequence) -> list[tuple[str, int, int, int, int]]:
+    """equal, replace, delete and insert ranges of both, by matching blocks."""
+    out, i, j = [], 0, 0
+    for a, b, n in [*matching_blocks(ref, hyp), (len(ref), len(hyp), 0)]:
+        if a > i or b > j:
+            out.append(("replace" if a > i and b > j else "delete" if a > i else "insert", i, a, j, b))
+        i, j = a + n, b + n
+        if n:
+            if out and out[-1][0] == "equal" and out[-1][2] == a and out[-1][4] == b:
+                out[-1] = ("equal", out[-1][1], i, out[-1][3], j)
+            else:
+                out.append(("equal", a, i, b, j))
+    return out
+
+
 @F.pandas_udf(_BLOCKS)
 def aligned_blocks(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Word pairs that differ, by matching blocks; replaced blocks are zipped, the rest is deleted or inserted."""
@@ -128,7 +186,7 @@ def aligned_blocks(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[p
         out = []
         for r, h in zip(refs, hyps, strict=True):
             r, h, rows = list(r), list(h), []
-            for op, a, b, c, d in difflib.SequenceMatcher(None, r, h, autojunk=False).get_opcodes():
+            for op, a, b, c, d in opcodes(r, h):
                 if op != "equal":
                     both = min(b - a, d - c) if op == "replace" else 0
                     rows += [{"op": "replace", "ref": r[a + k], "hyp": h[c + k]} for k in range(both)]

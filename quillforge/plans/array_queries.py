@@ -12,7 +12,7 @@ from quillforge.functions import text as T
 from quillforge.operators import corpus as C
 from quillforge.streaming import live
 
-from ._registry import query, table
+from ._registry import query, spread, table
 
 _IDS = {"signup": 0, "error": 1, "click": 2, "view": 3, "purchase": 4}
 
@@ -177,7 +177,7 @@ v AS (SELECT w AS token, row_number() OVER (ORDER BY min({'d': doc_id, 'p': pos}
 
 
 def _vocabulary(spark, sf):
-    words = table(spark, sf, "documents").select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "token"))
+    words = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("pos", "token"))
     return C.first_seen_vocabulary(words, ["doc_id", "pos"], "token")
 
 

@@ -13,7 +13,7 @@ from quillforge.functions import text as T
 from quillforge.operators import corpus as C
 from quillforge.streaming.live import HISTORY
 
-from ._registry import query, table
+from ._registry import query, spread, table
 
 # ---------------------------------------------------------------- joins, sets, leakage
 
@@ -74,7 +74,7 @@ d AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(text, '[/\-_.\s]+
 SELECT item_id, count(*) AS tokens FROM b JOIN d USING (tok) GROUP BY item_id""")
 def benchmark_leak_tokens(spark, sf):
     one = table(spark, sf, "benchmark").select("item_id", F.explode(T.path_tokens(F.col("text"))).alias("tok")).distinct()
-    two = table(spark, sf, "documents").select(F.explode(T.path_tokens(F.col("text"))).alias("tok")).distinct()
+    two = spread(table(spark, sf, "documents").select("text")).select(F.explode(T.path_tokens(F.col("text"))).alias("tok")).distinct()
     return one.join(two, "tok").groupBy("item_id").agg(F.count("*").alias("tokens"))
 
 
@@ -152,7 +152,7 @@ e AS (SELECT doc_id, lang, n, len(list_filter(range(1, n + 1), lambda i: (doc_id
 def _pairs(spark, sf):
     """References are whole texts; hypotheses drop or replace some of their words."""
     words = T.tokens(F.col("text"))
-    docs = table(spark, sf, "documents").select("doc_id", "lang", words.alias("r"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", words.alias("r"))
     turn = lambda x, i, k: (F.col("doc_id") + i + 1) % k == 0
     hyp = F.array_compact(F.transform("r", lambda x, i: F.when(turn(x, i, 11), F.lit(None)).when(turn(x, i, 7), F.lit(" ")).otherwise(x)))
     return docs.withColumn("h", hyp)
@@ -179,7 +179,7 @@ SELECT sum(length(array_to_string(r, '')) - length(array_to_string(h, '')))::BIG
 def cer_micro(spark, sf):
     """The hypothesis is a subsequence, so the distance is what it lacks."""
     r = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "")
-    docs = table(spark, sf, "documents").select("doc_id", r.alias("r"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", r.alias("r"))
     docs = docs.withColumn("h", F.filter("r", lambda x, i: (F.col("doc_id") + i + 1) % 6 != 0))
     return docs.agg(F.sum(A.char_distance(F.col("r"), F.col("h"))).cast("long").alias("errors"), F.sum(F.length(F.array_join("r", ""))).cast("long").alias("chars"))
 

@@ -11,7 +11,7 @@ from quillforge.functions import stats as S
 from quillforge.functions import text as T
 from quillforge.operators import corpus as C
 
-from ._registry import query, table
+from ._registry import query, spread, table
 from .metric_queries import _PAIRS, _agreement
 
 
@@ -19,7 +19,7 @@ from .metric_queries import _PAIRS, _agreement
 SELECT w AS word, row_number() OVER (ORDER BY w) + 1 AS id FROM w""")
 def word_list_ids(spark, sf):
     """Distinct words in byte order with ids after two reserved ones."""
-    words = table(spark, sf, "documents").select(F.explode(T.tokens(F.col("text"))).alias("word")).distinct()
+    words = spread(table(spark, sf, "documents").select("text")).select(F.explode(T.tokens(F.col("text"))).alias("word")).distinct()
     return C.row_numbers(words, ["word"]).select("word", (F.col("number") + 2).cast("int").alias("id"))
 
 

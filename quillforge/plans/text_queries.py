@@ -9,7 +9,7 @@ from quillforge.functions import quality as Q
 from quillforge.functions import text as T
 from quillforge.operators import corpus as C
 
-from ._registry import query, table
+from ._registry import query, spread, table
 
 #: Normalised text in SQL; RE2's \w is ASCII, so the class is spelt out.
 TRAIN_SQL = r"trim(regexp_replace(nfc_normalize(lower(coalesce(text, ''))), '[^\p{L}\p{N}_]+', ' ', 'g'))"
@@ -32,7 +32,8 @@ flags AS (
 
 
 def _normalized(spark, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", T.normalize_train_target(F.col("text")).alias("t"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars", "text"))
+    docs = docs.select("doc_id", "lang", "source", "n_chars", T.normalize_train_target(F.col("text")).alias("t"))
     return docs.withColumn("words", T.tokens(F.col("t")))
 
 

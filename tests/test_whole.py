@@ -93,6 +93,14 @@ def test_distances_of_any_length_are_exact():
     assert A.distance(a, b) == levenshtein(a, b) == sum(A._operations(a, b)[1:])
 
 
+def test_alignment_is_that_of_longest_blocks():
+    rng = random.Random(6)
+    for _ in range(400):
+        a, b = (rng.choices("ab", k=rng.randrange(50)) + rng.choices("abcd", k=rng.randrange(30)) for _ in range(2))
+        want = difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+        assert A.opcodes(a, b) == want
+
+
 def test_error_rates_read_whole_texts(spark, tmp_path):
     rng = random.Random(5)
     texts = {i: [f"w{rng.randrange(90)}" for _ in range(n)] for i, n in enumerate((0, 5, 41, 150, 330))}
